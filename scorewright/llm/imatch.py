@@ -55,8 +55,11 @@ def fingerprint(rows: DataFrame, text: str, out: str, bits: Column) -> DataFrame
     """rows with a column `out`, array<long>: a hash for each of SUBSETS, NONE where the subset keeps no term."""
     inside = lambda h: F.call_function("getbit", F.get(bits, F.shiftright(bucket(h), 6).cast("int")), bucket(h).bitwiseAND(F.lit(63)).cast("int")) == 1
     rows = rows.withColumn("terms", F.array_sort(F.filter(term_hashes(F.col(text)), inside)))  # a step of its own: Catalyst computes it once
-    subsets = (F.xxhash64(F.filter("terms", lambda h, m=((1 << n) - 1) << s: h.bitwiseAND(F.lit(m)) == 0)) for n, s in SUBSETS)
-    return rows.withColumn(out, F.array(*subsets)).drop("terms")
+    return rows.withColumn(out, F.array(*(subset("terms", ((1 << n) - 1) << s) for n, s in SUBSETS))).drop("terms")
+
+
+def subset(terms: str, mask: int) -> Column:
+    return F.xxhash64(F.filter(terms, lambda h: h.bitwiseAND(F.lit(mask)) == 0))
 
 
 def shown(fingerprint: Column) -> Column:
