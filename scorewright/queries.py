@@ -1,9 +1,14 @@
-"""Registry of the evaluation queries."""
+"""All evaluation queries and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from .plans import citations, descriptive, preferences, reports, texts, training, vectors  # noqa: F401
+from .registry import QUERIES, SQL, Query
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
