@@ -127,7 +127,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPL
     chosen = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate).groupBy("doc_id").agg(F.max("quality").alias("quality")).limit(2 * sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
     x = texts.mapInArrow(_statistics, "doc_id long, x array<double>").join(F.broadcast(chosen), "doc_id").select("x", "quality")
-    x = checkpointed(x.coalesce(SUMS))  # at most 2 x sample rows of a few numbers
+    x = checkpointed(x.repartition(SUMS))  # at most 2 x sample rows of a few numbers; the scan keeps its own tasks
     moments = x.select(*(f(F.element_at("x", i + 1)).alias(f"{f.__name__}{i}") for f in (F.avg, F.stddev_pop) for i in range(len(NAMES)))).first()
     if moments[0] is None:
         kernel = Kernel(np.zeros(len(NAMES)), np.ones(len(NAMES)))
