@@ -65,7 +65,7 @@ RULES = [
     ("unlicense", ["UNLICENSE"]),
 ]
 #: Every known sentence holds one of these, so other texts have no identifiers (checked by a test).
-HINTS = ("licen", "permi", "software", "copyright", "public")
+HINTS = ("licen", "permi", "software", "copyright", "public", "redistribut", "warrant", "required by", "program", "endorse", "cc0")
 CUT = r"[.;:!?]+(?=\s|$)|[\r\n]+"
 
 
