@@ -41,7 +41,7 @@ def bootstrap(rows: DataFrame, by: str, order: str, delta: str, resamples: int)
     b = values.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long")))).repartition(by, "b")
     at = lambda j: (F.col("b") * 7919 + j * 104729 + (F.col("b") * j) % 1009) % F.col("n")
     drawn = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(0.0), lambda s, j: s + F.get("v", at(j).cast("int")))
-    means = b.select(by, (drawn / F.col("n")).alias("m"))
+    means = b.select(by, F.round(drawn / F.col("n"), 9).alias("m"))  # sums in another order must not move a mean across 0
     q = means.groupBy(by).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((F.col("m") <= 0).cast("double")).alias("below"))
     point = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(delta).alias("point"))
     lo, hi = F.col("q")[0], F.col("q")[1]
