@@ -13,7 +13,9 @@ on all 64 bits (2^38 anchors, radius plus 2, some 200 replicas) keeps the groups
 
 Equal fingerprints are one point. Groups are searched breadth first and give a spanning forest, not all pairs, so a
 family of copies costs its size. A group too large for direct comparison is cut by equal bands of bits (distance 4
-leaves one of five bands equal), which loses no pair either.
+leaves one of five bands equal), which loses no pair either. Anchors that would gather more than `HOT` fingerprints are
+found beforehand by counting in cells; their fingerprints get salts, and each pair of salts is a block of its own that
+holds `HOT` at most. Every two fingerprints meet in a block, so a task's memory is bounded whatever the group.
 """
 
 from __future__ import annotations
@@ -38,8 +40,11 @@ WHOLE = (((23, 3), (23, 3), (15, 1), (3, 0)),)
 FINE_FROM = 1 << 27
 #: Shingles hashed at a time; group size from which bands are used.
 SHINGLES, BANDED = 1 << 18, 4096
+#: Fingerprints compared in one block at most; cells of a partition in which they are counted.
+HOT, CELLS = 1 << 20, 64
 FPS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 POINTS = pa.schema([("p", pa.int32()), ("anchor", pa.binary()), ("fp", pa.binary()), ("node", pa.binary())])
+COUNTS = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -214,13 +219,58 @@ def runs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.r_[starts, len(key)])
 
 
-def _replicate(n: int, parts):
+def _count(cells: int, parts, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(cells, np.int64)
         for b in batches:
-            fps, nodes = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            fps = b.column(0).to_numpy().view(np.uint64)
             for s in range(0, len(fps), 20_000):
-                row, key = anchors(fps[s : s + 20_000], parts)
-                f, d = fps[s : s + 20_000][row], nodes[s : s + 20_000][row]
+                cell, n = np.unique(part_of(mix(anchors(fps[s : s + 20_000], parts)[1]), cells), return_counts=True)
+                seen[cell] += n
+        at = np.flatnonzero(seen >= least)
+        yield batch(COUNTS, at, seen[at])
+
+    return run
+
+
+def hot_cells(points: DataFrame, n: int, parts, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (of CELLS * n) with more than `hot` replicas, sorted, and the number of salts of each.
+
+    A task reports a cell only where it holds its share of hot / 2, so that even data report next to nothing; what is
+    left out of a cell is less than hot / 2 over all tasks, which the limit and the salts allow for.
+    """
+    tasks = 1 + (points.select(F.spark_partition_id().alias("t")).agg(F.max("t")).first()[0] or 0)
+    counts = points.select("fp").mapInArrow(_count(CELLS * n, parts, -(-hot // (2 * tasks))), "cell long, n long")
+    rows = counts.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > hot // 2).orderBy("cell").collect()  # cells, in proportion to the partitions, at most
+    return np.array([r["cell"] for r in rows], np.int64), np.array([-(-2 * (r["n"] + hot // 2) // hot) for r in rows], np.int64)
+
+
+def salted(row: np.ndarray, key: np.ndarray, fp: np.ndarray, cells: int, hot: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) with the replicas of hot cells dealt to blocks, one for each pair of salts that a fingerprint's own is in."""
+    cell = part_of(mix(key), cells)
+    at = np.minimum(np.searchsorted(hot, cell), len(hot) - 1)
+    is_hot = hot[at] == cell
+    if not is_hot.any():
+        return row, key
+    many = salts[at[is_hot]]
+    own = (mix(fp[row[is_hot]] ^ np.uint64(SEED)) % many.astype(np.uint64)).astype(np.int64)
+    other = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    own, size = np.repeat(own, many), np.repeat(many, many)
+    block = np.minimum(own, other) * size + np.maximum(own, other)
+    keys = mix(np.repeat(key[is_hot], many) ^ mix(block.astype(np.uint64) + np.uint64(1)))
+    return np.r_[row[~is_hot], np.repeat(row[is_hot], many)], np.r_[key[~is_hot], keys]
+
+
+def _replicate(n: int, parts, hot: np.ndarray, salts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = 20_000 if not len(hot) else max(1, 20_000 // int(salts.max()))
+        for b in batches:
+            fps, nodes = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            for s in range(0, len(fps), step):
+                row, key = anchors(fps[s : s + step], parts)
+                if len(hot):
+                    row, key = salted(row, key, fps[s : s + step], CELLS * n, hot, salts)
+                f, d = fps[s : s + step][row], nodes[s : s + step][row]
                 out = [(p, key[i].tobytes(), f[i].tobytes(), d[i].tobytes()) for p, i in dealt(part_of(mix(key), n))]
                 yield batch(POINTS, *map(list, zip(*out, strict=True))) if out else batch(POINTS, [], [], [], [])
 
@@ -239,11 +289,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(LINKS, np.minimum(a, b), np.maximum(a, b))
 
 
-def links(points: DataFrame, many: bool = False) -> DataFrame:
-    """Distinct links (a, b) of points(fp, node) that span all pairs at DISTANCE bits or fewer."""
+def links(points: DataFrame, many: bool = False, hot: int = HOT) -> DataFrame:
+    """Distinct links (a, b) of points(fp, node) that span all pairs at DISTANCE bits or fewer; hot: size of a block."""
     parts = WHOLE if many else HALVES
     n = max(partitions(points), int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt_out = points.select("fp", "node").mapInArrow(_replicate(n, parts), "p int, anchor binary, fp binary, node binary").repartitionById(n, "p")
+    dealt_out = points.select("fp", "node").mapInArrow(_replicate(n, parts, *hot_cells(points, n, parts, hot)), "p int, anchor binary, fp binary, node binary").repartitionById(n, "p")
     return dealt_out.mapInArrow(_compare, "a long, b long").distinct()
 
 

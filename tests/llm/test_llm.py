@@ -97,6 +97,31 @@ def test_group_links_span_large_groups():
     assert len(fp) > limit
 
 
+def test_hot_anchors_are_split(spark):
+    """A family of many different near copies is dealt to blocks; its components stay whole."""
+    rng = np.random.default_rng(4)
+    base, bit = rng.integers(0, 1 << 63, 3, dtype=np.uint64), lambda n: np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)
+    fp = np.unique(np.concatenate([base[0] ^ bit(500) ^ bit(500) ^ bit(500), base[1] ^ bit(60), base[2:], rng.integers(0, 1 << 63, 200, dtype=np.uint64)]))
+    points = spark.createDataFrame(list(zip(fp.view(np.int64).tolist(), range(len(fp)), strict=True)), "fp long, node long").repartition(4)
+    hot, salts = simhash.hot_cells(points, 4, simhash.HALVES, 32)
+    assert len(hot) and salts.min() > 1
+    cells = simhash.part_of(simhash.mix(simhash.anchors(fp)[1]), 4 * simhash.CELLS)
+    true = np.bincount(cells, minlength=4 * simhash.CELLS)
+    assert set(np.flatnonzero(true > 32).tolist()) <= set(hot.tolist())
+    assert all(2 * true[c] / s <= 32 for c, s in zip(hot, salts, strict=True))
+    _, keys = simhash.salted(*simhash.anchors(fp), fp, 4 * simhash.CELLS, hot, salts)
+    assert np.unique(keys, return_counts=True)[1].max() < 64 < np.unique(simhash.anchors(fp)[1], return_counts=True)[1].max()
+    got = {r.node: r.component for r in graph.components(simhash.links(points, hot=32)).collect()}
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
+    for i in range(len(fp)):
+        group, todo = {i}, [i]
+        while todo:
+            new = set(np.flatnonzero(near[todo.pop()]).tolist()) - group
+            group |= new
+            todo += new
+        assert got.get(i, i) == min(group)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201)], "a long, b long")
     got = {r.node: r.component for r in graph.components(links).collect()}
