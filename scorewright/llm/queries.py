@@ -103,5 +103,20 @@ from cut left join ids using (r) left join named using (r)
 """
 
 
+#: op2 in DuckDB's SQL: every window as text with the smallest document that has it; a word goes if any of the 13 windows that cover it repeats.
+SUBSTRING_SQL = """
+with docs as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+spot as (select r, doc_id, words, unnest(range(1, len(words) - 11)) as i from docs where len(words) >= 13 and doc_id is not null),
+win as (select r, doc_id, i, array_to_string(words[i : i + 12], ' ') as w from spot),
+least as (select w, min(doc_id) as first_doc from win group by w),
+hit as (select r, i from win join least using (w) where doc_id > first_doc),
+gone as (select distinct r, i + unnest(range(13)) as i from hit),
+word as (select r, unnest(words) as w, generate_subscripts(words, 1) as i from docs),
+kept as (select word.r, string_agg(w, ' ' order by i) as kept from word anti join gone on word.r = gone.r and word.i = gone.i group by word.r),
+lost as (select r, count(*) as n from gone group by r)
+select doc_id, len(words) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from docs left join lost using (r) left join kept using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_license_scan": license_sql()}
+    return {"op2_substring_dedup": SUBSTRING_SQL, "op9_license_scan": license_sql()}
