@@ -13,6 +13,8 @@ from ..functions.judgejson import scores
 
 #: Token budgets of judge families; others get DEFAULT.
 DEFAULT, TRIES = 3072, 3
+#: Judges of one run at most.
+JUDGES = 1000
 
 
 def retried(fetch: Callable[[str], tuple[int, str]], url: str, tries: int = 3, sleep: Callable[[float], None] = time.sleep) -> str | None:
@@ -42,7 +44,9 @@ def asked(client: Callable[[str, str, int], str], judge: str, prompt: str, budge
 
 def work_list(answers: DataFrame, judges: DataFrame, done: DataFrame) -> DataFrame:
     """(question_id, answerer, prompt, judge) still to be judged: each answer by each of the few judges, less what is done."""
-    names = [r[0] for r in judges.select("judge").distinct().orderBy("judge").limit(1000).collect()]
+    names = [r[0] for r in judges.select("judge").distinct().orderBy("judge").limit(JUDGES + 1).collect()]
+    if len(names) > JUDGES:
+        raise ValueError(f"more than {JUDGES} judges: run them in parts")
     rows = answers.withColumn("judge", F.explode(F.array(*map(F.lit, names)))) if names else answers.where("false").withColumn("judge", F.lit(""))
     return rows.join(done.select("question_id", "answerer", "judge"), ["question_id", "answerer", "judge"], "left_anti")
 

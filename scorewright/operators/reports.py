@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sampling import hash_ranks
+
 
 def canonical(name: str, aliases: dict[str, str]) -> Column:
     """The canonical form of a name; unknown names stay."""
@@ -33,15 +35,16 @@ def upsert(old: DataFrame, fresh: DataFrame, key: list[str], values: list[str])
 def bootstrap(rows: DataFrame, by: str, order: str, delta: str, resamples: int) -> DataFrame:
     """Paired bootstrap by group: point, linear 2.5 and 97.5 percentiles, two-sided p, significance.
 
-    A group's values become one array (they are per-question deltas of an evaluation, some hundreds); each resample
-    is a row that sums its draws from the array, so nothing of resamples x n rows is shuffled.
+    Rows get places 0..n-1 in draw order of the integer key `order`; resample b takes the values at n places computed from
+    b and a counter. Draws meet values in a join on (group, place) and combine by (group, b) before they are shuffled
+    again, so no group is ever gathered. Null deltas are left out.
     """
-    values = rows.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, delta))), lambda x: x[delta]).alias("v"))
-    values = values.withColumn("n", F.size("v").cast("long"))
-    b = values.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long")))).repartition(by, "b")
-    at = lambda j: (F.col("b") * 7919 + j * 104729 + (F.col("b") * j) % 1009) % F.col("n")
-    drawn = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(0.0), lambda s, j: s + F.get("v", at(j).cast("int")))
-    means = b.select(by, F.round(drawn / F.col("n"), 9).alias("m"))  # sums in another order must not move a mean across 0
+    rows = rows.where(F.col(delta).isNotNull())
+    placed = hash_ranks(rows, order, [by]).select(by, (F.col("rank") - 1).alias("i"), F.col("size").alias("n"), F.col(delta).alias("d"))
+    b = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long")))
+    place = (F.col("b") * 7919 + F.col("i") * 104729 + (F.col("b") * F.col("i")) % 1009) % F.col("n")
+    draws = placed.select(by, "i", "n", b.alias("b")).select(by, "b", place.alias("i"))
+    means = draws.join(placed.select(by, "i", "d"), [by, "i"]).groupBy(by, "b").agg(F.round(F.avg("d"), 9).alias("m"))  # sums in another order must not move a mean across 0
     q = means.groupBy(by).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((F.col("m") <= 0).cast("double")).alias("below"))
     point = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(delta).alias("point"))
     lo, hi = F.col("q")[0], F.col("q")[1]

@@ -15,19 +15,39 @@ def draw(key: Column, seed: int = 42) -> Column:
     return F.pmod(key.cast("long") % RANGE * 48271 + seed * 7919, F.lit(RANGE))
 
 
+def cell_ranks(rows: DataFrame, by: list[str], cells: dict[str, Column], order: list[Column], cell_order: list[Column]) -> DataFrame:
+    """rows with `rank` (1..) in an order within a group and `size` of the group; rank follows cells, then order.
+
+    A group can be a third of the table, so rows are ranked inside cells of the order, and the sizes of the cells before
+    are added: one row for each cell of a group, not the group, is what a task holds.
+    """
+    rows = rows.withColumns(cells)
+    counts = rows.groupBy(*by, *cells).agg(F.count("*").alias("_n"))
+    below = Window.partitionBy(*by).orderBy(*cell_order).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"_below": F.coalesce(F.sum("_n").over(below), F.lit(0)), "size": F.sum("_n").over(Window.partitionBy(*by))})
+    inside = F.row_number().over(Window.partitionBy(*by, *cells).orderBy(*order))
+    ranked = rows.withColumn("_r", inside).join(counts.drop("_n"), [*by, *cells])
+    return ranked.withColumn("rank", F.col("_below") + F.col("_r")).drop("_r", "_below", *cells)
+
+
 def hash_ranks(rows: DataFrame, key: str, by: list[str], seed: int = 42) -> DataFrame:
-    """rows with `rank` (1..) by draw order within a group and `size` of the group.
+    """rows with `rank` (1..) by draw order within a group and `size` of the group; CELLS cells a group."""
+    rows = rows.withColumn("_d", draw(F.col(key), seed))
+    return cell_ranks(rows, by, {"_c": F.floor(F.col("_d") * CELLS / RANGE)}, [F.col("_d"), F.col(key)], [F.col("_c")]).drop("_d")
+
+
+def ordered_ranks(rows: DataFrame, key: str, by: list[str], value: str, descending: bool = False) -> DataFrame:
+    """rows with `rank` (1..) by value, then integer key, within a group and `size` of the group.
 
-    A group can be a third of the table, so ranks are counted in cells of the draw: a window inside each cell, plus the
-    sizes of the cells below, which are CELLS rows a group at most.
+    Made for scores of few levels: a cell is one level and one of CELLS ranges of the key, because a single level can
+    hold most rows. Null values and keys are left out.
     """
-    rows = rows.withColumn("_d", draw(F.col(key), seed)).withColumn("_c", F.floor(F.col("_d") * CELLS / RANGE))
-    cells = rows.groupBy(*by, "_c").agg(F.count("*").alias("_n"))
-    below = Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumns({"_below": F.coalesce(F.sum("_n").over(below), F.lit(0)), "size": F.sum("_n").over(Window.partitionBy(*by))})
-    inside = F.row_number().over(Window.partitionBy(*by, "_c").orderBy("_d", key))
-    ranked = rows.withColumn("_r", inside).join(cells.drop("_n"), [*by, "_c"])
-    return ranked.withColumn("rank", F.col("_below") + F.col("_r")).drop("_d", "_c", "_r", "_below")
+    rows = rows.where(F.col(value).isNotNull() & F.col(key).isNotNull())
+    ends = rows.agg(F.min(key).cast("long").alias("_lo"), F.max(key).cast("long").alias("_hi"))
+    rows = rows.crossJoin(F.broadcast(ends))  # one row
+    cell = F.floor((F.col(key) - F.col("_lo")) / (F.floor((F.col("_hi") - F.col("_lo")) / CELLS) + 1))
+    level = F.col("_v").desc() if descending else F.col("_v")
+    return cell_ranks(rows, by, {"_v": F.col(value), "_c": cell}, [F.col(key)], [level, F.col("_c")]).drop("_lo", "_hi")
 
 
 def stratified_split(rows: DataFrame, key: str, stratum: str, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.stats import correlation_p
 from ..operators import agreement as A
 from ..operators import preferences as P
+from ..operators.sampling import ordered_ranks
 from ..registry import query
 from ..sources.views import COMPLETE_SQL, DIMS, JUDGMENTS_SQL, judgments
 
@@ -64,8 +64,7 @@ def judge_spread_topk(spark, sf_dir):
 
 @query(f"with {SPREAD_SQL} select question_id, answerer, spread, row_number() over (partition by answerer order by spread desc, question_id) as rank from spread")
 def judge_spread_rank(spark, sf_dir):
-    w = Window.partitionBy("answerer").orderBy(F.desc("spread"), "question_id")
-    return _spread(spark, sf_dir).select("question_id", "answerer", "spread", F.row_number().over(w).cast("long").alias("rank"))
+    return ordered_ranks(_spread(spark, sf_dir), "question_id", ["answerer"], "spread", descending=True).select("question_id", "answerer", "spread", "rank")
 
 
 @query(f"""with {COMPLETE_SQL} select p_brand as topic, round(avg(overall), 6) as mean, count(*) as n from complete join part on p_partkey = question_id group by p_brand having count(*) >= 5

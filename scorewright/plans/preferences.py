@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import preferences as P
+from ..operators.sampling import ordered_ranks
 from ..registry import query
 from ..sources.views import COMPARISONS_SQL, DIMS, JUDGMENTS_SQL, judgments, nested
 
@@ -101,8 +101,7 @@ select *, row_number() over (partition by judge order by abs_diff, question_id)
 on k = case i when 1 then 1 when 2 then n // 2 + 1 else n end""")
 def gap_picks(spark, sf_dir):
     """Smallest, middle and largest gap of each judge."""
-    w = Window.partitionBy("judge")
-    rows = _pairs(spark, sf_dir).withColumns({"k": F.row_number().over(w.orderBy("abs_diff", "question_id")), "n": F.count("*").over(w)})
+    rows = ordered_ranks(_pairs(spark, sf_dir), "question_id", ["judge"], "abs_diff").withColumnsRenamed({"rank": "k", "size": "n"})
     at = F.explode(F.array(F.struct(F.lit("min").alias("pick"), F.lit(1).cast("long").alias("i")), F.struct(F.lit("mid").alias("pick"), F.expr("n div 2 + 1").alias("i")), F.struct(F.lit("max").alias("pick"), F.col("n").alias("i"))))
     return rows.select("question_id", "judge", "abs_diff", "k", at.alias("p")).where("k = p.i").select("question_id", "judge", "abs_diff", "p.pick")
 

@@ -119,8 +119,8 @@ def rejudge_upsert(spark, sf_dir):
     return upsert(old, fresh, ["question_id", "answerer", "judge"], ["accuracy", "citation_quality"])
 
 
-@query(f"""with {EVAL_SQL}, d as (select folder, question_id, trained - baseline as delta, row_number() over (partition by folder order by question_id) - 1 as i, count(*) over (partition by folder) as n
- from sides where trained is not null and baseline is not null and question_id <= 400),
+@query(f"""with {EVAL_SQL}, d as (select folder, question_id, trained - baseline as delta, row_number() over (partition by folder order by ((question_id % 1000003) * 48271 + 332598) % 1000003, question_id) - 1 as i, count(*) over (partition by folder) as n
+ from sides where trained is not null and baseline is not null),
 draw as (select f.folder, b, j, (b * 7919 + j * 104729 + (b * j) % 1009) % n as i from (select distinct folder, n from d) f, range(100) t(b), range(n) u(j)),
 means as (select draw.folder, b, round(avg(delta), 9) as m from draw join d on d.folder = draw.folder and d.i = draw.i group by 1, 2),
 point as (select folder, avg(delta) as point, count(*) as n from d group by 1),
@@ -128,7 +128,7 @@ ci as (select folder, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as
 select folder, n, round(point, 6) as point, round(lo, 6) as lo, round(hi, 6) as hi, round(least(1.0::double, 2 * least(below, 1 - below)), 6) as p, lo > 0 or hi < 0 as significant from point join ci using (folder)""")
 def boot_ci(spark, sf_dir):
     """Paired bootstrap intervals of the trained side's gain by folder; draws are arithmetic in both engines."""
-    rows = _sides(spark, sf_dir).where("question_id <= 400").select("folder", "question_id", (F.col("trained") - F.col("baseline")).alias("delta")).where("delta is not null")
+    rows = _sides(spark, sf_dir).select("folder", "question_id", (F.col("trained") - F.col("baseline")).alias("delta")).where("delta is not null")
     return bootstrap(rows, "folder", "question_id", "delta", 100)
 
 

@@ -28,24 +28,30 @@ def keyword_zones(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.zones(F.col("text"), ZONES), ",").alias("zones"))
 
 
-@query("""with a as (select p_partkey as id, p_brand as regulation, p_size % 25 as zone from part where p_partkey % 10 = 0)
-select 'z' || a.zone as zone, a.regulation || '_Art' || a.id || '_x_' || b.regulation || '_Art' || b.id as pair_id from a join a b on a.zone = b.zone and a.regulation < b.regulation""")
+ARTICLES_SQL = "a as (select l_orderkey as zone, l_returnflag as regulation, l_partkey as id from lineitem)"
+
+
+def _articles(spark, sf_dir):
+    """Articles of regulations in zones: the lines of orders, so that zones are many and small at any scale."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("zone"), F.col("l_returnflag").alias("regulation"), F.col("l_partkey").alias("id"))
+
+
+@query(f"""with {ARTICLES_SQL} select a.zone, a.regulation || '_Art' || a.id || '_x_' || b.regulation || '_Art' || b.id as pair_id from a join a b on a.zone = b.zone and a.regulation < b.regulation""")
 def zone_pairs(spark, sf_dir):
     """Article pairs of different regulations within a zone that involves two or more: an equi-join on the zone."""
-    a = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("regulation"), (F.col("p_size") % 25).alias("zone"))
-    many = a.groupBy("zone").agg(F.count_distinct("regulation").alias("n")).where("n >= 2").select("zone")
+    a = _articles(spark, sf_dir)
+    many = a.groupBy("zone").agg((F.min("regulation") < F.max("regulation")).alias("many")).where("many").select("zone")
     a = a.join(many, "zone", "left_semi")
     b = a.select(F.col("id").alias("id_b"), F.col("regulation").alias("regulation_b"), "zone")
     pairs = a.join(b, "zone").where("regulation < regulation_b")
-    return pairs.select(F.concat(F.lit("z"), "zone").alias("zone"), F.concat("regulation", F.lit("_Art"), "id", F.lit("_x_"), "regulation_b", F.lit("_Art"), "id_b").alias("pair_id"))
+    return pairs.select("zone", F.concat("regulation", F.lit("_Art"), "id", F.lit("_x_"), "regulation_b", F.lit("_Art"), "id_b").alias("pair_id"))
 
 
-@query("""with a as (select p_brand as regulation, p_size % 25 as zone, p_partkey as id from part where p_partkey % 10 = 0)
-select zone, regulation, array_to_string(list(cast(id as varchar) order by id), ',') as articles, count(*) as n from a group by zone, regulation""")
+@query(f"with {ARTICLES_SQL} select zone, regulation, array_to_string(list(cast(id as varchar) order by id), ',') as articles, count(*) as n from a group by zone, regulation")
 def zone_lists(spark, sf_dir):
     """Ordered article lists by zone and regulation."""
-    a = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").groupBy((F.col("p_size") % 25).alias("zone"), F.col("p_brand").alias("regulation"))
-    return a.agg(F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string")), ",").alias("articles"), F.count("*").alias("n"))
+    a = _articles(spark, sf_dir).groupBy("zone", "regulation")
+    return a.agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("articles"), F.count("*").alias("n"))
 
 
 #: A regulation for each supplier: preamble, chapters and articles, of which some are to be left out.
