@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorewright.llm import decontam, graph, imatch, langid, license_rules, quality, simhash, substring_dedup, token_counts, token_packs, vector_packing
-from scorewright.llm.queries import license_sql, queries, table, tokenizer_path
+from scorewright.llm.queries import SUBSTRING_SQL, license_sql, queries, table, tokenizer_path
 from scorewright.llm.tokens import byte_bpe
 
 SF = "/root/testdata/sf0.001"
@@ -156,6 +156,16 @@ def test_substring_dedup_across_blocks(docs):
     assert one == many
 
 
+def test_substring_sql(docs, rows):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql("create table documents(doc_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", rows)
+    got = substring_dedup.digest(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, c.sql(SUBSTRING_SQL).fetchall()))
+
+
 def test_imatch(docs, rows):
     known = [(i, t) for i, t in rows if i is not None]
     got = imatch.fingerprints(docs).collect()
