@@ -57,6 +57,12 @@ def stratified_split(rows: DataFrame, key: str, stratum: str, train: float = 0.7
     return r.withColumn("split", F.when(F.col("rank") <= a, "train").when(F.col("rank") <= b, "val").otherwise("test")).drop("rank", "size")
 
 
+def held_out(rows: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
+    """rows with `split`: `eval` for an exact share (rounded up) of all rows in draw order, else `train`."""
+    r = hash_ranks(rows, key, [], seed)
+    return r.withColumn("split", F.when(F.col("rank") <= F.ceil(F.col("size") * share), "eval").otherwise("train")).drop("rank", "size")
+
+
 def sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows in draw order (a top-n, not a sort of everything)."""
     return rows.orderBy(draw(F.col(key), seed), key).limit(n)

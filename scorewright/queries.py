@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import citations, descriptive, preferences, reports, texts, training, vectors  # noqa: F401
+from .plans import citations, descriptive, gates, preferences, reports, texts, training, vectors  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 

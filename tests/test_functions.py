@@ -134,3 +134,31 @@ def test_resumed_stream_takes_each_key_once(spark, tmp_path):
         (src / f"{k}.json").write_text('{"id": "a"}\n{"id": "b%d"}\n' % k)
         judged_stream(spark, str(src), "id string", "id", lambda d: d.withColumn("s", F.lit(1)), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.id for r in spark.read.json(str(tmp_path / "out")).collect()) == ["a", "b0", "b1"]
+
+
+def test_names_and_budgets(spark):
+    from scorewright.functions import names as N
+
+    df = spark.createDataFrame([("a/b/eval_run1/", "crypto_assets", "x/Qwen-1"), ("eval_eval_z", "", "x/other"), ("", "fund_eval_x", None)], "p string, z string, m string")
+    got = df.select(N.folder_name(F.col("p")), N.title_case(F.col("z")), N.request(F.col("m"), F.lit("hi")), N.budget(F.col("m"), {"x/Qwen-1": 9}, 3)).collect()
+    assert [tuple(r) for r in got] == [("run1", "Crypto Assets", "hi\n\n/no_think", 9), ("eval_z", "", "hi", 3), ("", "Fund Eval X", "hi", 3)]
+
+
+def test_held_out_is_exact(spark):
+    rows = S.held_out(spark.range(1, 142).withColumnRenamed("id", "k"), "k", 0.05)
+    assert {r[0]: r[1] for r in rows.groupBy("split").count().collect()} == {"eval": 8, "train": 133}
+
+
+def test_topics_go_to_the_nearest_kept_centroid(spark):
+    import numpy as np
+
+    from scorewright.operators.topics import clusters
+
+    rng = np.random.default_rng(3)
+    data = [(i, [float(v) for v in np.eye(3)[i % 3] + rng.normal(0, 0.05, 3)]) for i in range(60)] + [(60, [-1.0, -1.0, -1.0]), (61, None), (62, [0.0, 0.0, 0.0]), (63, [1.0])]
+    df = spark.createDataFrame(data, "id long, v array<double>")
+    got = {r["id"]: r for r in clusters(df, "v", 4, 5).collect()}
+    assert len(got) == 64 and all(got[i]["topic"] == -1 for i in (61, 62, 63))
+    assert len({got[i]["topic"] for i in range(60)}) == 3 and all(got[i]["topic"] == got[i % 3]["topic"] for i in range(60))
+    assert got[60]["moved"] and got[60]["topic"] >= 0
+    assert clusters(df.where("id > 99"), "v", 4, 5).collect() == []
