@@ -63,6 +63,8 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         out.append((x >> np.uint64(52))[same])
         of.append(own[:m][same])
+    if not out:  # no letter at all
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), counts
     return np.concatenate(out).astype(np.int32), np.concatenate(of), counts
 
 
@@ -136,7 +138,7 @@ def fit(x: np.ndarray, langs: list[str], ridge: float = 1e-3) -> Model:
     w = np.array([len(langs) / len(names) / count[v] for v in langs])
     gram = (z @ z.T).astype(np.float64)
     centre = (w[:, None] * y).sum(axis=0) / w.sum()
-    dual = np.linalg.solve(gram + np.diag(ridge * np.trace(gram) / len(langs) / w), y - centre)
+    dual = np.linalg.solve(gram + np.diag(ridge * max(np.trace(gram), 1e-9) / len(langs) / w), y - centre)
     weights = z.T.astype(np.float64) @ dual
     return Model(names, code, (weights * scale[:, None]).astype(np.float32), centre - mean @ weights)
 
@@ -146,7 +148,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, langs = b.column(1).to_pylist(), b.column(0)
         for s in range(0, len(texts), 64):
             x = frequencies(texts[s : s + 64])
-            yield pa.RecordBatch.from_arrays([langs.slice(s, 64), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "x"])
+            some = x.any(axis=1)  # texts without letters teach nothing
+            yield pa.RecordBatch.from_arrays([langs.slice(s, 64).filter(pa.array(some)), pa.array([v.tobytes() for v in x[some]], pa.binary())], names=["lang", "x"])
 
 
 def learn(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Model:

@@ -328,6 +328,18 @@ def test_language_id(spark, docs):
     assert {x.lang_pred for x in langid.identify(docs, none).collect()} == {"und"}
 
 
+def test_language_id_without_letters(spark):
+    bare = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "12 345", "en"), (4, "?!", "en"), (5, "0", "en"), (6, "7", "en"), (None, " ", "en")], "doc_id long, text string, lang string").coalesce(1)
+    assert all(len(x) == 0 for x in langid.grams([None, "", "12 345"])[:2]) and langid.grams([None, "", "12 345"])[2].tolist() == [0, 0, 0]
+    learned = langid.learn(table(spark, SF, "documents"), F.lit(True))
+    same = spark.createDataFrame([(i, "same", "en") for i in range(9)], "doc_id long, text string, lang string")
+    for model in (learned, langid.learn(bare, F.lit(True)), langid.learn(bare.union(same), F.lit(True))):
+        got = langid.identify(bare, model).collect()
+        assert len(got) == 7 and all((r.lang_pred, r.score, r.rejected) == ("und", 0, True) for r in got)
+    long = spark.createDataFrame([(1, "the way of the water " * 30_000), (2, "12")], "doc_id long, text string").coalesce(1)
+    assert [r.lang_pred == "und" for r in sorted(langid.identify(long, learned).collect())] == [False, True]
+
+
 @pytest.mark.parametrize("k", [2, 3, 4, 7, 9, 20])
 def test_codewords(k):
     c = langid.codewords(k)
