@@ -1,9 +1,11 @@
 """License scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised (lower case, letters and digits, one blank), and known license
-sentences become identifiers; the rest are dropped. A document's identifier sequence is then matched against ordered
-rules: the first rule in the list whose identifiers occur in it one after another names the license. Known sentences
-hold version numbers, so cutting happens only at a mark followed by a blank or the end, and at line ends.
+A text is cut into pieces at marks followed by a blank or the end and at line ends, each is normalised (lower case, letters
+and digits, one blank), and a piece or a run of pieces that follow one another is a known license sentence if together they
+have its words: known sentences hold marks ("free software; you can", "v. 2.0") and are usually wrapped over lines. Blank
+lines end a run, also those that hold only a comment's prefix. Known sentences become identifiers; the rest is dropped. A
+document's identifier sequence is then matched against ordered rules: the first rule in the list whose identifiers occur in
+it one after another names the license.
 """
 
 from __future__ import annotations
@@ -66,11 +68,29 @@ RULES = [
 ]
 #: Every known sentence holds one of these, so other texts have no identifiers (checked by a test).
 HINTS = ("licen", "permi", "software", "copyright", "public", "redistribut", "warrant", "required by", "program", "endorse", "cc0")
-CUT = r"[.;:!?]+(?=\s|$)|[\r\n]+"
+#: Replaced in lower case one after another; what is left has a piece in each line, and an empty line where a run ends.
+STEPS = (
+    (r"\r\n?", "\n"),
+    (r"(?m)^[ \t]*@?(?:rem|dnl)(?=\s)", ""),  # comment prefixes in letters; others are no letters
+    (r"[.;:!?]+[ \t]*(?=\n|$)", ""),
+    (r"[.;:!?]+(?=\s)", "\n"),
+    (r"[^\p{L}\p{N}\n]+", " "),
+    (r" ?\n ?", "\n"),
+    (r"^ | $", ""),
+)
 
 
-def normalise(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
+def pieces(text: Column) -> Column:
+    text = F.lower(text)
+    for what, by in STEPS:
+        text = F.regexp_replace(text, what, by)
+    return text
+
+
+def any_known() -> str:
+    """A pattern of whole lines that are a known sentence together, the longest first."""
+    forms = sorted((f for forms in SENTENCES.values() for f in forms), key=lambda f: (-len(f), f))
+    return "(?m)^(?:" + "|".join(f.replace(" ", r"[ \n]") for f in forms) + ")$"
 
 
 def known() -> Column:
@@ -82,8 +102,8 @@ def sentence_ids(text: Column, table: Column | None = None) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     table = known() if table is None else table
     hinted = F.lower(text).rlike("|".join(HINTS))
-    parts = F.transform(F.split(text, CUT), lambda s: F.when(F.lower(s).rlike("|".join(HINTS)), F.element_at(table, normalise(s))))
-    return F.when(hinted, F.filter(parts, lambda i: i.isNotNull())).otherwise(F.array().cast("array<string>"))
+    found = F.regexp_extract_all(pieces(text), F.lit(any_known()), F.lit(0))
+    return F.when(hinted, F.transform(found, lambda s: F.element_at(table, F.translate(s, "\n", " ")))).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:

@@ -85,7 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def license_sql() -> str:
-    """op9 in DuckDB's SQL: the same cut, normal form, table and rules."""
+    """op9 in DuckDB's SQL: the same normal form, table and rules; a known sentence over several pieces, as when wrapped, is not found by it."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     forms = ", ".join(f"({quote(f)}, {quote(k)})" for k, fs in license_rules.SENTENCES.items() for f in fs)
     rules = ", ".join(f"({i}, {quote(name)}, {quote('>' + '>'.join(ids) + '>')})" for i, (name, ids) in enumerate(license_rules.RULES))

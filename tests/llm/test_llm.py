@@ -394,3 +394,68 @@ def test_pipeline(spark):
     assert decontam.contaminated(docs, table(spark, SF, "benchmark")).count() == 0
     kept = {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()}
     assert kept == {r.doc_id for r in docs.collect()}
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+NAME = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this file."""
+WRAPPED = [("mit", MIT), ("bsd-2-clause", BSD), ("bsd-3-clause", BSD + NAME), ("isc", ISC), ("gpl-3.0-or-later", GPL), ("gpl-2.0-or-later", GPL.replace("version 3", "version 2")), ("apache-2.0", APACHE), ("mpl-2.0", MPL)]
+
+
+def test_wrapped_licenses(spark):
+    rows = []
+    for name, t in WRAPPED:
+        for prefix in ("", "// ", " * ", "# ", "dnl ", "REM "):
+            rows.append((name, "\n".join((prefix + x).rstrip() for x in t.split("\n"))))
+        rows += [(name, t.replace("\n", "\r\n")), (name, f"Copyright (c) 2020 Some One\n{t}"), (name, "Some code.\n\n/*\n" + t + "\n*/\nx = 1")]
+    rows += [(None, ISC.replace("any\npurpose", "any\n\npurpose")), (None, ISC.replace("fee", "some fee")), ("mit", "Title\nReleased under the MIT License\nmore text")]
+    got = {r.doc_id: r for r in license_rules.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert [(i, got[i].license) for i in range(len(rows))] == [(i, name) for i, (name, _) in enumerate(rows)]
+    assert got[[n for n, _ in rows].index("apache-2.0")].sentence_ids == ["APACHE_NOTICE", "APACHE_LIMIT", "APACHE_COPY", "APACHE_BASIS"]
