@@ -3,7 +3,9 @@
 Each language has a codeword of +1/-1; one binary classifier for each bit reads hashed character n-grams (1 to 3 letters,
 lower case, one blank between words). The classifiers are ridge classifiers, fitted at once on a bounded sample of
 labelled documents. Decoding adds the exponential loss of every bit's margin and takes the codeword of the least loss; the
-score is that codeword's share of exp(-loss), and a small gap to the second best flags ambiguity. With few languages the
+score is that codeword's share of exp(-loss), and a small gap to the second best flags ambiguity. A text is rejected if its
+n-grams are rarer in the language found than those of that language's own sample (mean -log frequency, with an allowance
+for short texts): the loss of the nearest codeword can't tell, as a text of an unlearned language may lie close to one. With few languages the
 code has every split of them once (up to 7 languages: 63 bits); with more, random splits with distinct codewords.
 """
 
@@ -21,8 +23,10 @@ from .blocks import batch
 
 #: Hashed n-gram dimensions; documents of each language in the sample; languages learned at most; fewest documents.
 DIMS, SAMPLE, LANGUAGES, FEWEST = 4096, 300, 64, 5
-#: Documents whose best loss is this much above a clear decision's are rejected; ambiguity gap; margin scale.
+#: Ambiguity gap; margin scale.
 AMBIGUOUS, SHARPNESS = 0.05, 4.0
+#: Rejection: standard errors allowed for a text's length; share of labelled rows that stay; nats above those; smoothing of frequencies.
+ERRORS, STAY, SLACK, SMOOTH = 4.0, 0.99, 0.5, 0.02
 #: Characters read at a time.
 BLOCK = 1 << 19
 ROW = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_()), ("rejected", pa.bool_())])
@@ -87,47 +91,81 @@ class Model:
     code: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
+    #: -log frequency of each n-gram in each language; the highest mean that stays; the deviation of one n-gram.
+    rarity: np.ndarray
+    limit: np.ndarray
+    spread: np.ndarray
 
-    def margins(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        g, own, counts = grams(texts)
-        out = np.zeros((len(texts), self.weights.shape[1]))
+    def margins(self, g: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((n, self.weights.shape[1]))
         if len(g):
             starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             for j in range(self.weights.shape[1]):
                 out[own[starts], j] = np.add.reduceat(self.weights[g, j], starts)
-            out /= np.maximum(1, np.bincount(own, minlength=len(texts)))[:, None]
-        return out + self.bias, counts
+            out /= np.maximum(1, np.bincount(own, minlength=n))[:, None]
+        return out + self.bias
+
+    def strange(self, g: np.ndarray, own: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Whether each text's n-grams are too rare in the language of number `best`."""
+        n = np.maximum(1, np.bincount(own, minlength=len(best)))
+        mean = np.bincount(own, self.rarity[g, best[own]], len(best)) / n
+        return mean - ERRORS * self.spread[best] / np.sqrt(n) > self.limit[best]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool, bool]]:
         """Language, score, ambiguous, rejected. No letters: `und`, score 0, rejected."""
-        margins, counts = self.margins(texts)
-        out = []
-        for m, n in zip(margins, counts, strict=True):
-            if not n or not self.languages:
-                out.append(("und", 0.0, False, True))
+        if not self.languages:
+            return [("und", 0.0, False, True)] * len(texts)
+        g, own, counts = grams(texts)
+        best, out = np.zeros(len(texts), np.int64), []
+        for i, (m, n) in enumerate(zip(self.margins(g, own, len(texts)), counts, strict=True)):
+            if not n:
+                out.append(("und", 0.0, False))
                 continue
             loss = np.exp(-np.clip(SHARPNESS * self.code * m, -30, 30)).mean(axis=1)
             share = np.exp(-(loss - loss.min()))
             share /= share.sum()
             order = np.argsort(loss, kind="stable")
             gap = 1.0 if len(order) < 2 else share[order[0]] - share[order[1]]
-            # far from every codeword: most bits disagree with the best one
-            out.append((self.languages[order[0]], float(share[order[0]]), bool(gap < AMBIGUOUS), bool((self.code[order[0]] * m).mean() <= 0)))
-        return out
+            best[i] = order[0]
+            out.append((self.languages[order[0]], float(share[order[0]]), bool(gap < AMBIGUOUS)))
+        return [(*r, bool(not n or far)) for r, n, far in zip(out, counts, self.strange(g, own, best), strict=True)]
 
 
-def frequencies(texts: list[str | None]) -> np.ndarray:
+def frequencies(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the n-grams in each text, and their number."""
     g, own, _ = grams(texts)
     x = np.zeros((len(texts), DIMS), np.float32)
     np.add.at(x, (own, g), 1)
-    return x / np.maximum(1, x.sum(axis=1, keepdims=True))
+    return x / np.maximum(1, x.sum(axis=1, keepdims=True)), np.bincount(own, minlength=len(texts))
+
+
+def rarities(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """-log frequency of each n-gram in a language, the highest mean that stays, one n-gram's deviation.
+
+    The limit is the `STAY` quantile of the language's own rows, each half held against the other half's frequencies, less
+    the allowance for their lengths, and `SLACK`. A language of one row has no limit.
+    """
+
+    def profile(rows: np.ndarray) -> tuple[np.ndarray, float]:
+        q = (rows.mean(axis=0, dtype=np.float64) + SMOOTH / DIMS) / (1 + SMOOTH)
+        v = -np.log(q)
+        return v, float(np.sqrt(max(0.0, q @ v**2 - (q @ v) ** 2)))
+
+    rarity, spread = profile(x)
+    if len(x) < 2:
+        return rarity, np.inf, spread
+    over = []
+    for half in (0, 1):
+        v, s = profile(x[1 - half :: 2])
+        over.append(x[half::2] @ v - ERRORS * s / np.sqrt(sizes[half::2]))
+    return rarity, max(float(np.quantile(np.concatenate(over), STAY)), float(np.exp(-rarity) @ rarity)) + SLACK, spread
 
 
-def fit(x: np.ndarray, langs: list[str], ridge: float = 1e-3) -> Model:
-    """Ridge classifiers of all bits from n-gram frequencies; each language weighs the same."""
+def fit(x: np.ndarray, langs: list[str], sizes: np.ndarray, ridge: float = 1e-3) -> Model:
+    """Ridge classifiers of all bits from n-gram frequencies; each language weighs the same. sizes: n-grams of each row."""
     names = sorted(set(langs))
     if not names:
-        return Model([], np.zeros((0, 1)), np.zeros((DIMS, 1), np.float32), np.zeros(1))
+        return Model([], np.zeros((0, 1)), np.zeros((DIMS, 1), np.float32), np.zeros(1), np.zeros((DIMS, 0), np.float32), np.zeros(0), np.zeros(0))
     code = codewords(len(names))
     y = code[[names.index(v) for v in langs]]
     scale = 1 / np.sqrt(x.mean(axis=0) + 1e-5)
@@ -140,16 +178,18 @@ def fit(x: np.ndarray, langs: list[str], ridge: float = 1e-3) -> Model:
     centre = (w[:, None] * y).sum(axis=0) / w.sum()
     dual = np.linalg.solve(gram + np.diag(ridge * max(np.trace(gram), 1e-9) / len(langs) / w), y - centre)
     weights = z.T.astype(np.float64) @ dual
-    return Model(names, code, (weights * scale[:, None]).astype(np.float32), centre - mean @ weights)
+    of = np.array(langs)
+    rare, limit, spread = zip(*(rarities(x[of == v], sizes[of == v]) for v in names), strict=True)
+    return Model(names, code, (weights * scale[:, None]).astype(np.float32), centre - mean @ weights, np.array(rare, np.float32).T.copy(), np.array(limit), np.array(spread))
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, langs = b.column(1).to_pylist(), b.column(0)
         for s in range(0, len(texts), 64):
-            x = frequencies(texts[s : s + 64])
-            some = x.any(axis=1)  # texts without letters teach nothing
-            yield pa.RecordBatch.from_arrays([langs.slice(s, 64).filter(pa.array(some)), pa.array([v.tobytes() for v in x[some]], pa.binary())], names=["lang", "x"])
+            x, n = frequencies(texts[s : s + 64])
+            some = n > 0  # texts without letters teach nothing
+            yield pa.RecordBatch.from_arrays([langs.slice(s, 64).filter(pa.array(some)), pa.array([v.tobytes() for v in x[some]], pa.binary()), pa.array(n[some], pa.int64())], names=["lang", "x", "n"])
 
 
 def learn(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
@@ -161,15 +201,15 @@ def learn(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
     rows = docs.where(train).where("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().where(F.col("count") >= FEWEST).orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
-        return fit(np.zeros((0, DIMS), np.float32), [])
+        return fit(np.zeros((0, DIMS), np.float32), [], np.zeros(0))
     rate = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.2 * sample / n))))
     chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30)).select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    got: dict[str, list[bytes]] = {}
-    for r in chosen.mapInArrow(_frequencies, "lang string, x binary").toLocalIterator():
+    got: dict[str, list[tuple[bytes, int]]] = {}
+    for r in chosen.mapInArrow(_frequencies, "lang string, x binary, n long").toLocalIterator():
         if len(mine := got.setdefault(r["lang"], [])) < sample:
-            mine.append(bytes(r["x"]))
-    langs = [k for k in sorted(got) for _ in got[k]]
-    return fit(np.array([np.frombuffer(v, np.float32) for k in sorted(got) for v in sorted(got[k])]).reshape(-1, DIMS), langs)
+            mine.append((bytes(r["x"]), r["n"]))
+    rows = [(k, *v) for k in sorted(got) for v in sorted(got[k])]
+    return fit(np.array([np.frombuffer(v, np.float32) for _, v, _ in rows]).reshape(-1, DIMS), [k for k, _, _ in rows], np.array([n for _, _, n in rows]))
 
 
 def _predict(shared):
@@ -192,8 +232,8 @@ def _predict(shared):
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous, rejected for every row; whole texts are read.
 
-    A null text or one without letters gets `und` with score 0. `rejected` holds for those and for texts whose margins
-    disagree with the nearest codeword on balance. Ties of loss go to the language first in alphabetical order. Repeated
+    A null text or one without letters gets `und` with score 0. `rejected` holds for those and for texts
+    whose n-grams are rarer in the language found than those of its sample. Ties of loss go to the language first in alphabetical order. Repeated
     rows and null ids are kept; an empty table gives an empty result.
     """
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

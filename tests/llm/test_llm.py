@@ -340,6 +340,25 @@ def test_language_id_without_letters(spark):
     assert [r.lang_pred == "und" for r in sorted(langid.identify(long, learned).collect())] == [False, True]
 
 
+def test_language_rejection(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    real = table(spark, "/root/testdata/sf0.01", "documents")
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (30, 100, 300, 1000, 5000) for _ in range(8)]
+    junk += ["Привет, как дела? Это русский текст о погоде и о людях.", "这是一个中文句子，我们在这里测试"]
+    junk = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(junk)], "doc_id long, text string")
+    model = langid.learn(real, F.lit(True))
+    assert langid.identify(junk, model).where("not rejected").count() == 0
+    assert langid.identify(real, model).where("rejected").count() <= 0.01 * real.count()
+    for lang in ("de", "en"):
+        without = langid.learn(real, F.col("lang") != lang)
+        assert langid.identify(real.where(F.col("lang") == lang), without).where("not rejected").count() <= 0.05 * real.where(F.col("lang") == lang).count()
+        assert langid.identify(real.where(F.col("lang") != lang), without).where("rejected").count() <= 0.01 * real.count()
+    kept = corpus_pipeline.language_id(spark, real.unionByName(junk, allowMissingColumns=True), "")
+    assert kept.where("doc_id < 0").count() == 0 and kept.count() >= 0.99 * real.count()
+
+
 @pytest.mark.parametrize("k", [2, 3, 4, 7, 9, 20])
 def test_codewords(k):
     c = langid.codewords(k)
