@@ -3,8 +3,9 @@
 Terms are runs of letters and digits in lower case. The lexicon holds the terms whose document frequency lies in a band
 (inverse document frequency neither low nor high). A fingerprint has one hash for each of several randomised lexicon
 subsets: the document's distinct terms in that subset, sorted and hashed. Subsets keep 1/32 down to 1/2048 of the
-lexicon, so for any length some keep about one term; the likeness of two fingerprints is the share of equal hashes
-among subsets that keep a term of either text.
+lexicon, so that long texts have a few terms in some. A short text may have no term in any: then all its hashes are that of
+all its lexicon terms, or of all its terms if none is in the lexicon. The likeness of two fingerprints is the share of equal
+hashes among subsets that keep a term of either text.
 
 The lexicon is a bit map over `BUCKETS` hashed terms, 2^20 bits at any corpus size, so that every task carries it as a
 literal. Frequencies are counted for the buckets; rare terms that share a bucket add up, which the band's lower end
@@ -52,10 +53,15 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> Column
 
 
 def fingerprint(rows: DataFrame, text: str, out: str, bits: Column) -> DataFrame:
-    """rows with a column `out`, array<long>: a hash for each of SUBSETS, NONE where the subset keeps no term."""
+    """rows with a column `out`, array<long>: a hash for each of SUBSETS, NONE where the subset keeps no term.
+
+    Where no subset keeps one, each has the hash of all lexicon terms, else of all terms; NONE only for a text without terms.
+    """
     inside = lambda h: F.call_function("getbit", F.get(bits, F.shiftright(bucket(h), 6).cast("int")), bucket(h).bitwiseAND(F.lit(63)).cast("int")) == 1
     rows = rows.withColumn("terms", F.array_sort(F.filter(term_hashes(F.col(text)), inside)))  # a step of its own: Catalyst computes it once
-    return rows.withColumn(out, F.array(*(subset("terms", ((1 << n) - 1) << s) for n, s in SUBSETS))).drop("terms")
+    rows = rows.withColumn(out, F.array(*(subset("terms", ((1 << n) - 1) << s) for n, s in SUBSETS)))
+    whole = F.when(F.size("terms") > 0, F.xxhash64("terms")).otherwise(F.xxhash64(F.array_sort(term_hashes(F.col(text)))))
+    return rows.withColumn(out, F.when(F.exists(out, lambda h: h != NONE), F.col(out)).otherwise(F.array_repeat(whole, len(SUBSETS)))).drop("terms")
 
 
 def subset(terms: str, mask: int) -> Column:
@@ -105,7 +111,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of
-    the next document. Null texts count as empty. Texts without lexicon terms have an all-empty fingerprint, which is
+    the next document. Null texts count as empty. Only texts without terms have an all-empty fingerprint, which is
     like any other such (likeness 1). Equal texts have equal fingerprints. Rows with one doc_id follow by text.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -189,6 +189,19 @@ def test_imatch(docs, rows):
             assert r.near_edited == 1
 
 
+def test_imatch_of_short_texts(spark):
+    real = table(spark, SF, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    words = [w.strip(".,") for r in real.where("length(text) > 500").orderBy("doc_id").limit(40).collect() for w in r.text.split()[:6]]
+    texts = list(dict.fromkeys(" ".join(sorted({w.lower() for w in words[3 * i : 3 * i + 3]})) for i in range(80)))
+    short = spark.createDataFrame([(-1 - i, t) for i, t in enumerate([*texts, texts[0].upper(), "?!", ""])], "doc_id long, text string")
+    n = len(texts)
+    fp = {r.doc_id: r.fingerprint for r in imatch.fingerprints(real.unionByName(short)).where("doc_id < 0").collect()}
+    assert fp[-1] == fp[-1 - n] and fp[-2 - n] == fp[-3 - n]
+    assert all(fp[-1 - i] != fp[-2 - n] for i in range(n)) and len({fp[-1 - i] for i in range(n)}) >= 0.9 * n
+    bare = imatch.fingerprint(short, "text", "fp", F.array_repeat(F.lit(0).cast("long"), imatch.BUCKETS // 64)).collect()  # no lexicon: all terms count
+    assert len({tuple(r.fp) for r in bare}) == n + 1
+
+
 def test_token_counts(docs, rows):
     path = tokenizer_path("piece_bpe_32k.model")
     from tokenizers import Tokenizer, models, pre_tokenizers
