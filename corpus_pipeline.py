@@ -12,10 +12,8 @@ from scorewright.llm.queries import table, tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; `und` and texts that no codeword fits go."""
-    model = langid.learn(docs, F.lit(True))
-    rejected = langid.identify(docs, model).where("rejected").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Documents whose language is recognised; `und` and texts of no learned language go. Each row goes by its own text; doc_ids may be null or repeated."""
+    return langid.recognised(docs, langid.learn(docs, F.lit(True)))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +33,10 @@ def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
-    leaks = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that overlap a benchmark item go. Each row goes by the 64-bit hash of its text; doc_ids may be null or repeated."""
+    key = F.xxhash64(F.col("text").cast("string"))
+    leaks = decontam.contaminated(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(leaks, key == F.col("_leak"), "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -238,3 +238,26 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return own.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), ROW_SQL)
+
+
+def _recognised(shared, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            keep, texts, size = [], [], 0
+            for t in b.column(at):
+                texts.append(t.as_py())
+                size += len(texts[-1] or "")
+                if size >= BLOCK:
+                    keep += [not r[3] for r in model.predict(texts)]
+                    texts, size = [], 0
+            if texts:
+                keep += [not r[3] for r in model.predict(texts)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def recognised(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows that `identify` does not reject, whole; each is judged by its own text, whatever its doc_id. `text` is a string."""
+    return docs.mapInArrow(_recognised(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")), docs.schema)

@@ -372,6 +372,24 @@ def test_language_rejection(spark):
     assert kept.where("doc_id < 0").count() == 0 and kept.count() >= 0.99 * real.count()
 
 
+def test_stages_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    real = table(spark, SF, "documents")
+    clean = [r.text for r in real.where("lang = 'en' and length(text) between 500 and 3000").orderBy("doc_id").limit(3).collect()]
+    leak = max((r.text for r in table(spark, SF, "benchmark").collect()), key=len)
+    bad = {"language_id": "xqzj wvkq zzxq jjkw qqvx " * 20, "decontamination": f"{clean[0]} {leak}"}
+    for name, text in bad.items():
+        rows = [(-7, text), (-7, clean[0]), (None, text), (None, clean[1]), (-8, clean[2]), (-8, clean[2])]
+        planted = spark.createDataFrame(rows, "doc_id long, text string")
+        stage = dict(corpus_pipeline.STAGES)[name]
+        base = real.where("lang is not null") if name == "language_id" else real.where("false")
+        got = stage(spark, base.unionByName(planted, allowMissingColumns=True), SF)
+        assert got.columns == real.columns
+        want = [r for r in rows if r[1] != text] if name == "language_id" else [r for r in rows if r[1] != text and not decontam.contaminated(planted.where(F.col("text") == r[1]), table(spark, SF, "benchmark")).count()]
+        assert sorted(map(str, got.where("doc_id < 0 or doc_id is null").select("doc_id", "text").collect())) == sorted(map(str, spark.createDataFrame(want, "doc_id long, text string").collect())), name
+
+
 @pytest.mark.parametrize("k", [2, 3, 4, 7, 9, 20])
 def test_codewords(k):
     c = langid.codewords(k)
