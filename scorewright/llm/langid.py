@@ -4,7 +4,7 @@ Each language has a codeword of +1/-1; one binary classifier for each bit reads
 lower case, one blank between words). The classifiers are ridge classifiers, fitted at once on a bounded sample of
 labelled documents. Decoding adds the exponential loss of every bit's margin and takes the codeword of the least loss; the
 score is that codeword's share of exp(-loss), and a small gap to the second best flags ambiguity. A text is rejected if its
-n-grams are rarer in the language found than those of that language's own sample (mean -log frequency, with an allowance
+n-grams are rarer in every language than those of that language's own sample (mean -log frequency, with an allowance
 for short texts): the loss of the nearest codeword can't tell, as a text of an unlearned language may lie close to one. With few languages the
 code has every split of them once (up to 7 languages: 63 bits); with more, random splits with distinct codewords.
 """
@@ -106,10 +106,17 @@ class Model:
         return out + self.bias
 
     def strange(self, g: np.ndarray, own: np.ndarray, best: np.ndarray) -> np.ndarray:
-        """Whether each text's n-grams are too rare in the language of number `best`."""
-        n = np.maximum(1, np.bincount(own, minlength=len(best)))
-        mean = np.bincount(own, self.rarity[g, best[own]], len(best)) / n
-        return mean - ERRORS * self.spread[best] / np.sqrt(n) > self.limit[best]
+        """Whether each text's n-grams are too rare in every language; most texts are done with that of number `best`."""
+        n = np.bincount(own, minlength=len(best))
+        left = np.ones(len(best), bool)
+        for j in (best, *(np.full(len(best), k) for k in range(len(self.languages)))):
+            if not left.any():
+                break
+            some = left[own]
+            of, size = own[some], np.maximum(1, n)
+            mean = np.bincount(of, self.rarity[g[some], j[of]], len(best)) / size
+            left &= mean - ERRORS * self.spread[j] / np.sqrt(size) > self.limit[j]
+        return left
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool, bool]]:
         """Language, score, ambiguous, rejected. No letters: `und`, score 0, rejected."""
@@ -233,7 +240,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous, rejected for every row; whole texts are read.
 
     A null text or one without letters gets `und` with score 0. `rejected` holds for those and for texts
-    whose n-grams are rarer in the language found than those of its sample. Ties of loss go to the language first in alphabetical order. Repeated
+    whose n-grams are rarer in every language than those of its sample. Ties of loss go to the language first in alphabetical order. Repeated
     rows and null ids are kept; an empty table gives an empty result.
     """
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
