@@ -16,8 +16,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Entries that one worker keeps in a memo; beyond it, rare words are computed anew each time.
-MEMO = 300_000
+#: Entries that one worker keeps in a memo, and the longest word that is kept (so that a memo's bytes are bounded); others are computed anew each time.
+MEMO, SHORT_WORD = 300_000, 64
 
 
 def input_bytes(df: DataFrame) -> int | None:
@@ -37,21 +37,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:  # only on one machine, as in tests
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="scorewright-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+_one_machine: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset: on one machine (tests) a temporary one, on a cluster an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        import tempfile
+
+        folder = _one_machine.setdefault("folder", tempfile.mkdtemp(prefix="scorewright-"))
+    return folder
+
+
 class WordHash(dict):
     """bytes -> 64-bit hash, with a bounded memo."""
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word, 7)
-        if len(self) < MEMO:
+        if len(word) <= SHORT_WORD and len(self) < MEMO:
             self[word] = h
         return h
 
