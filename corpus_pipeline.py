@@ -33,10 +33,8 @@ def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go. Each row goes by the 64-bit hash of its text; doc_ids may be null or repeated."""
-    key = F.xxhash64(F.col("text").cast("string"))
-    leaks = decontam.contaminated(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, key == F.col("_leak"), "left_anti").select(*docs.columns)
+    """Documents that overlap a benchmark item go. Each row goes by its own text; doc_ids may be null or repeated, null and empty texts stay."""
+    return decontam.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
