@@ -104,5 +104,5 @@ def dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part[order[s]]), order[s : s + n]
 
 
-def batch(schema: pa.Schema, *columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def batch(schema: pa.Schema, *columns: list | pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -6,7 +6,12 @@ labelled documents. Decoding adds the exponential loss of every bit's margin and
 score is that codeword's share of exp(-loss), and a small gap to the second best flags ambiguity. A text is rejected if its
 n-grams are rarer in every language than those of that language's own sample (mean -log frequency, with an allowance
 for short texts): the loss of the nearest codeword can't tell, as a text of an unlearned language may lie close to one. With few languages the
-code has every split of them once (up to 7 languages: 63 bits); with more, random splits with distinct codewords.
+code has every split of them once (up to 7 languages: 63 bits); with more, random splits with distinct codewords, whose
+number grows with the logarithm of the number of languages. Every language of the training rows is learned.
+
+The sample is the documents of the smallest text hashes, at most `SAMPLE` of a language and about `ROWS` in all: the same
+however the table is partitioned. A longer text than `BLOCK` characters goes through a histogram of its n-grams, piece by
+piece, so that memory does not grow with the n-grams of one text.
 """
 
 from __future__ import annotations
@@ -18,20 +23,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .blocks import batch
 
-#: Hashed n-gram dimensions; documents of each language in the sample; languages learned at most; fewest documents.
-DIMS, SAMPLE, LANGUAGES, FEWEST = 4096, 300, 64, 5
+#: Hashed n-gram dimensions; documents of each language in the sample at most, and of all (one of each language at least).
+DIMS, SAMPLE, ROWS = 4096, 300, 20_000
+#: The most that a row of a rare language weighs more than the average row.
+HEAVIEST = 20.0
 #: Ambiguity gap; margin scale.
 AMBIGUOUS, SHARPNESS = 0.05, 4.0
 #: Rejection: standard errors allowed for a text's length; share of labelled rows that stay; nats above those; smoothing of frequencies.
 ERRORS, STAY, SLACK, SMOOTH = 4.0, 0.99, 0.5, 0.02
-#: Characters read at a time.
+#: Characters read at a time; longer texts go by themselves.
 BLOCK = 1 << 19
 ROW = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_()), ("rejected", pa.bool_())])
 ROW_SQL = "doc_id long, lang_pred string, score double, ambiguous boolean, rejected boolean"
 _LETTER: list[np.ndarray] = []
+BLANK = np.array([32], np.uint32)
 
 
 def letters(codes: np.ndarray) -> np.ndarray:
@@ -45,15 +54,19 @@ def letters(codes: np.ndarray) -> np.ndarray:
     return np.where(ok, codes, 32).astype(np.uint32)
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed n-grams of the texts one after another, each gram's text, and each text's number of letters."""
+def normal(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the texts one after another with one blank between and after words, each one's text, and each text's number of letters."""
     codes = [np.frombuffer((t or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    own = np.repeat(np.arange(len(texts)), [len(c) + 1 for c in codes])
-    c = letters(np.concatenate([np.append(x, np.uint32(32)) for x in codes]))
+    own = np.repeat(np.arange(len(texts), dtype=np.int32), [len(c) + 1 for c in codes])
+    c = letters(np.concatenate([x for t in codes for x in (t, BLANK)]))
     counts = np.bincount(own[c != 32], minlength=len(texts))
     keep = (c != 32) | np.r_[False, (c[:-1] != 32) & (own[:-1] == own[1:])]
-    c, own = c[keep].astype(np.uint64), own[keep]
-    out, of = [], []
+    return c[keep], own[keep], counts
+
+
+def hashed(c: np.ndarray, own: np.ndarray, lead: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams and each one's text; those that end within the first `lead` characters are left out."""
+    c, out, of = c.astype(np.uint64), [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     a = np.uint64(0x9E3779B97F4A7C15)
     h = np.zeros(len(c), np.uint64)
     for n in (1, 2, 3):
@@ -62,14 +75,29 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             break
         h = h[:m] * a + c[n - 1 :]
         same = own[:m] == own[n - 1 :]
+        same[: max(0, lead - n + 1)] = False
         if n == 1:
             same &= c != 32
         x = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append((x >> np.uint64(52))[same])
+        out.append((x >> np.uint64(52))[same].astype(np.int32))
         of.append(own[:m][same])
-    if not out:  # no letter at all
-        return np.zeros(0, np.int32), np.zeros(0, np.int64), counts
-    return np.concatenate(out).astype(np.int32), np.concatenate(of), counts
+    return np.concatenate(out), np.concatenate(of)
+
+
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed n-grams of the texts one after another, each gram's text, and each text's number of letters."""
+    c, own, counts = normal(texts)
+    return *hashed(c, own), counts
+
+
+def histogram(text: str | None, step: int = BLOCK) -> np.ndarray:
+    """Number of each hashed n-gram of one text, read `step` characters at a time."""
+    c, own, _ = normal([text])
+    out = np.zeros(DIMS, np.int64)
+    for s in range(0, len(c), step):
+        lead = min(s, 2)
+        out += np.bincount(hashed(c[s - lead : s + step], own[s - lead : s + step], lead)[0], minlength=DIMS)
+    return out
 
 
 def codewords(k: int, seed: int = 5) -> np.ndarray:
@@ -99,51 +127,67 @@ class Model:
     def margins(self, g: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, self.weights.shape[1]))
         if len(g):
+            # each text's n-grams of one length lie together, so a run of equal `own` is a part of a text
             starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             for j in range(self.weights.shape[1]):
-                out[own[starts], j] = np.add.reduceat(self.weights[g, j], starts)
+                np.add.at(out[:, j], own[starts], np.add.reduceat(self.weights[g, j], starts))
             out /= np.maximum(1, np.bincount(own, minlength=n))[:, None]
         return out + self.bias
 
     def strange(self, g: np.ndarray, own: np.ndarray, best: np.ndarray) -> np.ndarray:
         """Whether each text's n-grams are too rare in every language; most texts are done with that of number `best`."""
         n = np.bincount(own, minlength=len(best))
-        left = np.ones(len(best), bool)
+        left, size = np.ones(len(best), bool), np.maximum(1, n)
         for j in (best, *(np.full(len(best), k) for k in range(len(self.languages)))):
-            if not left.any():
-                break
             some = left[own]
-            of, size = own[some], np.maximum(1, n)
+            of = own[some]
             mean = np.bincount(of, self.rarity[g[some], j[of]], len(best)) / size
             left &= mean - ERRORS * self.spread[j] / np.sqrt(size) > self.limit[j]
+            if not left.any():
+                break
         return left
 
+    def decoded(self, margin: np.ndarray) -> tuple[int, float, bool]:
+        """Number of the nearest language, its score, whether the second is about as near."""
+        loss = np.exp(-np.clip(SHARPNESS * self.code * margin, -30, 30)).mean(axis=1)
+        share = np.exp(-(loss - loss.min()))
+        share /= share.sum()
+        order = np.argsort(loss, kind="stable")
+        gap = 1.0 if len(order) < 2 else share[order[0]] - share[order[1]]
+        return int(order[0]), float(share[order[0]]), bool(gap < AMBIGUOUS)
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool, bool]]:
         """Language, score, ambiguous, rejected. No letters: `und`, score 0, rejected."""
         if not self.languages:
             return [("und", 0.0, False, True)] * len(texts)
+        if len(texts) == 1 and len(texts[0] or "") > BLOCK:
+            return [self.predict_long(texts[0])]
         g, own, counts = grams(texts)
-        best, out = np.zeros(len(texts), np.int64), []
-        for i, (m, n) in enumerate(zip(self.margins(g, own, len(texts)), counts, strict=True)):
-            if not n:
-                out.append(("und", 0.0, False))
-                continue
-            loss = np.exp(-np.clip(SHARPNESS * self.code * m, -30, 30)).mean(axis=1)
-            share = np.exp(-(loss - loss.min()))
-            share /= share.sum()
-            order = np.argsort(loss, kind="stable")
-            gap = 1.0 if len(order) < 2 else share[order[0]] - share[order[1]]
-            best[i] = order[0]
-            out.append((self.languages[order[0]], float(share[order[0]]), bool(gap < AMBIGUOUS)))
-        return [(*r, bool(not n or far)) for r, n, far in zip(out, counts, self.strange(g, own, best), strict=True)]
-
-
-def frequencies(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the n-grams in each text, and their number."""
-    g, own, _ = grams(texts)
-    x = np.zeros((len(texts), DIMS), np.float32)
-    np.add.at(x, (own, g), 1)
-    return x / np.maximum(1, x.sum(axis=1, keepdims=True)), np.bincount(own, minlength=len(texts))
+        found = [self.decoded(m) if n else (0, 0.0, False) for m, n in zip(self.margins(g, own, len(texts)), counts, strict=True)]
+        far = self.strange(g, own, np.array([f[0] for f in found], np.int64))
+        return [(self.languages[k], s, a, bool(r)) if n else ("und", 0.0, False, True) for (k, s, a), n, r in zip(found, counts, far, strict=True)]
+
+    def predict_long(self, text: str) -> tuple[str, float, bool, bool]:
+        """The same for one long text."""
+        h = histogram(text)
+        n = h.sum()
+        if not n:
+            return "und", 0.0, False, True
+        k, score, ambiguous = self.decoded(h @ self.weights.astype(np.float64) / n + self.bias)
+        return self.languages[k], score, ambiguous, bool((h @ self.rarity.astype(np.float64) / n - ERRORS * self.spread / np.sqrt(n) > self.limit).all())
+
+
+def grouped(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Consecutive texts of at most `BLOCK` characters together; a longer one comes alone."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t or "") > BLOCK:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t or "")
+    if held:
+        yield held
 
 
 def rarities(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, float, float]:
@@ -169,69 +213,80 @@ def rarities(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, float, float
 
 
 def fit(x: np.ndarray, langs: list[str], sizes: np.ndarray, ridge: float = 1e-3) -> Model:
-    """Ridge classifiers of all bits from n-gram frequencies; each language weighs the same. sizes: n-grams of each row."""
+    """Ridge classifiers of all bits from n-gram frequencies; each language weighs the same, as far as `HEAVIEST` lets it. sizes: n-grams of each row.
+
+    The normal equations are solved over the rows or over the dimensions, whichever are fewer; both give the same weights.
+    """
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((0, 1)), np.zeros((DIMS, 1), np.float32), np.zeros(1), np.zeros((DIMS, 0), np.float32), np.zeros(0), np.zeros(0))
-    code = codewords(len(names))
-    y = code[[names.index(v) for v in langs]]
+    code, number = codewords(len(names)), {n: k for k, n in enumerate(names)}
+    of = np.array([number[v] for v in langs])
+    y, count = code[of], np.bincount(of)
+    w = np.minimum(len(langs) / len(names) / count, HEAVIEST)[of]
+    rare, limit, spread = zip(*(rarities(x[of == k], sizes[of == k]) for k in range(len(names))), strict=True)
     scale = 1 / np.sqrt(x.mean(axis=0) + 1e-5)
     z = x * scale
     mean = z.mean(axis=0)
-    z = z - mean
-    count = {n: langs.count(n) for n in names}
-    w = np.array([len(langs) / len(names) / count[v] for v in langs])
-    gram = (z @ z.T).astype(np.float64)
+    z -= mean
     centre = (w[:, None] * y).sum(axis=0) / w.sum()
-    dual = np.linalg.solve(gram + np.diag(ridge * max(np.trace(gram), 1e-9) / len(langs) / w), y - centre)
-    weights = z.T.astype(np.float64) @ dual
-    of = np.array(langs)
-    rare, limit, spread = zip(*(rarities(x[of == v], sizes[of == v]) for v in names), strict=True)
+    damp = ridge * max(float(np.einsum("ij,ij->", z, z, dtype=np.float64)), 1e-9) / len(langs)
+    if len(z) <= DIMS:
+        weights = z.T.astype(np.float64) @ np.linalg.solve((z @ z.T).astype(np.float64) + np.diag(damp / w), y - centre)
+    else:
+        gram, right = damp * np.eye(DIMS), np.zeros((DIMS, y.shape[1]))
+        for s in range(0, len(z), 2048):
+            part = z[s : s + 2048].astype(np.float64)
+            heavy = part * w[s : s + 2048, None]
+            gram += heavy.T @ part
+            right += heavy.T @ (y[s : s + 2048] - centre)
+        weights = np.linalg.solve(gram, right)
     return Model(names, code, (weights * scale[:, None]).astype(np.float32), centre - mean @ weights, np.array(rare, np.float32).T.copy(), np.array(limit), np.array(spread))
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, hash, dimensions, numbers) of rows (lang, hash, text); texts without letters teach nothing."""
     for b in batches:
-        texts, langs = b.column(1).to_pylist(), b.column(0)
-        for s in range(0, len(texts), 64):
-            x, n = frequencies(texts[s : s + 64])
-            some = n > 0  # texts without letters teach nothing
-            yield pa.RecordBatch.from_arrays([langs.slice(s, 64).filter(pa.array(some)), pa.array([v.tobytes() for v in x[some]], pa.binary()), pa.array(n[some], pa.int64())], names=["lang", "x", "n"])
+        for k, text in enumerate(b.column(2)):
+            h = histogram(text.as_py())
+            at = np.flatnonzero(h)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1), pa.array([at.astype("<u2").tobytes()]), pa.array([h[at].astype("<u4").tobytes()])], names=["lang", "h", "at", "n"])
 
 
-def learn(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` documents of each language, chosen by a hash of the text.
+def learn(docs: DataFrame, train: Column, sample: int = SAMPLE, rows: int = ROWS) -> Model:
+    """Fit on at most `sample` documents of each language, about `rows` of all (one of each language at least).
 
-    Only text and non-null lang of rows where `train` holds are read. The `LANGUAGES` most frequent ones with `FEWEST`
-    documents or more are learned; 4096 floats come to the driver for each sampled document.
+    Only text and non-null lang of rows where `train` holds are read; every language is learned. Copies of a text count as one
+    document. The sample is the texts of the smallest hashes; its n-gram counts, and one row for each language, come to the driver.
     """
-    rows = docs.where(train).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().where(F.col("count") >= FEWEST).orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    own = docs.where(train).where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
     if not counts:
         return fit(np.zeros((0, DIMS), np.float32), [], np.zeros(0))
-    rate = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.2 * sample / n))))
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30)).select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    got: dict[str, list[tuple[bytes, int]]] = {}
-    for r in chosen.mapInArrow(_frequencies, "lang string, x binary, n long").toLocalIterator():
-        if len(mine := got.setdefault(r["lang"], [])) < sample:
-            mine.append((bytes(r["x"]), r["n"]))
-    rows = [(k, *v) for k in sorted(got) for v in sorted(got[k])]
-    return fit(np.array([np.frombuffer(v, np.float32) for _, v, _ in rows]).reshape(-1, DIMS), [k for k, _, _ in rows], np.array([n for _, _, n in rows]))
+    most = max(1, min(sample, rows // len(counts)))
+    # hashes below a language's limit: some more than are needed, all of them where a language has few rows
+    limits = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1 << 30, int((2 * most + 50) / n * (1 << 30))))))
+    low = own.where(F.pmod("h", F.lit(1 << 30)) < limits[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    kept = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("r") <= most)  # of some 2 * most rows a language
+    found = kept.select("lang", "h", "text").mapInArrow(_histograms, "lang string, h long, at binary, n binary").collect()
+    chosen = [(r["lang"], r["at"], r["n"]) for r in sorted(found, key=lambda r: (r["lang"], r["h"]))]
+    x, sizes = np.zeros((len(chosen), DIMS), np.float32), np.zeros(len(chosen), np.int64)
+    for i, (_, at, n) in enumerate(chosen):
+        n = np.frombuffer(n, "<u4").astype(np.float64)
+        sizes[i] = n.sum()
+        x[i, np.frombuffer(at, "<u2")] = n / n.sum()
+    return fit(x, [k for k, _, _ in chosen], sizes)
 
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            ids, texts, size = [], [], 0
-            for i, t in zip(b.column(0), b.column(1), strict=True):
-                ids.append(i.as_py()), texts.append(t.as_py())
-                size += len(texts[-1] or "")
-                if size >= BLOCK:
-                    yield batch(ROW, ids, *map(list, zip(*model.predict(texts), strict=True)))
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield batch(ROW, ids, *map(list, zip(*model.predict(texts), strict=True)))
+            s = 0
+            for texts in grouped(b.column(1).to_pylist()):
+                yield batch(ROW, b.column(0).slice(s, len(texts)), *map(list, zip(*model.predict(texts), strict=True)))
+                s += len(texts)
 
     return run
 
@@ -251,15 +306,7 @@ def _recognised(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            keep, texts, size = [], [], 0
-            for t in b.column(at):
-                texts.append(t.as_py())
-                size += len(texts[-1] or "")
-                if size >= BLOCK:
-                    keep += [not r[3] for r in model.predict(texts)]
-                    texts, size = [], 0
-            if texts:
-                keep += [not r[3] for r in model.predict(texts)]
+            keep = [not r[3] for texts in grouped(b.column(at).to_pylist()) for r in model.predict(texts)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return run
