@@ -166,29 +166,6 @@ def test_substring_sql(docs, rows):
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, c.sql(SUBSTRING_SQL).fetchall()))
 
 
-def test_imatch(docs, rows):
-    known = [(i, t) for i, t in rows if i is not None]
-    got = imatch.fingerprints(docs).collect()
-    assert len(got) == len(rows) and imatch.fingerprints(empty(docs)).count() == 0
-    order = sorted(known, key=lambda r: (-r[0], r[1] or "")) + [(None, ""), (None, next(t for i, t in rows if i is None and t))]
-    want = []
-    for k, (i, t) in enumerate(order):
-        t, n = t or "", order[(k + 1) % len(order)][1] or ""
-        h = len(t) // 2
-        want.append((str(i), len(t), hashlib.sha256((t[: len(t) - h] + n[:h]).encode()).hexdigest()))
-    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(want)
-    by = {}
-    texts = {}
-    for i, t in known:
-        texts.setdefault(i, t or "")
-    for r in got:
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        if r.doc_id is not None:
-            assert by.setdefault(texts[r.doc_id], r.fingerprint) == r.fingerprint
-        if r.fingerprint == r.edited_fingerprint:
-            assert r.near_edited == 1
-
-
 def test_imatch_of_short_texts(spark):
     real = table(spark, SF, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = [w.strip(".,") for r in real.where("length(text) > 500").orderBy("doc_id").limit(40).collect() for w in r.text.split()[:6]]
@@ -198,7 +175,7 @@ def test_imatch_of_short_texts(spark):
     fp = {r.doc_id: r.fingerprint for r in imatch.fingerprints(real.unionByName(short)).where("doc_id < 0").collect()}
     assert fp[-1] == fp[-1 - n] and fp[-2 - n] == fp[-3 - n]
     assert all(fp[-1 - i] != fp[-2 - n] for i in range(n)) and len({fp[-1 - i] for i in range(n)}) >= 0.9 * n
-    bare = imatch.fingerprint(short, "text", "fp", F.array_repeat(F.lit(0).cast("long"), imatch.BUCKETS // 64)).collect()  # no lexicon: all terms count
+    bare = imatch.fingerprint(short, "text", "fp", (F.array_repeat(F.lit(0).cast("long"), imatch.LEAST_BITS // 64), imatch.LEAST_BITS)).collect()  # no lexicon: all terms count
     assert len({tuple(r.fp) for r in bare}) == n + 1
 
 
