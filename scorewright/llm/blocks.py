@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Entries that one worker keeps in a memo, and the longest word that is kept (so that a memo's bytes are bounded); others are computed anew each time.
 MEMO, SHORT_WORD = 300_000, 64
@@ -56,6 +57,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of one key from which it is hot, and hot keys at most (with more rows, the first number grows).
+HOT_ROWS, HOT_KEYS = 100_000, 50_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, value: str, hot: int | None = None) -> DataFrame:
+    """rows with `value` of table(key, value, n), which has each key of rows once and their number n of rows.
+
+    Keys with very many rows are looked up in a broadcast table, the others by a join, so that no key's rows are gathered.
+    As the rows are counted, at most `HOT_KEYS` keys are hot. No key is null. table should be a checkpoint: it is read three times.
+    """
+    total, top = table.agg(F.sum("n"), F.max("n")).first()
+    limit = max(HOT_ROWS if hot is None else hot, (total or 0) // HOT_KEYS)
+    if not top or top <= limit:
+        return rows.join(table.select(key, value), key)
+    many = table.where(F.col("n") > limit).select(key, value)
+    found = rows.join(F.broadcast(many), key)
+    return found.unionByName(rows.join(F.broadcast(many.select(key)), key, "left_anti").join(table.select(key, value), key))
+
+
 class WordHash(dict):
     """bytes -> 64-bit hash, with a bounded memo."""
 

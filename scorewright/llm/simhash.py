@@ -29,8 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .blocks import batch, checkpointed, dealt, mix, part_of, partitions
+from .blocks import batch, checkpointed, dealt, looked_up, mix, part_of, partitions
 from .graph import components
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
@@ -43,6 +44,7 @@ SHINGLES, BANDED = 1 << 18, 4096
 #: Fingerprints compared in one block at most; cells of a partition in which they are counted.
 HOT, CELLS = 1 << 20, 64
 FPS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+KEYED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64())])
 POINTS = pa.schema([("p", pa.int32()), ("anchor", pa.binary()), ("fp", pa.binary()), ("node", pa.binary())])
 COUNTS = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -71,30 +73,40 @@ def shingle_hashes(text: str | None) -> list[int]:
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, fps, held, counts, where = b.column(0).to_pylist(), [0] * b.num_rows, [], [], []
-
-        def flush(fps=fps, held=held, counts=counts, where=where):
-            if held:
-                for k, f in zip(where, fold(np.concatenate(held), np.array(counts)).view(np.int64).tolist(), strict=True):
-                    fps[k] = f
-            held.clear(), counts.clear(), where.clear()
-
-        room = SHINGLES
-        for k, text in enumerate(b.column(1)):
-            if h := shingle_hashes(text.as_py()):
-                if len(h) > SHINGLES:  # a very long document is folded by itself, in pieces
-                    a, sums = np.array(h, np.uint64), np.zeros(64, np.int64)
-                    for s in range(0, len(a), SHINGLES):
-                        sums += np.unpackbits(a[s : s + SHINGLES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
-                    fps[k] = int(np.packbits(sums * 2 > len(a), bitorder="little").view(np.int64)[0])
-                    continue
-                held.append(np.array(h, np.uint64)), counts.append(len(h)), where.append(k)
-                room -= len(h)
-                if room <= 0:
-                    flush()
-                    room = SHINGLES
-        flush()
-        yield batch(FPS, ids, fps)
+        yield batch(FPS, b.column(0), _folded(b))
+
+
+def _fingerprint_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield batch(KEYED, b.column(0), b.column(2), _folded(b))
+
+
+def _folded(b: pa.RecordBatch) -> list[int]:
+    """Fingerprints of the texts in a batch's second column."""
+    fps, held, counts, where = [0] * b.num_rows, [], [], []
+
+    def flush(fps=fps, held=held, counts=counts, where=where):
+        if held:
+            for k, f in zip(where, fold(np.concatenate(held), np.array(counts)).view(np.int64).tolist(), strict=True):
+                fps[k] = f
+        held.clear(), counts.clear(), where.clear()
+
+    room = SHINGLES
+    for k, text in enumerate(b.column(1)):
+        if h := shingle_hashes(text.as_py()):
+            if len(h) > SHINGLES:  # a very long document is folded by itself, in pieces
+                a, sums = np.array(h, np.uint64), np.zeros(64, np.int64)
+                for s in range(0, len(a), SHINGLES):
+                    sums += np.unpackbits(a[s : s + SHINGLES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
+                fps[k] = int(np.packbits(sums * 2 > len(a), bitorder="little").view(np.int64)[0])
+                continue
+            held.append(np.array(h, np.uint64)), counts.append(len(h)), where.append(k)
+            room -= len(h)
+            if room <= 0:
+                flush()
+                room = SHINGLES
+    flush()
+    return fps
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -297,17 +309,53 @@ def links(points: DataFrame, many: bool = False, hot: int = HOT) -> DataFrame:
     return dealt_out.mapInArrow(_compare, "a long, b long").distinct()
 
 
+def labels(fps: DataFrame, also: DataFrame | None = None) -> DataFrame:
+    """(fp, root, n) of the fingerprints of fps(fp): root is the smallest linked, directly or over others, n their number of rows.
+
+    also: further links (a, b) between fingerprints.
+    """
+    points = checkpointed(fps.groupBy("fp").agg(F.count("*").alias("n")))
+    found = links(points.select("fp", F.col("fp").alias("node")), points.count() > FINE_FROM)
+    found = components(found if also is None else found.unionByName(also))
+    return points.join(found, points["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"), "n")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable, itself included), for every row.
 
     Null and empty texts have fingerprint 0 and link like any other. Rows with one doc_id are one document: their
-    fingerprints share a component. Rows whose doc_id is null take the component of their fingerprint's other rows,
-    null if there are none. An empty table gives an empty result.
+    fingerprints share a component. Rows whose doc_id is null link like others but give no name: theirs is that of their
+    component's other rows, null if there are none. An empty table gives an empty result.
     """
     fps = checkpointed(fingerprints(docs))
-    points = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    own = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("fp"), F.max("fp").alias("other")).where("fp <> other")
-    repeated = fps.join(own.select("doc_id"), "doc_id", "left_semi").join(points, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = components(links(points, points.count() > FINE_FROM).unionByName(repeated))
-    labels = points.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(labels, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ends = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("a <> b")
+    ends = checkpointed(ends)  # documents with several fingerprints
+    repeated = looked_up(fps.join(ends.select("doc_id"), "doc_id", "left_semi"), ends, "doc_id", "a").select("a", F.col("fp").alias("b")) if not ends.isEmpty() else None
+    found = checkpointed(labels(fps, repeated))
+    rooted = looked_up(fps, found, "fp", "root")
+    names = checkpointed(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")))
+    return looked_up(rooted, names, "root", "component_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, text, ...), whole, one of each component of near-duplicates: that of the smallest doc_id.
+
+    Each row goes by itself: rows with one doc_id are linked only if their texts are. Of rows with one doc_id in a component that
+    of the smallest text hash stays, of rows equal in doc_id and text one; a null doc_id counts as larger than any. An
+    empty table stays empty.
+    """
+    key, h = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    own = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"), h.alias("h"))
+    fps = checkpointed(own.mapInArrow(_fingerprint_keyed, "doc_id long, h long, fp long"))
+    rooted = looked_up(fps, checkpointed(labels(fps)), "fp", "root")
+    row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h")
+    best = checkpointed(rooted.groupBy("root").agg(F.min(row).alias("best"), F.count("*").alias("n")))
+    fate = looked_up(rooted, best, "root", "best").groupBy("doc_id", "h").agg(F.min(F.when(row == F.col("best"), 0).otherwise(1)).alias("gone"), F.count("*").alias("n")).where("gone = 1 or n > 1")
+    fate = checkpointed(fate.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), "gone"))  # rows that go, and those that repeat
+    same = key.eqNullSafe(F.col("_doc")) & (h == F.col("_h"))
+    left = docs.join(fate, same, "left_anti").select(*(docs[f"`{c}`"] for c in docs.columns))
+    again = fate.where("gone = 0")
+    if again.isEmpty():
+        return left
+    copies = docs.join(again, same).withColumn("_r", F.row_number().over(Window.partitionBy("_doc", "_h").orderBy("_h"))).where("_r = 1")
+    return left.unionByName(copies.select(*(F.col(f"`{c}`") for c in docs.columns)))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scorewright.llm import decontam, graph, imatch, langid, license_rules, quality, simhash, substring_dedup, token_counts, token_packs, vector_packing
+from scorewright.llm import blocks, decontam, graph, imatch, langid, license_rules, quality, simhash, substring_dedup, token_counts, token_packs, vector_packing
 from scorewright.llm.queries import SUBSTRING_SQL, license_sql, queries, table, tokenizer_path
 from scorewright.llm.tokens import byte_bpe
 
@@ -124,8 +124,18 @@ def test_hot_anchors_are_split(spark):
 
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201)], "a long, b long")
-    got = {r.node: r.component for r in graph.components(links).collect()}
-    assert got == {**{i: 1 for i in range(1, 61)}, **{i: 100 for i in range(100, 140)}, 200: 200, 201: 200}
+    for hot in (None, 5):
+        got = {r.node: r.component for r in graph.components(links, hot=hot).collect()}
+        assert got == {**{i: 1 for i in range(1, 61)}, **{i: 100 for i in range(100, 140)}, 200: 200, 201: 200}
+    assert graph.components(links.where("false")).count() == 0
+
+
+def test_hot_keys_are_not_gathered(spark):
+    rows = spark.range(0, 4000, 1, 8).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("u"), F.col("id").alias("v"))
+    table_ = rows.groupBy("u").agg(F.max("v").alias("m"), F.count("*").alias("n"))
+    got = blocks.looked_up(rows, table_, "u", "m", 100)
+    assert sorted(map(tuple, got.select("u", "v", "m").collect())) == sorted((7, i, 2999) if i < 3000 else (i, i, i) for i in range(4000))
+    assert got.where("u = 7").select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count")).first()[0] <= 500
 
 
 def test_substring_dedup(docs, rows):
@@ -367,6 +377,29 @@ def test_stages_with_null_and_repeated_ids(spark):
         assert sorted(map(str, got.where("doc_id < 0 or doc_id is null").select("doc_id", "text").collect())) == sorted(map(str, spark.createDataFrame(want, "doc_id long, text string").collect())), name
 
 
+def test_one_of_each(spark, docs, rows):
+    """One row of each component stays: the smallest doc_id, then the smallest hash of the text; nulls last."""
+    import xxhash
+
+    signed = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), 42))
+    h = lambda t: 42 if t is None else signed(t)
+    repeated = [*rows, *rows[30:33], (None, "one"), (None, "one"), (7, "q r s"), (7, rows[0][1]), (None, "only without id")]
+    nodes = [(i, t, brute_fp(t)) for i, t in repeated]
+    want = set()
+    for _, _, f in nodes:
+        group, todo = {f}, [f]
+        while todo:
+            x = todo.pop()
+            new = {g for _, _, g in nodes if (g ^ x).bit_count() <= 4} - group
+            group |= new
+            todo += new
+        want.add(min(((i is None, i or 0, h(t), t or "", i, t) for i, t, g in nodes if g in group), key=lambda r: r[:4])[4:])
+    table_ = spark.createDataFrame([(i, t, "xx", "s", 1, "f", "k", 2, 3) for i, t in repeated], SCHEMA).repartition(3)
+    got = simhash.one_of_each(table_)
+    assert got.columns == table_.columns and sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+    assert simhash.one_of_each(empty(docs)).count() == 0
+
+
 @pytest.mark.parametrize("k", [2, 3, 4, 7, 9, 20])
 def test_codewords(k):
     c = langid.codewords(k)
