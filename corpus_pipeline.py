@@ -17,9 +17,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates stays, that of the smallest doc_id."""
-    gone = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component of near-duplicates stays, that of the smallest doc_id.
+
+    Rows go by themselves: those with null or repeated doc_ids are linked by their texts only, and of rows that are equal in doc_id
+    and text one stays. Null and empty texts are copies of each other.
+    """
+    return simhash.one_of_each(docs)
 
 
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
