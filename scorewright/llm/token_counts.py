@@ -1,18 +1,23 @@
 """Count-only Viterbi for unigram vocabularies.
 
-An Aho-Corasick automaton enumerates the vocabulary pieces in a word; dynamic programming over their ends keeps the best
-score and its number of pieces, never the path. The tie rule is the tokenizer's: starts are visited from left to
+An Aho-Corasick automaton enumerates the vocabulary pieces in a text; dynamic programming over their ends keeps the best
+score and its number of pieces, never the path. The tie rule is that of the `tokenizers` library's Unigram model, whose counts
+these are: starts are visited from left to
 right and a later candidate replaces a kept one only if its score is higher. A character that no single-character
 piece covers is an unknown piece (lowest score less 10); runs of unknown pieces count once, or once for each UTF-8 byte
-with byte fallback. Words start at the meta symbol for a space, and no piece holds one inside, so a text's count is the
-sum of its words'; words are memoised.
+with byte fallback. Blanks are the meta symbol, and a text gets one before it unless it starts with one.
 
-The box's public files hold no unigram model, so the query uses pieces and scores of the SentencePiece file: the scores are
+A text is cut into chunks, each a run of blanks and what follows it: no piece goes on after a blank that follows another
+character (`Counter` raises if one does), so a text's count is the sum of its chunks'. Short chunks are memoised. A state holds
+scores of the last characters only, as far back as the longest piece, so that a chunk of any length takes bounded memory.
+
+The box's public files hold no unigram model, so the query uses all pieces and scores of the SentencePiece file: the scores are
 minus the rank, with many ties. `vocabulary` reads any such file.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -21,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import batch
+from .blocks import MEMO, SHORT_WORD, batch
 
-META, UNKNOWN_LESS, MEMO = "▁", 10.0, 300_000
+META, UNKNOWN_LESS = "▁", 10.0
+#: A run of blanks and what follows it, without the first blank.
+CHUNK = re.compile(f"{META}({META}*[^{META}]*)")
 ROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("n_chars", pa.int64())])
 
 
@@ -32,15 +39,17 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(p.id_to_piece(i), p.get_score(i)) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or META in p.id_to_piece(i)[1:])]
+    return [(p.id_to_piece(i), p.get_score(i)) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i))]
 
 
 class Counter(dict):
-    """word (starting with META) -> number of tokens."""
+    """chunk without its first blank -> number of tokens; a bounded memo of short chunks."""
 
     def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool = True):
         import ahocorasick
 
+        if crossing := [p for p, _ in pieces if META in p.lstrip(META)]:
+            raise ValueError(f"pieces go on after a blank: {crossing[:3]}")
         self.auto = ahocorasick.Automaton()
         for piece, score in pieces:
             if piece not in self.auto:
@@ -48,56 +57,53 @@ class Counter(dict):
         self.auto.make_automaton()
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_LESS
         self.single = {p for p, _ in pieces if len(p) == 1}
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         self.bytes = byte_fallback
 
-    def __missing__(self, word: str) -> int:
-        n = self.count(word)
-        if len(self) < MEMO:
-            self[word] = n
+    def __missing__(self, chunk: str) -> int:
+        n = self.count(META + chunk)
+        if len(chunk) <= SHORT_WORD and len(self) < MEMO:
+            self[chunk] = n
         return n
 
-    def count(self, word: str) -> int:
-        size = len(word)
-        # candidates by end, longest piece (smallest start) first: the order in which starts are visited
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(size)]
-        for end, found in self.auto.iter(word):
-            ends[end].append(found)
-        score, count, tail = [0.0] * (size + 1), [0] * (size + 1), [False] * (size + 1)
-        for e in range(1, size + 1):
+    def count(self, chunk: str) -> int:
+        ring = self.longest + 1
+        score, count, tail = [0.0] * ring, [0] * ring, [False] * ring
+        found = self.auto.iter(chunk) if len(self.auto) else iter(())
+        end, piece = next(found, (-1, None))
+        for e, c in enumerate(chunk, 1):
+            here = []
+            while end == e - 1 and piece:
+                here.append(piece)
+                end, piece = next(found, (-1, None))
             best, n, unknown = None, 0, False
-            for length, s in sorted(ends[e - 1], reverse=True):
-                x = score[e - length] + s
+            for length, s in sorted(here, reverse=True):  # the longest piece starts first
+                x = score[(e - length) % ring] + s
                 if best is None or x > best:
-                    best, n, unknown = x, count[e - length] + 1, False
-            c = word[e - 1]
+                    best, n, unknown = x, count[(e - length) % ring] + 1, False
             if c not in self.single:
-                x = score[e - 1] + self.unknown
+                before = (e - 1) % ring
+                x = score[before] + self.unknown
                 if best is None or x > best:
-                    add = len(c.encode("utf-8", "surrogatepass")) if self.bytes else not tail[e - 1]
-                    best, n, unknown = x, count[e - 1] + add, True
-            score[e], count[e], tail[e] = best, n, unknown
-        return count[size]
+                    add = len(c.encode("utf-8", "surrogatepass")) if self.bytes else not tail[before]
+                    best, n, unknown = x, count[before] + add, True
+            score[e % ring], count[e % ring], tail[e % ring] = best, n, unknown
+        return count[len(chunk) % ring]
 
     def text(self, text: str | None) -> tuple[int, int]:
-        """(tokens, words) of a text: a space before it, then every space starts a word."""
+        """(tokens, chunks) of a text."""
         if not text:
             return 0, 0
-        words = text.replace(META, " ").split(" ")
-        if words[0] == "" and len(words) > 1:  # a text that starts with a space gets no other
-            words = words[1:]
-        return sum(map(self.__getitem__, words)), len(words)
-
-
-class Words(Counter):
-    """Keys without the meta symbol, as they are cut from texts."""
-
-    def count(self, word: str) -> int:
-        return super().count(META + word)
+        text = text.replace(" ", META)
+        if text[0] != META:
+            text = META + text
+        chunks = CHUNK.findall(text) if META + META in text else text[1:].split(META)
+        return sum(map(self.__getitem__, chunks)), len(chunks)
 
 
 @cache
-def counter(path: str, byte_fallback: bool) -> Words:
-    return Words(vocabulary(path), byte_fallback)
+def counter(path: str, byte_fallback: bool) -> Counter:
+    return Counter(vocabulary(path), byte_fallback)
 
 
 def _count(path: str, byte_fallback: bool):
@@ -112,7 +118,7 @@ def _count(path: str, byte_fallback: bool):
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, byte_fallback: bool = True) -> DataFrame:
-    """doc_id, n_tokens, n_words, n_chars for every row. Null and empty texts have 0 tokens.
+    """doc_id, n_tokens, n_words (runs of blanks with what follows them), n_chars for every row. Null and empty texts have 0 tokens.
 
     Repeated rows and null ids are kept; an empty table gives an empty result.
     """

@@ -13,8 +13,8 @@ from functools import cache
 
 import numpy as np
 
-#: Words kept with their ids; beyond it words are encoded anew.
-MEMO = 250_000
+#: Words kept with their ids, and the longest that is kept; others are encoded anew.
+MEMO, SHORT_WORD = 250_000, 64
 #: Blank characters next to a space, where cutting at single spaces could cut inside a token.
 RUN = re.compile(r"\s \S|\s\s ?|^ | $|[^\S \n]")
 OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧]")
@@ -26,7 +26,7 @@ class Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         ids = np.array(self.t.fast.encode_ordinary(" " + word), np.uint32).tobytes()
-        if len(self) < MEMO:
+        if len(word) <= SHORT_WORD and len(self) < MEMO:
             self[word] = ids
         return ids
 

@@ -189,23 +189,46 @@ def test_imatch_of_short_texts(spark):
     assert len({tuple(r.fp) for r in bare}) == n + 1
 
 
-def test_token_counts(docs, rows):
-    path = tokenizer_path("piece_bpe_32k.model")
+def unigram(pieces, byte_fallback=True):
+    """The tokenizers library's Unigram over the same pieces, whole texts at once."""
     from tokenizers import Tokenizer, models, pre_tokenizers
 
-    pieces = token_counts.vocabulary(path)
-    byte = [(f"<0x{b:02X}>", -1e6 - b) for b in range(256)]
     lowest = min(s for _, s in pieces)
-    vocab = [("<unk>", lowest)] + [(p, s) for p, s in byte] + pieces
-    t = Tokenizer(models.Unigram([(p, max(s, lowest)) for p, s in vocab], unk_id=0, byte_fallback=True))
-    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
-    got = {(r.doc_id, r.n_chars): r.n_tokens for r in token_counts.token_counts(docs, path).collect()}
-    for i, text in rows:
+    byte = [(f"<0x{b:02X}>", lowest) for b in range(256)] if byte_fallback else []
+    t = Tokenizer(models.Unigram([("<unk>", lowest), *byte, *pieces], unk_id=0, byte_fallback=byte_fallback))
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+    return lambda text: len(t.encode(text or "", add_special_tokens=False).ids)
+
+
+def test_token_counts(spark, docs, rows):
+    path = tokenizer_path("piece_bpe_32k.model")
+    pieces = token_counts.vocabulary(path)
+    assert sum("▁" in p[1:] for p, _ in pieces) == 14  # runs of blanks are kept
+    exact = unigram(pieces)
+    more = ["def f():\n        return  1", "  two before", "after  ", " ", "   ", "a  b   c    d", "\t x", "x" * 5000 + "  " + "é" * 300, "▁meta▁▁signs"]
+    table_ = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(more)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    got = {(r.doc_id, r.n_chars): r.n_tokens for r in token_counts.token_counts(table_, path).collect()}
+    for i, text in [*rows, *((1000 + i, t) for i, t in enumerate(more))]:
         if text and "<" not in text:
-            assert got[i, len(text)] == len(t.encode(text, add_special_tokens=False).ids), (i, text[:50])
+            assert got[i, len(text)] == exact(text), (i, text[:50])
     assert got[rows[-1][0], 0] == 0 and token_counts.token_counts(empty(docs), path).count() == 0
 
 
+@pytest.mark.parametrize("fallback", [True, False])
+def test_token_counts_of_made_vocabularies(fallback):
+    """Ties, runs of blanks and unknown characters, for vocabularies where pieces of several blanks win."""
+    rng = random.Random(6)
+    for _ in range(40):
+        names = {"▁", "▁▁", "▁▁▁", "a", "b"} | {"▁" * rng.randrange(3) + "".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(15)}
+        pieces = [(p, float(-rng.randrange(1, 6))) for p in sorted(names)]
+        count, exact = token_counts.Counter(pieces, fallback), unigram(pieces, fallback)
+        for _ in range(40):
+            t = "".join(rng.choice("aabbc   é") for _ in range(rng.randint(1, 25)))
+            assert count.text(t)[0] == exact(t), (t, pieces)
+    with pytest.raises(ValueError, match="go on after a blank"):
+        token_counts.Counter([("a▁b", -1.0)])
+
+
 def ids_of(text):
     return byte_bpe(BPE).exact.encode(text or "", add_special_tokens=False).ids
 
