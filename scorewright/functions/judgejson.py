@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
@@ -12,21 +13,16 @@ from pyspark.sql.types import StringType
 DIMS = ("accuracy", "completeness", "topic_coherence", "citation_quality")
 OLD_DIMS = ("accuracy", "completeness", "clarity", "overall")
 FENCE = re.compile(r"```(?:json)?")
+BRACE = re.compile("[{}]")
 
 
 def objects(text: str) -> list[str]:
     """Balanced {...} stretches from left to right; quotes are not looked at."""
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(text):
-        if c == "{":
-            if depth == 0:
-                start = i
-            depth += 1
-        elif c == "}" and depth:
-            depth -= 1
-            if depth == 0:
-                out.append(text[start : i + 1])
-    return out
+    braces = list(BRACE.finditer(text))
+    # open braces after each one; a closing brace without partner changes nothing
+    open_after = list(accumulate((1 if m[0] == "{" else -1 for m in braces), lambda n, step: max(0, n + step), initial=0))
+    outer = [m for m, before, after in zip(braces, open_after, open_after[1:], strict=False) if {before, after} == {0, 1}]
+    return [text[a.start() : b.end()] for a, b in zip(outer[::2], outer[1::2], strict=False)]
 
 
 def loaded(text: str):

@@ -60,7 +60,7 @@ def _spans_sql(source: str) -> str:
 
 def _named_sql() -> str:
     acronyms = ", ".join(f"'{a}'" for a in C.INSTRUMENTS)
-    numbers = ", ".join(f"('{n}', '{a}')" for n, a in C.numbers().items())
+    numbers = ", ".join(f"('{n}', '{a}')" for n, a in C.NUMBERS.items())
     return f"""numbers(num, acr) as (values {numbers}),
 named as (select s.*, case kind when 'article' then null when 'guideline' then upper(g1) when 'acronym' then upper(regexp_replace(g1, '[\\s\\-]+', '', 'g'))
   else case when upper(replace(g1, ' ', '')) in ({acronyms}) then upper(replace(g1, ' ', '')) else coalesce(acr, g1) end end as own from spans s left join numbers on num = g1 and kind in ('regulation_eu', 'regulation_short', 'directive')),
