@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from .sampling import hash_ranks
 
 
 def canonical(name: str, aliases: dict[str, str]) -> Column:
@@ -32,26 +31,36 @@ def upsert(old: DataFrame, fresh: DataFrame, key: list[str], values: list[str])
     return rows.select(*key, *(F.coalesce(f"_{v}", v).alias(v) for v in values), F.coalesce("_there", F.lit(False)).alias("redone"))
 
 
-def bootstrap(rows: DataFrame, by: str, order: str, delta: str, resamples: int) -> DataFrame:
+#: Mixing multiplier below 2^27, so that products of 32-bit numbers fit 64 bits in any engine, and the numbers below 2^32.
+MIX, WORD = 73244475, (1 << 32) - 1
+#: A uniform 32-bit number counts the thresholds that it reaches: a Poisson variable of mean 1.
+POISSON = [round(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * (1 << 32)) for k in range(10)]
+
+
+def mixed(x: Column) -> Column:
+    """A scrambled 32-bit number for each one, the same in any SQL engine."""
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftrightunsigned(x, 16)) * MIX).bitwiseAND(F.lit(WORD))
+    return x.bitwiseXOR(F.shiftrightunsigned(x, 16))
+
+
+def bootstrap(rows: DataFrame, by: str, key: str, delta: str, resamples: int = 10_000, seed: int = 0) -> DataFrame:
     """Paired bootstrap by group: point, linear 2.5 and 97.5 percentiles, two-sided p, significance.
 
-    Rows get places 0..n-1 in draw order of the integer key `order`; resample b takes the values at n places computed from
-    b and a counter. Draws meet values in a join on (group, place) and combine by (group, b) before they are shuffled
-    again, so no group is ever gathered. Null deltas are left out.
+    Resample b takes a row as many times as a Poisson variable of mean 1 says that hashes of (seed, b, integer key) draw: a
+    resample of a group in which each row decides by itself. So every task adds its rows up by (group, b) on its own, and only those
+    sums are shuffled; the cost of a resample is a few operations a row. Rows with one key are drawn together. Null deltas
+    and keys are left out.
     """
-    rows = rows.where(F.col(delta).isNotNull())
-    placed = hash_ranks(rows, order, [by]).select(by, (F.col("rank") - 1).alias("i"), F.col("size").alias("n"), F.col(delta).alias("d"))
-    b = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long")))
-    place = (F.col("b") * 7919 + F.col("i") * 104729 + (F.col("b") * F.col("i")) % 1009) % F.col("n")
-    draws = placed.select(by, "i", "n", b.alias("b")).select(by, "b", place.alias("i"))
-    means = draws.join(placed.select(by, "i", "d"), [by, "i"]).groupBy(by, "b").agg(F.round(F.avg("d"), 9).alias("m"))  # sums in another order must not move a mean across 0
+    rows = rows.where(F.col(delta).isNotNull() & F.col(key).isNotNull())
+    own = rows.select(by, F.col(delta).alias("d"), mixed(F.col(key).cast("long").bitwiseAND(F.lit(WORD))).alias("k"))
+    drawn = own.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
+    u = mixed(F.col("k").bitwiseXOR(mixed(F.col("b") + F.lit(seed * resamples + 1))))
+    times = sum(((u >= t).cast("int") for t in POISSON[1:]), (u >= POISSON[0]).cast("int"))
+    sums = drawn.select(by, "b", "d", times.alias("w")).groupBy(by, "b").agg(F.sum(F.col("w") * F.col("d")).alias("s"), F.sum("w").alias("n"))
+    means = sums.where("n > 0").select(by, F.round(F.col("s") / F.col("n"), 9).alias("m"))  # sums in another order must not move a mean across 0
     q = means.groupBy(by).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((F.col("m") <= 0).cast("double")).alias("below"))
     point = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(delta).alias("point"))
     lo, hi = F.col("q")[0], F.col("q")[1]
     p = F.least(F.lit(1.0), 2 * F.least(F.col("below"), 1 - F.col("below")))
     return point.join(q, by).select(by, "n", F.round("point", 6).alias("point"), F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"), F.round(p, 6).alias("p"), ((lo > 0) | (hi < 0)).alias("significant"))
-
-
-def last_value(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last row of each key by an order column."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")

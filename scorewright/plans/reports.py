@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.reports import bootstrap, canonical, mean_present, pending, upsert
+from ..operators.reports import MIX, POISSON, WORD, bootstrap, canonical, mean_present, pending, upsert
 from ..registry import query
 from ..sources.views import DIMS, JUDGMENTS_SQL, judgments
 
@@ -119,17 +119,31 @@ def rejudge_upsert(spark, sf_dir):
     return upsert(old, fresh, ["question_id", "answerer", "judge"], ["accuracy", "citation_quality"])
 
 
-@query(f"""with {EVAL_SQL}, d as (select folder, question_id, trained - baseline as delta, row_number() over (partition by folder order by ((question_id % 1000003) * 48271 + 332598) % 1000003, question_id) - 1 as i, count(*) over (partition by folder) as n
- from sides where trained is not null and baseline is not null),
-draw as (select f.folder, b, j, (b * 7919 + j * 104729 + (b * j) % 1009) % n as i from (select distinct folder, n from d) f, range(100) t(b), range(n) u(j)),
-means as (select draw.folder, b, round(avg(delta), 9) as m from draw join d on d.folder = draw.folder and d.i = draw.i group by 1, 2),
-point as (select folder, avg(delta) as point, count(*) as n from d group by 1),
+RESAMPLES = 10_000
+
+
+def _mixed_sql(x: str) -> tuple[str, str, str]:
+    """Three steps of `mixed`, each on the column of the one before."""
+    step = lambda c: f"(xor({c}, {c} >> 16) * {MIX}) & {WORD}"
+    return step(x), step("x"), "xor(x, x >> 16)"
+
+
+def _mix_sql(source: str, keep: str, x: str) -> str:
+    a, b, c = _mixed_sql("x")
+    return f"(select {keep}, {c} as x from (select {keep}, {b} as x from (select {keep}, {a} as x from (select {keep}, {x} as x from {source}))))"
+
+
+@query(f"""with {EVAL_SQL}, d as (select folder, question_id, trained - baseline as d from sides where trained is not null and baseline is not null),
+k as (select * from {_mix_sql("d", "folder, d", f"question_id & {WORD}")}), r as (select b, x as y from {_mix_sql(f"range({RESAMPLES}) t(b)", "b", "b + 1")}),
+draw as (select folder, b, d, {" + ".join(f"(x >= {t})::int" for t in POISSON)} as w from {_mix_sql("(select folder, d, x as k, b, y from k, r)", "folder, d, b", "xor(k, y)")}),
+means as (select folder, b, round(sum(w * d) / sum(w), 9) as m from draw group by 1, 2 having sum(w) > 0),
+point as (select folder, avg(d) as point, count(*) as n from d group by 1),
 ci as (select folder, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi, avg(case when m <= 0 then 1.0::double else 0.0::double end) as below from means group by 1)
 select folder, n, round(point, 6) as point, round(lo, 6) as lo, round(hi, 6) as hi, round(least(1.0::double, 2 * least(below, 1 - below)), 6) as p, lo > 0 or hi < 0 as significant from point join ci using (folder)""")
 def boot_ci(spark, sf_dir):
-    """Paired bootstrap intervals of the trained side's gain by folder; draws are arithmetic in both engines."""
-    rows = _sides(spark, sf_dir).select("folder", "question_id", (F.col("trained") - F.col("baseline")).alias("delta")).where("delta is not null")
-    return bootstrap(rows, "folder", "question_id", "delta", 100)
+    """Paired bootstrap intervals of the trained side's gain by folder, 10,000 resamples; draws are hashes that both engines have."""
+    rows = _sides(spark, sf_dir).select("folder", "question_id", (F.col("trained") - F.col("baseline")).alias("delta"))
+    return bootstrap(rows, "folder", "question_id", "delta", RESAMPLES)
 
 
 @query(f"""with {EVAL_SQL}, b as (select question_id + 1 as question_id, trained as base from sides where folder = 'run0')
