@@ -33,6 +33,11 @@ def strip_think(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
 
 
+def last_chars(text: Column, n: int) -> Column:
+    """The last n characters."""
+    return F.right(text, F.lit(n))
+
+
 def cut_text(text: Column, n: int) -> Column:
     return F.when(F.char_length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
@@ -45,15 +50,35 @@ def zones(text: Column, keywords: dict[str, list[str]], least: int = 2) -> Colum
 
 
 #: Titles of articles that are not of substance.
-SKIP_TITLES = [r"^Subject\s*matter$", r"^Scope$", r"^Definitions?$", r"^Amendment", r"^Repeal", r"^Entry\s*into\s*force", r"^Transitional\s*(provisions?|measures?|arrangements?)$", r"^Review$", r"^Transposition"]
+SKIP_TITLES = [
+    r"^Subject\s*matter$", r"^Scope$", r"^Definitions?$", r"^Amendment", r"^Repeal", r"^Entry\s*into\s*force", r"^Transitional\s*(provisions?|measures?|arrangements?)$", r"^Review$", r"^Transposition",
+    r"^Addressees$", r"^Exercise\s*of\s*the\s*delegation$", r"^Committee\s*procedure$",
+]
+#: The highest article of substance of some regulations.
+HIGHEST = {"DORA": 56, "GDPR": 91, "MiFID2": 90, "MiCA": 140, "NIS2": 41}
+
+
+def skip_titles(keep: tuple[str, ...] = ()) -> str:
+    """A pattern of the titles that are left out; keep: words ("Definitions", "Scope") whose titles stay."""
+    return "(?i)" + "|".join(t for t in SKIP_TITLES if not any(k in t for k in keep))
+
+
+def highest(regulation: Column, default: int = 999) -> Column:
+    """The highest article number to keep of a regulation."""
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in HIGHEST.items() for x in kv))[regulation], F.lit(default))
+
+
+def without_preamble(text: Column) -> Column:
+    """The text from its first line `Article 1` on; whole if there is none."""
+    return F.regexp_replace(text, r"(?ism)\A.*?^(?=[ \t]*Article\s+1[ \t]*$)", "")
 
 
-def articles(df: DataFrame, key: str, text: str, skip_above: int = 999, least: int = 100) -> DataFrame:
+def articles(df: DataFrame, key: str, text: str, skip_above: int | Column = 999, least: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, article_number, title, body, chapter, char_count) of the articles of a regulation text.
 
     An article is a line `Article n`, a title line and the body up to the next line that starts with Article and a
     number. Left out: titles that start with a digit, bracket or small letter, titles of no substance, numbers above the cap,
-    short bodies. The chapter is the last heading before the article.
+    short bodies. The chapter is the last heading before the article. keep: see `skip_titles`.
     """
     head = r"(?im)^[ \t]*Article\s+\d"
     pieces = df.select(key, F.posexplode(marked(F.col(text), head)).alias("at", "piece"))
@@ -66,7 +91,7 @@ def articles(df: DataFrame, key: str, text: str, skip_above: int = 999, least: i
     rows = pieces.where(F.col("piece").rlike(form)).select(key, "at", "chapter", *(strip(F.regexp_extract("piece", form, g)).alias(n) for g, n in ((1, "article_number"), (2, "title"), (3, "body"))))
     rows = rows.withColumn("body", strip(F.regexp_replace(F.regexp_replace("body", r"--- PAGE \d+ ---", ""), r"\n{3,}", "\n\n")))
     number = F.regexp_extract("article_number", r"^(\d+)", 1).cast("int")
-    ok = ~F.col("title").rlike(r"^[\d(a-z]") & (number <= skip_above) & ~F.col("title").rlike("(?i)" + "|".join(SKIP_TITLES)) & (F.char_length("body") >= least)
+    ok = ~F.col("title").rlike(r"^[\d(a-z]") & (number <= skip_above) & ~F.col("title").rlike(skip_titles(keep)) & (F.char_length("body") >= least)
     return rows.where(ok).select(key, "article_number", "title", "body", "chapter", F.char_length("body").cast("long").alias("char_count"))
 
 

@@ -17,19 +17,25 @@ DEFAULT, TRIES = 3072, 3
 JUDGES = 1000
 
 
+def pause(status: int | None, n: int) -> int:
+    """Seconds to wait after try n (from 0): 5, 10, .. if the server asks for it (429, 503), 1, 2, 4, .. after its other faults and exceptions (None), else 0."""
+    if status in (429, 503):
+        return 5 * (n + 1)
+    return 2**n if status is None or status >= 500 else 0
+
+
 def retried(fetch: Callable[[str], tuple[int, str]], url: str, tries: int = 3, sleep: Callable[[float], None] = time.sleep) -> str | None:
-    """Body of a page; waits 5, 10, .. s after status 429 or 503 and 1, 2, .. s after an exception; None in the end."""
+    """Body of a page with status 200; every other outcome is tried again after a pause; None in the end."""
     for n in range(tries):
+        if n:
+            sleep(wait)
         try:
             status, body = fetch(url)
         except Exception:
-            sleep(2**n)
-            continue
+            status, body = None, None
         if status == 200:
             return body
-        if status not in (429, 503):
-            return None
-        sleep(5 * (n + 1))
+        wait = pause(status, n)
     return None
 
 

@@ -13,8 +13,13 @@ def test_retried():
     def broken(u):
         raise OSError
 
-    assert judging.retried(broken, "u", sleep=slept.append) is None and slept == [1, 2, 4]
-    assert judging.retried(lambda u: (404, ""), "u", sleep=slept.append) is None
+    assert judging.retried(broken, "u", sleep=slept.append) is None and slept == [1, 2]
+    slept.clear()
+    replies = iter([(500, ""), (404, ""), (200, "late")])
+    assert judging.retried(lambda u: next(replies), "u", sleep=slept.append) == "late" and slept == [1, 0]
+    slept.clear()
+    asked = []
+    assert judging.retried(lambda u: (asked.append(u), (429, ""))[1], "u", sleep=slept.append) is None and slept == [5, 10] and len(asked) == 3
 
 
 def test_run_keeps_failures_and_resumes(spark):
