@@ -8,10 +8,11 @@ from pyspark.sql.window import Window
 
 
 def rater_pairs(rows: DataFrame, key: list[str], rater: str, score: str) -> DataFrame:
-    """(key, rater_1, rater_2, a, b) for each unordered pair of raters of one item; raters of an item are few."""
-    a = rows.where(F.col(score).isNotNull()).select(*key, F.col(rater).alias("rater_1"), F.col(score).alias("a"))
-    b = a.select(*key, F.col("rater_1").alias("rater_2"), F.col("a").alias("b"))
-    return a.join(b, key).where("rater_1 < rater_2")
+    """(key, rater_1, rater_2, a, b) for each unordered pair of raters of one item, from one aggregate; raters of an item are few."""
+    one = F.struct(F.col(rater).alias("rater"), F.col(score).alias("score"))
+    items = rows.where(F.col(score).isNotNull()).groupBy(*key).agg(F.array_sort(F.collect_list(one)).alias("_r"))
+    pairs = F.flatten(F.transform("_r", lambda x, i: F.transform(F.filter("_r", lambda y, j: (j > i) & (y["rater"] > x["rater"])), lambda y: F.struct(x["rater"].alias("rater_1"), y["rater"].alias("rater_2"), x["score"].alias("a"), y["score"].alias("b")))))
+    return items.select(*key, F.explode(pairs).alias("_p")).select(*key, "_p.*")
 
 
 def kappa(pairs: DataFrame, by: list[str], power: int, labels: int = 5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,11 @@ def nearest(rows: DataFrame, labels: DataFrame, vector: str, own: str, label: st
     if len(table) > FEW:
         raise ValueError(f"more than {FEW} labels: reduce them or block the rows")
     spark = rows.sparkSession
-    one = spark.createDataFrame([([(r[0], r[1]) for r in table],)], f"_t array<struct<l:{labels.schema[label].dataType.simpleString()},c:array<double>>>")
-    scored = rows.crossJoin(F.broadcast(one)).withColumn("_s", F.transform("_t", lambda t: F.struct(cosine(F.col(vector), t["c"]).alias("sim"), t["l"].alias("l")))).drop("_t")  # one row, of a checked size
+    # centroids of length 1, so that a row's own length is all that is left to divide by
+    unit = [(r[0], [x / norm for x in r[1]] if (norm := math.sqrt(sum(x * x for x in r[1]))) else None) for r in table]
+    one = spark.createDataFrame([(unit,)], f"_t array<struct<l:{labels.schema[label].dataType.simpleString()},c:array<double>>>")
+    scored = rows.crossJoin(F.broadcast(one)).withColumn("_n", F.nullif(F.sqrt(dot(F.col(vector), F.col(vector))), F.lit(0.0)))  # one row, of a checked size
+    scored = scored.withColumn("_s", F.transform("_t", lambda t: F.struct((dot(F.col(vector), t["c"]) / F.col("_n")).alias("sim"), t["l"].alias("l")))).drop("_t", "_n")
     top = F.aggregate("_s", F.struct(F.lit(-2.0).alias("sim"), F.lit(None).cast(labels.schema[label].dataType).alias("l")), lambda a, x: F.when(x["sim"] > a["sim"], x).otherwise(a))
     scored = scored.withColumn("_top", top)
     mine = F.get(F.filter("_s", lambda x: x["l"] == F.col(own)), F.lit(0))["sim"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,8 +82,24 @@ def write_json_document(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).write.mode("errorifexists").text(path)
 
 
+def joined_hash(ids: DataFrame) -> DataFrame:
+    """(split_hash): SHA-256 of the ids (one string column), sorted and joined by |. One task reads them in order and keeps none; nulls are left out."""
+
+    def run(batches):
+        digest, first = hashlib.sha256(), True
+        for b in batches:
+            for x in b.column(0):
+                digest.update(("" if first else "|").encode() + x.as_py().encode())
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], names=["split_hash"])
+
+    name = ids.columns[0]
+    return ids.where(F.col(name).isNotNull()).orderBy(name).coalesce(1).mapInArrow(run, "split_hash string")
+
+
 def manifest(split: DataFrame, seed: int) -> DataFrame:
     """One row: seed, sizes of train, val and test, SHA-256 over the sorted ids, and the date."""
     size = lambda s: F.count_if(F.col("split") == s).alias(s)
-    rows = split.agg(F.struct(size("train"), size("val"), size("test")).alias("sizes"), F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.col("question_id").cast("string")))), 256).alias("split_hash"))
+    sizes = split.agg(F.struct(size("train"), size("val"), size("test")).alias("sizes"))
+    rows = sizes.crossJoin(joined_hash(split.select(F.col("question_id").cast("string").alias("id"))))  # one row each
     return rows.select(F.lit(seed).alias("seed"), "sizes", "split_hash", F.current_timestamp().cast("string").alias("date_created"))
