@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,6 +92,28 @@ def updated_weights(groups: DataFrame, eta: float = 0.1, floor: float = 0.05) ->
     return s.crossJoin(s.agg(F.sum("f").alias("t"))).withColumn("new_w", F.col("f") / F.col("t")).drop("top", "e", "s", "f", "t")
 
 
+#: Groups whose weights the driver carries from epoch to epoch.
+GROUPS = 10_000
+
+
+def weights_over_epochs(weights: DataFrame, margins: Callable[[int], DataFrame], epochs: int, eta: float = 0.1, floor: float = 0.05) -> DataFrame:
+    """(epoch, <group>, w) before the first and after each epoch: margins(epoch) gives (<group>, margin) under the weights so far.
+
+    weights(<group>, w) has few rows (GROUPS at most, else an error), which are the state between epochs.
+    """
+    spark, group = weights.sparkSession, weights.columns[0]
+    schema = f"`{group}` {weights.schema[group].dataType.simpleString()}, w double"
+    rows = weights.select(group, "w").limit(GROUPS + 1).collect()
+    if len(rows) > GROUPS:
+        raise ValueError(f"more than {GROUPS} groups")
+    states = [(0, *r) for r in rows]
+    for epoch in range(epochs):
+        now = spark.createDataFrame([s[1:] for s in states if s[0] == epoch], schema)
+        new = updated_weights(now.join(margins(epoch), group), eta, floor).select(group, "new_w").collect()  # at most GROUPS
+        states += [(epoch + 1, *r) for r in new]
+    return spark.createDataFrame(states, f"epoch int, {schema}")
+
+
 def upsampled(rows: DataFrame, hard: Column, times: int = 4) -> DataFrame:
     """Hard rows `times` times in total, others once."""
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(hard, times).otherwise(1))))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import judgejson as J
 from ..functions import text as T
+from ..operators.records import article_pairs
 from ..registry import query
 from ..sources.views import table
 
@@ -39,12 +40,7 @@ def _articles(spark, sf_dir):
 @query(f"""with {ARTICLES_SQL} select a.zone, a.regulation || '_Art' || a.id || '_x_' || b.regulation || '_Art' || b.id as pair_id from a join a b on a.zone = b.zone and a.regulation < b.regulation""")
 def zone_pairs(spark, sf_dir):
     """Article pairs of different regulations within a zone that involves two or more: an equi-join on the zone."""
-    a = _articles(spark, sf_dir)
-    many = a.groupBy("zone").agg((F.min("regulation") < F.max("regulation")).alias("many")).where("many").select("zone")
-    a = a.join(many, "zone", "left_semi")
-    b = a.select(F.col("id").alias("id_b"), F.col("regulation").alias("regulation_b"), "zone")
-    pairs = a.join(b, "zone").where("regulation < regulation_b")
-    return pairs.select("zone", F.concat("regulation", F.lit("_Art"), "id", F.lit("_x_"), "regulation_b", F.lit("_Art"), "id_b").alias("pair_id"))
+    return article_pairs(_articles(spark, sf_dir), "zone", "regulation", "id").select("zone", "pair_id")
 
 
 @query(f"with {ARTICLES_SQL} select zone, regulation, array_to_string(list(cast(id as varchar) order by id), ',') as articles, count(*) as n from a group by zone, regulation")

@@ -22,7 +22,8 @@ def read_jsonl(spark: SparkSession, paths, schema: str) -> DataFrame:
 
 def read_keyed_jsonl(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """The last row of each key, in file order."""
-    placed = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_at")).where(F.trim("value") != "")
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("i"))  # file by file; a task reads a block in order
+    placed = spark.read.text(path).select("value", at.alias("_at")).where(F.trim("value") != "")
     rows = placed.select(F.from_json("value", schema).alias("r"), "_at").select("r.*", "_at")
     last = Window.partitionBy(key).orderBy(F.desc("_at"))
     return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_at")
@@ -77,6 +78,38 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "errorifexists").option("ignoreNullFields", False).json(path)
 
 
+def _framed(rows: DataFrame, path: str, head: str, tail: str) -> None:
+    """One text of a head, the rows as JSON with commas between them, and a tail. A document is one file, so one task writes it; it holds a batch."""
+
+    def run(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([head])], names=["value"])
+        lead = ""
+        for b in batches:
+            if b.num_rows:
+                lines = b.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([lead + lines[0], *("," + x for x in lines[1:])])], names=["value"])
+                lead = ","
+        yield pa.RecordBatch.from_arrays([pa.array([tail])], names=["value"])
+
+    lines = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    lines.coalesce(1).mapInArrow(run, "value string").write.mode("errorifexists").text(path)
+
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """One JSON array, a row in each line."""
+    _framed(df, path, "[", "]")
+
+
+def rewrite_as_array(spark: SparkSession, source: str, path: str, schema: str) -> None:
+    """JSON lines to one JSON array."""
+    write_json_array(read_jsonl(spark, source, schema), path)
+
+
+def write_report(summary: DataFrame, results: DataFrame, path: str) -> None:
+    """One JSON document of a summary (one row) and the results (a list)."""
+    _framed(results, path, '{"summary": ' + summary.select(F.to_json(F.struct("*"))).first()[0] + ', "results": [', "]}")
+
+
 def write_json_document(df: DataFrame, path: str) -> None:
     """Each row as an indented JSON document."""
     df.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).write.mode("errorifexists").text(path)
