@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,28 +40,60 @@ MIX, WORD = 73244475, (1 << 32) - 1
 POISSON = [round(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * (1 << 32)) for k in range(10)]
 
 
-def mixed(x: Column) -> Column:
-    """A scrambled 32-bit number for each one, the same in any SQL engine."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A scrambled 32-bit number for each one, by steps that any SQL engine has."""
+    x = x.astype(np.uint64)
     for _ in range(2):
-        x = (x.bitwiseXOR(F.shiftrightunsigned(x, 16)) * MIX).bitwiseAND(F.lit(WORD))
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 16))
+        x = (x ^ x >> np.uint64(16)) * np.uint64(MIX) & np.uint64(WORD)
+    return x ^ x >> np.uint64(16)
+
+
+#: Groups whose sums a task holds at a time; rows drawn at a time, each in all resamples.
+HELD, ROWS = 64, 64
+
+
+def _resampled(resamples: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, levels = mixed(np.arange(resamples) + (seed * resamples + 1)), np.array(POISSON, np.uint64)
+        sums: dict = {}
+
+        def flush():
+            for k, (s, n) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([s.tolist()]), pa.array([n.tolist()])], names=["g", "s", "n"])
+            sums.clear()
+
+        for b in batches:
+            groups, d = b.column(0).to_pylist(), b.column(2).to_numpy(zero_copy_only=False)
+            keys = mixed(b.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) & np.uint64(WORD))
+            for s in range(0, len(groups), ROWS):
+                w = np.searchsorted(levels, mixed(keys[s : s + ROWS, None] ^ turn), "right")
+                for g in dict.fromkeys(groups[s : s + ROWS]):
+                    mine = np.array([x == g for x in groups[s : s + ROWS]])
+                    if g not in sums:
+                        if len(sums) >= HELD:
+                            yield from flush()
+                        sums[g] = np.zeros(resamples), np.zeros(resamples, np.int64)
+                    sums[g][0][:] += d[s : s + ROWS][mine] @ w[mine]
+                    sums[g][1][:] += w[mine].sum(axis=0)
+        yield from flush()
+
+    return run
 
 
 def bootstrap(rows: DataFrame, by: str, key: str, delta: str, resamples: int = 10_000, seed: int = 0) -> DataFrame:
     """Paired bootstrap by group: point, linear 2.5 and 97.5 percentiles, two-sided p, significance.
 
     Resample b takes a row as many times as a Poisson variable of mean 1 says that hashes of (seed, b, integer key) draw: a
-    resample of a group in which each row decides by itself. So every task adds its rows up by (group, b) on its own, and only those
-    sums are shuffled; the cost of a resample is a few operations a row. Rows with one key are drawn together. Null deltas
-    and keys are left out.
+    resample of a group in which each row decides by itself. So every task adds its rows up for (group, b) on its own, in numpy, and only
+    those sums are shuffled; the cost of a resample is a few operations a row. Rows with one key are drawn together. Null
+    deltas, keys and groups are left out.
     """
-    rows = rows.where(F.col(delta).isNotNull() & F.col(key).isNotNull())
-    own = rows.select(by, F.col(delta).alias("d"), mixed(F.col(key).cast("long").bitwiseAND(F.lit(WORD))).alias("k"))
-    drawn = own.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
-    u = mixed(F.col("k").bitwiseXOR(mixed(F.col("b") + F.lit(seed * resamples + 1))))
-    times = sum(((u >= t).cast("int") for t in POISSON[1:]), (u >= POISSON[0]).cast("int"))
-    sums = drawn.select(by, "b", "d", times.alias("w")).groupBy(by, "b").agg(F.sum(F.col("w") * F.col("d")).alias("s"), F.sum("w").alias("n"))
-    means = sums.where("n > 0").select(by, F.round(F.col("s") / F.col("n"), 9).alias("m"))  # sums in another order must not move a mean across 0
+    rows = rows.where(F.col(delta).isNotNull() & F.col(key).isNotNull() & F.col(by).isNotNull())
+    own = rows.select(by, F.col(key).cast("long"), F.col(delta).cast("double"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = own.repartition(n, key).mapInArrow(_resampled(resamples, seed), f"g {rows.schema[by].dataType.simpleString()}, s array<double>, n array<long>")
+    sums = sums.select("g", F.posexplode(F.arrays_zip("s", "n")).alias("b", "x")).groupBy("g", "b").agg(F.sum("x.s").alias("s"), F.sum("x.n").alias("n"))
+    means = sums.where("n > 0").select(F.col("g").alias(by), F.round(F.col("s") / F.col("n"), 9).alias("m"))  # sums in another order must not move a mean across 0
     q = means.groupBy(by).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((F.col("m") <= 0).cast("double")).alias("below"))
     point = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(delta).alias("point"))
     lo, hi = F.col("q")[0], F.col("q")[1]
