@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import citations as C
 from ..functions import corruptions as X
 from ..registry import query
-from ..sources.views import table
+from ..sources.views import JUDGMENTS_SQL, judgments, spread, table
 
 #: {n}: a number from the key.
 TEMPLATES = [
@@ -38,7 +38,7 @@ def _template(index):
 
 def texts(spark, sf_dir):
     """(id, candidate, truth, act) by part key."""
-    parts = table(spark, sf_dir, "part").select("p_partkey")
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
     k = F.col("p_partkey")
     return parts.select(k.alias("id"), _template(k % N).alias("candidate"), _template(F.floor(k / 3) % N).alias("truth"), _template(F.floor(k / 2) % 3).alias("act"))
 
@@ -83,16 +83,19 @@ def cite_keys(spark, sf_dir):
     return c.select("id", F.explode(C.keys(F.col("c"))).alias("key"))
 
 
-def _scores_sql(key: str, truth: str) -> str:
-    return f"""select id, t, f, coalesce(hit, 0) as hit from (select id, (select count(distinct {key}) from cites c where c.id = texts.id and what = '{truth}') as t, (select count(distinct {key}) from cites c where c.id = texts.id and what = 'candidate') as f,
- (select count(distinct a.{key}) from cites a join cites b on a.id = b.id and a.{key} = b.{key} where a.id = texts.id and a.what = '{truth}' and b.what = 'candidate') as hit from texts)"""
+def _scores_sql(key: str, truth: str, source: str = "cites") -> str:
+    return f"""select id, t, f, coalesce(hit, 0) as hit from (select id, (select count(distinct {key}) from {source} c where c.id = texts.id and what = '{truth}') as t, (select count(distinct {key}) from {source} c where c.id = texts.id and what = 'candidate') as f,
+ (select count(distinct a.{key}) from {source} a join {source} b on a.id = b.id and a.{key} = b.{key} where a.id = texts.id and a.what = '{truth}' and b.what = 'candidate') as hit from texts)"""
+
+
+def _f1_sql(s: str) -> str:
+    return f"case when {s}.t = 0 and {s}.f = 0 then 1.0::double when {s}.hit = 0 then 0.0::double else 2.0::double * {s}.hit / ({s}.t + {s}.f) end"
 
 
 def _prf(s: str) -> str:
     p = f"case when {s}.t = 0 and {s}.f = 0 then 1.0::double when {s}.f = 0 then 0.0::double else {s}.hit::double / {s}.f end"
     r = f"case when {s}.t = 0 and {s}.f = 0 then 1.0::double when {s}.t = 0 then 0.0::double else {s}.hit::double / {s}.t end"
-    f = f"case when {s}.t = 0 and {s}.f = 0 then 1.0::double when {s}.hit = 0 then 0.0::double else 2.0::double * {s}.hit / ({s}.t + {s}.f) end"
-    return ", ".join(f"round(avg({x}), 4) as {s}_{n}" for n, x in (("precision", p), ("recall", r), ("f1", f)))
+    return ", ".join(f"round(avg({x}), 4) as {s}_{n}" for n, x in (("precision", p), ("recall", r), ("f1", _f1_sql(s))))
 
 
 @query(f"""with {LONG_SQL}, {_named_sql()}, instrument as ({_scores_sql("inst", "act")}), full_ as ({_scores_sql("key", "truth")})
@@ -108,22 +111,72 @@ def cite_scores(spark, sf_dir):
     return rows.groupBy(F.when(F.col("id") % 2 == 0, "EBA").otherwise("ESMA").alias("regulator"), F.when(F.col("id") % 3 == 0, "F").otherwise("O").alias("answerer")).agg(F.count("*").alias("n"), *means)
 
 
-@query()
+F1_SQL = f"""{LONG_SQL}, {_named_sql()}, raws as (select distinct id, what, lower(trim(text)) as k from spans), keyed as (select distinct id, what, key as k from cites where key <> ''),
+raw as ({_scores_sql("k", "truth", "raws")}), norm as ({_scores_sql("k", "truth", "keyed")}), f1 as (select raw.id, {_f1_sql("raw")} as raw_f1, {_f1_sql("norm")} as key_f1 from raw join norm using (id))"""
+
+
+@query(f"with {F1_SQL} select id, round(raw_f1, 9) as raw_f1, round(key_f1, 9) as key_f1 from f1")
 def cite_f1_raw_vs_norm(spark, sf_dir):
     """F1 of raw span strings beside F1 of normalised keys."""
+    return _f1(spark, sf_dir).select("id", F.round("raw_f1", 9).alias("raw_f1"), F.round("key_f1", 9).alias("key_f1"))
+
+
+def _f1(spark, sf_dir):
     rows = texts(spark, sf_dir)
     for name in ("candidate", "truth"):
         rows = C.with_citations(C.with_spans(rows, name, f"s_{name}"), name, f"c_{name}")
     some = lambda c: F.filter(C.keys(F.col(c)), lambda k: k != "")
-    return rows.select("id", C.set_scores(C.span_strings(F.col("s_truth")), C.span_strings(F.col("s_candidate")))["f1"].alias("raw_f1"), C.set_scores(some("c_truth"), some("c_candidate"))["f1"].alias("key_f1"))
+    both = F.struct(C.set_scores(C.span_strings(F.col("s_truth")), C.span_strings(F.col("s_candidate")))["f1"].alias("raw_f1"), C.set_scores(some("c_truth"), some("c_candidate"))["f1"].alias("key_f1"))
+    return rows.select("id", F.explode(F.array(both)).alias("x")).select("id", "x.*")  # a filter on the scores stays above: pushed below, it would repeat all their expressions
+
+
+@query(f"""with {F1_SQL}, {JUDGMENTS_SQL} select question_id, answerer, judge, round(raw_f1, 6) as raw_f1, citation_quality from judgments join f1 on id = question_id
+where raw_f1 < 0.1 and citation_quality >= 3 order by citation_quality desc, question_id, answerer, judge limit 10""")
+def low_f1_high_score(spark, sf_dir):
+    """The report's ten judgments that praise citations which hardly overlap with the reference answer's."""
+    rows = judgments(spark, sf_dir).join(_f1(spark, sf_dir).withColumnRenamed("id", "question_id"), "question_id").where("raw_f1 < 0.1 and citation_quality >= 3")
+    return rows.orderBy(F.desc("citation_quality"), "question_id", "answerer", "judge").limit(10).select("question_id", "answerer", "judge", F.round("raw_f1", 6).alias("raw_f1"), "citation_quality")
 
 
-@query()
+@query(f"""with {LONG_SQL}, {_named_sql()} select id, key, arg_min(case when kind = 'article' then case when instrument = '' then '' else instrument || ' ' end || 'Art ' || g1 || coalesce('(' || g2 || ')', '') || coalesce('(' || g3 || ')', '') else instrument end, start * 10 + rank) as shown
+from (select c.id, c.what, c.key, n.* exclude (id, what) from carried n join (select id, what, start, rank, key from cites) c on c.id = n.id and c.what = n.what and c.start = n.start and c.rank = n.rank) where what = 'candidate' group by id, key""")
+def cite_shown(spark, sf_dir):
+    """Each citation as it is shown to readers."""
+    c = C.with_citations(texts(spark, sf_dir), "candidate", "c")
+    return c.select("id", F.explode("c").alias("c")).select("id", "c.key", C.shown(F.col("c")).alias("shown"))
+
+
+def _pick_of(key: str, n: str, salt: int) -> str:
+    return f"((({key} * 48271 + {salt * 7919}) % 2147483647) % {n})"
+
+
+def _law_swap_sql(source: str, name: str) -> str:
+    """CTEs that end in `name`(id, t, corrupted) for source(id, what, t): laws, the most frequent one, another in its place, the text put together again."""
+    acronyms, full = ", ".join(f"'{a}'" for a in C.INSTRUMENTS), ", ".join(f"('{a}', '{n}')" for a, n in C.INSTRUMENTS.items())
+    return f"""{name}_laws as (select id, start, start + length(text) as stop, kind, own, start * 10 + rank as "at" from named where kind <> 'article' and what = 'candidate'),
+{name}_ranked as (select id, own, row_number() over (partition by id order by n desc, "at") as k from (select id, own, count(*) as n, min("at") as "at" from {name}_laws group by id, own)),
+{name}_new as (select id, own, list_filter([{acronyms}], lambda a: a <> own) as others from {name}_ranked where k = 1),
+{name}_pick as (select id, own, others[1 + {_pick_of("id", "len(others)", 1)}] as acr from {name}_new),
+{name}_full(acr, full_name) as (values {full}),
+{name}_cut as (select l.id, start, stop, case when kind = 'acronym' then p.acr else full_name end as new, coalesce(lag(stop) over (partition by l.id order by start), 0) as prev from {name}_laws l join {name}_pick p on p.id = l.id and p.own = l.own join {name}_full f on f.acr = p.acr),
+{name} as (select s.id, s.t, (select string_agg(substr(s.t, cast(prev + 1 as bigint), cast(start - prev as bigint)) || new, '' order by start) || substr(s.t, cast(max(stop) + 1 as bigint)) from {name}_cut c where c.id = s.id) as corrupted from {source} s where s.what = 'candidate')"""
+
+
+def _article_swap_sql(source: str, name: str, spans: str) -> str:
+    """The same for article numbers: shifted in a circle, or a single one replaced."""
+    return f"""{name}_arts as (select id, start + strpos(text, g1) - 1 as start, g1, start * 10 + rank as "at" from {spans} where kind = 'article' and what = 'candidate'),
+{name}_old as (select id, list(g1 order by "at") as olds from (select id, g1, min("at") as "at" from {name}_arts group by 1, 2) group by id),
+{name}_map as (select id, olds, case when len(olds) >= 2 then list_concat(olds[2:], olds[1:1]) else [cast((coalesce(try_cast(regexp_replace(olds[1], '[a-zA-Z]', '', 'g') as int), 0) + {_pick_of("id", "599", 2)}) % 600 + 1 as varchar)] end as news from {name}_old),
+{name}_cut as (select a.id, start, start + length(g1) as stop, news[list_position(olds, g1)] as new, coalesce(lag(start + length(g1)) over (partition by a.id order by start), 0) as prev from {name}_arts a join {name}_map m on m.id = a.id),
+{name} as (select s.id, s.t, (select string_agg(substr(s.t, cast(prev + 1 as bigint), cast(start - prev as bigint)) || new, '' order by start) || substr(s.t, cast(max(stop) + 1 as bigint)) from {name}_cut c where c.id = s.id) as corrupted from {source} s where s.what = 'candidate')"""
+
+
+@query(f"with {LONG_SQL}, {_named_sql()}, {_law_swap_sql('long', 'swapped')} select id, t as candidate, corrupted from swapped")
 def law_swap(spark, sf_dir):
     return X.law_swap(texts(spark, sf_dir).select("id", "candidate"), "candidate", "id", "corrupted")
 
 
-@query()
+@query(f"with {LONG_SQL}, {_article_swap_sql('long', 'swapped', 'spans')} select id, t as candidate, corrupted from swapped")
 def article_swap(spark, sf_dir):
     return X.article_swap(texts(spark, sf_dir).select("id", "candidate"), "candidate", "id", "corrupted")
 
@@ -132,14 +185,22 @@ def _pick_sql(n: int, salt: int) -> str:
     return f"((id * 48271 + {salt * 7919}) % 2147483647) % {n}"
 
 
-@query(f"""with {TEXTS_SQL} select id, regexp_replace(candidate, '\\s+$', '') || ' This conclusion is further reinforced by Regulation (EU) No ' || (9000 + {_pick_sql(1000, 3)}) || '/' || (2030 + {_pick_sql(70, 13)})
- || ', Article ' || (500 + {_pick_sql(500, 23)}) || ', which explicitly mandates additional disclosure requirements not otherwise referenced here.' as with_citation,
- regexp_replace(candidate, '\\s+$', '') || ' ' || ([{", ".join("'" + c.replace("'", "''") + "'" for c in X.CLAIMS)}])[1 + {_pick_sql(5, 4)}] as with_claim from texts""")
+_CITED = f"""' This conclusion is further reinforced by Regulation (EU) No ' || (9000 + {_pick_sql(1000, 3)}) || '/' || (2030 + {_pick_sql(70, 13)})
+ || ', Article ' || (500 + {_pick_sql(500, 23)}) || ', which explicitly mandates additional disclosure requirements not otherwise referenced here.'"""
+_CLAIM = f"""' ' || ([{", ".join("'" + c.replace("'", "''") + "'" for c in X.CLAIMS)}])[1 + {_pick_sql(5, 4)}]"""
+_BARE = lambda t: f"regexp_replace({t}, '\\s+$', '')"
+
+
+@query(f"with {TEXTS_SQL} select id, {_BARE('candidate')} || {_CITED} as with_citation, {_BARE('candidate')} || {_CLAIM} as with_claim from texts")
 def hallucinate(spark, sf_dir):
     k, t = F.col("id"), F.col("candidate")
     return texts(spark, sf_dir).select("id", X.hallucinate_citation(t, k).alias("with_citation"), X.hallucinate_text(t, k).alias("with_claim"))
 
 
-@query()
+@query(f"""with {LONG_SQL}, {_named_sql()}, {_law_swap_sql("long", "one")}, half as (select id, 'candidate' as what, coalesce(corrupted, t) as t from one), half_spans as ({_spans_sql("half")}),
+{_article_swap_sql("half", "two", "half_spans")}, both_ as (select one.id, one.t as candidate, two.t as b0, two.corrupted as b, one.corrupted as a from one join two using (id))
+select id, candidate, {_BARE("coalesce(b, b0)")} || {_CITED} || {_CLAIM} as corrupted,
+ case when a <> candidate then 'law_swap,' else '' end || case when b <> b0 then 'article_swap,' else '' end || 'hallucinate_citation,hallucinate_text' as applied from both_""")
 def corrupt_all(spark, sf_dir):
-    return X.combined(texts(spark, sf_dir).select("id", "candidate"), "candidate", "id", "corrupted", "applied")
+    rows = X.combined(texts(spark, sf_dir).select("id", "candidate"), "candidate", "id", "corrupted", "applied")
+    return rows.select("id", "candidate", "corrupted", F.array_join("applied", ",").alias("applied"))

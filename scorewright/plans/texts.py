@@ -112,22 +112,28 @@ def replies(spark, sf_dir):
     return e.select("event_id", text.alias("reply"))
 
 
-@query()
+_KEYS = "select event_id, (event_id % 5 + 1)::varchar as s, event_id % 6 as k from events"
+_GOOD = """'{"accuracy": ' || s || ', "completeness": 3, "topic_coherence": 4, "citation_quality": ' || s || ', "reasoning": {"accuracy": "ok"}}'"""
+_OLD = """'{"accuracy": ' || s || ', "completeness": 3, "clarity": 2, "overall": 4}'"""
+
+
+@query(f"""select event_id, case when k in (0, 1) then {_GOOD} when k = 2 then replace({_GOOD}, '"completeness": 3', '"completeness": true') end as scores from ({_KEYS})""")
 def parse_scores_last(spark, sf_dir):
     return replies(spark, sf_dir).select("event_id", J.scores_udf("last")("reply").alias("scores"))
 
 
-@query()
+@query(f"select event_id, case when k in (0, 1, 2) then {_GOOD} end as scores from ({_KEYS})")
 def parse_scores_first(spark, sf_dir):
     return replies(spark, sf_dir).select("event_id", J.scores_udf("first")("reply").alias("scores"))
 
 
-@query()
+@query(f"select event_id, case when k = 4 then {_OLD} end as scores from ({_KEYS})")
 def parse_scores_flat(spark, sf_dir):
     return replies(spark, sf_dir).select("event_id", J.scores_udf("flat")("reply").alias("scores"))
 
 
-@query()
+@query(f"""select event_id, case k when 0 then '{{"accuracy": ' || s || ', "citation_quality": ' || s || ', "completeness": 3, "reasoning": {{"accuracy": "ok"}}, "topic_coherence": 4}}'
+ when 4 then '{{"accuracy": ' || s || ', "clarity": 2, "completeness": 3, "overall": 4}}' end as json from ({_KEYS})""")
 def json_repair(spark, sf_dir):
     return replies(spark, sf_dir).select("event_id", J.repair_udf("reply").alias("json"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import vectors as V
 from ..registry import query
-from ..sources.views import table
+from ..sources.views import spread, table
 
 CENTROID_SQL = """cells as (select label, i, avg(x::double) as m from (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings) group by 1, 2),
 centroids as (select label, list(m order by i) as c from cells group by label),
@@ -53,7 +53,7 @@ a as (select term, sum(tf) as f from tf group by 1), n as (select avg(s) as avg_
 select lang, term, tf, round(tf::double / total * ln(1 + avg_words / f), 9) as score from tf join a using (term) join c using (lang), n""")
 def class_tfidf(spark, sf_dir):
     """Class-based TF-IDF of the terms of each language, in two or more documents."""
-    t = table(spark, sf_dir, "documents").select("lang", F.array_sort(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("terms"))
+    t = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id").select("lang", F.array_sort(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("terms"))
     first = F.transform("terms", lambda x, i: F.struct(x.alias("term"), F.when((i == 0) | (x != F.get("terms", i - 1)), 1).otherwise(0).alias("new")))  # a document's first of a term
     per = t.select("lang", F.explode(first).alias("x")).groupBy("lang", "x.term").agg(F.count("*").alias("tf"), F.sum("x.new").alias("df")).where("df >= 2")
     every = per.groupBy("term").agg(F.sum("tf").alias("f"))

@@ -34,6 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df, dealt out by a hash of its keys where fewer tasks read it than can run: a small table in one file would keep one core busy.
+
+    A table in many pieces stays as it is, without a shuffle.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= n else df.repartition(n, F.xxhash64(*keys))
+
+
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (question, answerer, judge) with four scores of 1 to 5; citation_quality may be null."""
     i = lambda c: c.cast("int")
