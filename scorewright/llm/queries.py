@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.views import spread
 from . import decontam, imatch, langid, license_rules, quality, simhash, substring_dedup, token_counts, token_packs, vector_packing
 
 
@@ -24,51 +25,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a small table in one file is dealt out to all cores."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def crc_mod(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = langid.learn(docs, crc_mod(4) != 2)
     return langid.identify(docs, model).select("doc_id", F.coalesce(crc_mod(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+    return substring_dedup.digest(documents(spark, sf_dir))
 
 
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+    return imatch.fingerprints(documents(spark, sf_dir))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op5_token_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_packs.digest(token_packs.pack_ids(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+    return token_packs.digest(token_packs.pack_ids(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")))
 
 
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), ids=False).drop("ids")
+    return vector_packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), ids=False).drop("ids")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = license_rules.scan(table(spark, sf_dir, "documents"))
+    rows = license_rules.scan(documents(spark, sf_dir))
     return rows.select("doc_id", "license", F.array_join("licenses", ",").alias("licenses"), F.array_join("sentence_ids", ",").alias("sentence_ids"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     model = quality.learn(docs, table(spark, sf_dir, "labels"), crc_mod(3) != 1)
     return quality.score(docs, model).select("doc_id", F.coalesce(crc_mod(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
