@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.llm import decontam, langid, simhash, substring_dedup, vector_packing
-from scorewright.llm.queries import table, tokenizer_path
+from scorewright.llm.queries import documents, table, tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="scorewright-pipeline-")
-    docs, base = table(spark, sf_dir, "documents"), f"{folder}/pipeline-{uuid.uuid4().hex}"
+    docs, base = documents(spark, sf_dir), f"{folder}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{number}-{name}")
         docs = spark.read.parquet(f"{base}/{number}-{name}")
