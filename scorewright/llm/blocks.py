@@ -57,6 +57,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def filtered(df: DataFrame, run) -> DataFrame:
+    """df through mapInArrow with its own schema; columns come by position, their names may hold any character."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system that Spark writes to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of one key from which it is hot, and hot keys at most (with more rows, the first number grows).
 HOT_ROWS, HOT_KEYS = 100_000, 50_000
 

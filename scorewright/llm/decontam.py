@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import MEMO, SHORT_WORD, batch, mix
+from .blocks import MEMO, SHORT_WORD, batch, filtered, mix
 
 #: Fixed masks (1: compared) for all items, and those for items of `FEWEST` to 8 words.
 MASKS, SHORT_MASKS = ("110111", "11010011", "11100101"), ("1101", "1011")
@@ -279,5 +279,5 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WOR
     `text` is a string. Null and empty texts stay, repeated rows share their fate, an empty table stays empty.
     """
     for shard in _shards(benchmark, SHARD):
-        docs = docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(shard), docs.columns.index("text"), least, identity), docs.schema)
+        docs = filtered(docs, _keep(docs.sparkSession.sparkContext.broadcast(shard), docs.columns.index("text"), least, identity))
     return docs

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .blocks import batch
+from .blocks import batch, filtered
 
 #: Hashed n-gram dimensions; documents of each language in the sample at most, and of all (one of each language at least).
 DIMS, SAMPLE, ROWS = 4096, 300, 20_000
@@ -314,4 +314,4 @@ def _recognised(shared, at: int):
 
 def recognised(docs: DataFrame, model: Model) -> DataFrame:
     """The rows that `identify` does not reject, whole; each is judged by its own text, whatever its doc_id. `text` is a string."""
-    return docs.mapInArrow(_recognised(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")), docs.schema)
+    return filtered(docs, _recognised(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")))

@@ -344,18 +344,19 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     of the smallest text hash stays, of rows equal in doc_id and text one; a null doc_id counts as larger than any. An
     empty table stays empty.
     """
-    key, h = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
-    own = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"), h.alias("h"))
+    key, h = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
+    own = docs.select(key.alias("doc_id"), docs["text"].cast("string").alias("text"), h.alias("h"))
     fps = checkpointed(own.mapInArrow(_fingerprint_keyed, "doc_id long, h long, fp long"))
     rooted = looked_up(fps, checkpointed(labels(fps)), "fp", "root")
     row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h")
     best = checkpointed(rooted.groupBy("root").agg(F.min(row).alias("best"), F.count("*").alias("n")))
     fate = looked_up(rooted, best, "root", "best").groupBy("doc_id", "h").agg(F.min(F.when(row == F.col("best"), 0).otherwise(1)).alias("gone"), F.count("*").alias("n")).where("gone = 1 or n > 1")
     fate = checkpointed(fate.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), "gone"))  # rows that go, and those that repeat
-    same = key.eqNullSafe(F.col("_doc")) & (h == F.col("_h"))
+    same = key.eqNullSafe(fate["_doc"]) & (h == fate["_h"])
     left = docs.join(fate, same, "left_anti").select(*(docs[f"`{c}`"] for c in docs.columns))
     again = fate.where("gone = 0")
     if again.isEmpty():
         return left
-    copies = docs.join(again, same).withColumn("_r", F.row_number().over(Window.partitionBy("_doc", "_h").orderBy("_h"))).where("_r = 1")
-    return left.unionByName(copies.select(*(F.col(f"`{c}`") for c in docs.columns)))
+    one = F.row_number().over(Window.partitionBy(again["_doc"], again["_h"]).orderBy(again["_h"])) == 1
+    copies = docs.join(again, same).select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), one.alias("one")).where("one")
+    return left.unionByName(copies.select("row.*"))

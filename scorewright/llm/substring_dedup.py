@@ -224,7 +224,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n = partitions(docs, 48)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = base.mapInArrow(_windows(n), FOUND_SQL).repartitionById(n, "p").mapInArrow(_repeats(n), FOUND_SQL)
-    carried = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), *(docs[f"`{c}`"] for c in docs.columns))
+    carried = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), *(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)))
     rows = carried.mapInArrow(_pack(n), FOUND_SQL)
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("kept", RESULT)])
     return rows.unionByName(found).repartitionById(n, "p").mapInArrow(_apply(docs.columns), schema)

@@ -43,7 +43,7 @@ POOL, LOW = 2048, 1024
 class Packer:
     def __init__(self, limits: Limits, first: int, ids: bool):
         self.limits, self.next, self.with_ids = limits, first, ids
-        self.cap = np.array([limits.tokens, limits.segments, limits.loss or limits.tokens], np.float64)
+        self.cap = np.array([limits.tokens, limits.segments, limits.tokens if limits.loss is None else limits.loss], np.float64)
         self.need = np.zeros((POOL + 8, 3))
         self.items: list[tuple] = []
         self.out: list[tuple] = []
@@ -80,7 +80,7 @@ class Packer:
     def cut(self, item: tuple, room: np.ndarray) -> int:
         """The longest head of an example that fits."""
         n = min(len(item[1]) - item[3], int(room[0]))
-        return min(n, int(np.searchsorted(item[2], item[2][item[3]] + room[2], side="right")) - 1 - item[3]) if self.limits.loss else n
+        return min(n, int(np.searchsorted(item[2], item[2][item[3]] + room[2], side="right")) - 1 - item[3]) if self.limits.loss is not None else n
 
     def fill(self, target: int | None = None) -> None:
         """One sequence of at most target tokens."""
@@ -89,7 +89,7 @@ class Packer:
         while self.items and room[0] > 0 and room[1] > 0:
             need = self.need[: len(self.items)]
             fits = (need <= room).all(axis=1)
-            score = need @ (room / self.cap / self.cap)
+            score = need @ (room / np.maximum(self.cap, 1) / np.maximum(self.cap, 1))
             if fits.any() and not (room[1] == 1 and need[fits, 0].max() < room[0] and (need[:, 0] >= room[0]).any()):
                 k = int(np.argmax(np.where(fits, score, -1)))
                 n = int(need[k, 0])

@@ -277,6 +277,66 @@ def test_vector_packing_limits():
     assert all(sum(n for n, _ in s) <= 64 and len(s) <= 3 and sum(x for _, x in s) <= 40 for s in seqs.values())
 
 
+def test_example_with_the_largest_dot_product_is_taken():
+    """Bins of small examples against the plain rule, with all three limits binding."""
+    rng = np.random.default_rng(5)
+    limits = vector_packing.Limits(60, 4, 30)
+    packer = vector_packing.Packer(limits, 0, False)
+    loss = [rng.integers(0, 2, int(rng.integers(1, 16))) for _ in range(300)]
+    for d, x in enumerate(loss):
+        packer.put((d, np.arange(len(x), dtype=np.uint32), np.r_[0, np.cumsum(x)], 0))
+    cap, waiting = np.array([60, 4, 30.0]), list(range(300))
+    for _ in range(20):
+        seen = len(packer.out)
+        packer.fill()
+        room, want = cap.copy(), []
+        while waiting and room[0] > 0 and room[1] > 0:
+            need = {d: np.array([len(loss[d]), 1, loss[d].sum()]) for d in waiting}
+            fits = [d for d in waiting if (need[d] <= room).all()]
+            if not fits or (room[1] == 1 and max(need[d][0] for d in fits) < room[0]):
+                break  # from here on examples are cut
+            best = max(need[d] @ (room / cap / cap) for d in fits)
+            want.append(best)
+            taken = packer.out[seen + len(want) - 1][0]
+            assert need[taken] @ (room / cap / cap) == pytest.approx(best)
+            room -= need[taken]
+            waiting.remove(taken)
+        for row in packer.out[seen + len(want) :]:  # what was cut leaves a rest behind: the comparison goes on without it
+            if row[0] in waiting:
+                waiting.remove(row[0])
+        packer.items = [x for x in packer.items if x[3] == 0]
+        packer.need[: len(packer.items)] = [(len(x[1]), 1, loss[x[0]].sum()) for x in packer.items]
+        assert sorted(x[0] for x in packer.items) == sorted(waiting)
+
+
+def test_limits_bind(spark, docs, rows):
+    limits = vector_packing.Limits(256, 3, 200)
+    got = vector_packing.pack(docs, BPE, limits, loss="predicted").collect()
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r.sequence_id, []).append(r)
+    sums = [(sum(r.length for r in s), len(s), sum(r.loss_tokens for r in s)) for s in seqs.values()]
+    assert all(a <= 256 and b <= 3 and c <= 200 for a, b, c in sums) and max(b for _, b, _ in sums) == 3 and max(c for _, _, c in sums) == 200
+    assert sum(r.length - r.loss_tokens for r in got) == len(rows) and sum(r.length for r in got) == sum(len(ids_of(t)) + 1 for _, t in rows)
+    nothing = vector_packing.Packer(vector_packing.Limits(8, 2, 0), 0, True)
+    nothing.put((1, np.arange(3, dtype=np.uint32), np.array([0, 1, 2, 3]), 0))
+    with pytest.raises(ValueError, match="needs more"):
+        nothing.fill()
+
+
+def test_written_packs_are_read_back(spark, docs, rows, tmp_path):
+    packs = token_packs.pack_ids(docs, BPE, width=64)
+    token_packs.write_packs(packs, str(tmp_path / "packs"))
+    back = spark.read.parquet(str(tmp_path / "packs"))
+    assert sorted(map(str, token_packs.digest(back).collect())) == sorted(map(str, token_packs.digest(packs).collect()))
+    one = back.orderBy("row_id").first()
+    ids, cu = np.frombuffer(one.ids, "<u4"), one.cu_seqlens
+    text = dict((i, t) for i, t in rows)[one.doc_ids[0]]
+    assert ids[: cu[1]].tolist() == [*ids_of(text), 50256][one.starts[0] : one.starts[0] + cu[1]]
+    sums = [(np.frombuffer(r.ids, "<u4") != 0).sum() for r in back.collect()]
+    assert len(sums) == back.count() and back.agg(F.sum("n_tokens")).first()[0] == sum(len(ids_of(t)) + 1 for _, t in rows)
+
+
 def test_token_packs(docs, rows):
     got = token_packs.pack_ids(docs, BPE, width=128).collect()
     assert token_packs.pack_ids(empty(docs), BPE).count() == 0
