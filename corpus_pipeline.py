@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.llm import decontam, langid, simhash, substring_dedup, vector_packing
+from scorewright.llm.blocks import remove, shared_folder
 from scorewright.llm.queries import documents, table, tokenizer_path
 
 
@@ -26,7 +27,10 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated windows leave the texts; documents of which nothing is left go. n_chars follows the text."""
+    """Repeated windows leave the texts; documents of which nothing is left go. n_chars follows the text.
+
+    Null and empty texts stay as they are. Rows with one doc_id are no copies of each other, and a row without doc_id keeps all its words.
+    """
     rows = substring_dedup.remove_repeats(docs)
     cut = F.col("kept.n_removed") > 0
     new = {"text": F.when(cut, F.col("kept.kept_text")).otherwise(F.col("row.text"))}
@@ -41,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents left, packed into sequences of 1024 tokens."""
+    """Pieces of the documents left, packed into sequences of 1024 tokens. Each row is packed by itself, whatever its doc_id; a null or empty text is its end token."""
     return vector_packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), ids=False).drop("ids")
 
 
@@ -51,14 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents; each result goes through Parquet in the shared checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:  # only on one machine, as in tests
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="scorewright-pipeline-")
-    docs, base = documents(spark, sf_dir), f"{folder}/pipeline-{uuid.uuid4().hex}"
+    """Apply STAGES to documents; each result goes through Parquet in the shared checkpoint folder, and is removed when the next one is written."""
+    docs, base = documents(spark, sf_dir), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{number}-{name}")
         docs = spark.read.parquet(f"{base}/{number}-{name}")
+        if number:
+            remove(spark, f"{base}/{number - 1}-{STAGES[number - 1][0]}")
     return docs
