@@ -82,17 +82,17 @@ def _framed(rows: DataFrame, path: str, head: str, tail: str) -> None:
     """One text of a head, the rows as JSON with commas between them, and a tail. A document is one file, so one task writes it; it holds a batch."""
 
     def run(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([head])], names=["value"])
-        lead = ""
+        first = True
         for b in batches:
-            if b.num_rows:
-                lines = b.column(0).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([lead + lines[0], *("," + x for x in lines[1:])])], names=["value"])
-                lead = ","
-        yield pa.RecordBatch.from_arrays([pa.array([tail])], names=["value"])
+            lines = []
+            for place, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                lines.append(value if place != 1 or first else f",{value}")
+                first = first and place != 1
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
 
-    lines = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-    lines.coalesce(1).mapInArrow(run, "value string").write.mode("errorifexists").text(path)
+    lines = rows.select(F.lit(1).alias("place"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    ends = rows.sparkSession.createDataFrame([(0, head), (2, tail)], "place int, value string")
+    lines.unionByName(ends).repartition(1).sortWithinPartitions("place").mapInArrow(run, "value string").write.mode("errorifexists").text(path)
 
 
 def write_json_array(df: DataFrame, path: str) -> None:
@@ -116,7 +116,10 @@ def write_json_document(df: DataFrame, path: str) -> None:
 
 
 def joined_hash(ids: DataFrame) -> DataFrame:
-    """(split_hash): SHA-256 of the ids (one string column), sorted and joined by |. One task reads them in order and keeps none; nulls are left out."""
+    """(split_hash): SHA-256 of the ids (one string column), sorted and joined by |; nulls are left out.
+
+    A hash of a sequence can't be put together from parts: one task sorts the ids (on disk, if need be) and keeps none.
+    """
 
     def run(batches):
         digest, first = hashlib.sha256(), True
@@ -127,7 +130,8 @@ def joined_hash(ids: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], names=["split_hash"])
 
     name = ids.columns[0]
-    return ids.where(F.col(name).isNotNull()).orderBy(name).coalesce(1).mapInArrow(run, "split_hash string")
+    rows = ids.where(F.col(name).isNotNull()).repartition(1).sortWithinPartitions(name).mapInArrow(run, "split_hash string")
+    return rows.agg(F.coalesce(F.max("split_hash"), F.lit(hashlib.sha256().hexdigest())).alias("split_hash"))  # one row, also without ids
 
 
 def manifest(split: DataFrame, seed: int) -> DataFrame:
