@@ -10,6 +10,8 @@ it one after another names the license.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,29 +44,83 @@ SENTENCES = {
     "CC_BY_SA": ["licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
     "CC0": ["released under cc0 1 0", "this work is dedicated to the public domain"],
     "UNLICENSE": ["this is free and unencumbered software released into the public domain"],
+    "LGPL2_FREE": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"],
+    "LGPL3_FREE": [
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    ],
+    "AGPL_FREE": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation version 3",
+    ],
+    "LGPL_HOPE": ["this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "ZLIB_AS_IS": ["this software is provided as is without any express or implied warranty"],
+    "ZLIB_GRANT": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "BOOST": ["boost software license version 1 0", "boost software license version 1 0 august 17th 2003", "distributed under the boost software license version 1 0"],
+    "BSD_ADS": ["all advertising materials mentioning features or use of this software must display the following acknowledgement"],
+    "ZERO_GRANT": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "POSTGRES_GRANT": ["permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies"],
+    "OFL": ["this font software is licensed under the sil open font license version 1 1"],
+    "WTFPL": ["everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"],
+    "EPL2": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at http www eclipse org legal epl 2 0",
+    ],
+    "CDDL": ["the contents of this file are subject to the terms of the common development and distribution license"],
+    "MPL1_NOTICE": ["the contents of this file are subject to the mozilla public license version 1 1"],
+    "EUPL": ["licensed under the eupl version 1 2", "licensed under the eupl"],
+    "ARTISTIC": ["licensed under the artistic license 2 0", "licensed under the artistic license version 2 0"],
+    "CC_BY_ND": ["licensed under cc by nd 4 0", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"],
+    "CC_BY_NC_SA": ["licensed under cc by nc sa 4 0", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"],
+    "CC_BY_NC_ND": ["licensed under cc by nc nd 4 0", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"],
 }
+#: License names of the one-line identifier notice.
+SPDX = [
+    "mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "isc", "0bsd", "zlib", "bsl-1.0", "gpl-2.0-only", "gpl-2.0-or-later", "gpl-3.0-only", "gpl-3.0-or-later", "lgpl-2.1-only", "lgpl-2.1-or-later",
+    "lgpl-3.0-only", "lgpl-3.0-or-later", "agpl-3.0-only", "agpl-3.0-or-later", "mpl-2.0", "epl-2.0", "eupl-1.2", "cc0-1.0", "cc-by-4.0", "cc-by-sa-4.0", "unlicense", "postgresql", "ofl-1.1", "artistic-2.0", "wtfpl",
+]
+SENTENCES |= {f"SPDX_{name}": ["spdx license identifier " + re.sub("[^a-z0-9]+", " ", name)] for name in SPDX}
 #: Ordered rules: license, identifiers that follow one another. The fullest come first.
 RULES = [
     ("apache-2.0", ["APACHE_NOTICE", "APACHE_LIMIT", "APACHE_COPY", "APACHE_BASIS"]),
     ("mit", ["MIT_GRANT", "MIT_KEEP", "AS_IS"]),
+    ("bsd-4-clause", ["BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_ADS"]),
     ("bsd-3-clause", ["BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_NAME"]),
     ("bsd-2-clause", ["BSD_GRANT", "BSD_SOURCE", "BSD_BINARY"]),
     ("gpl-3.0-or-later", ["GPL_FREE", "GPL_HOPE"]),
     ("gpl-2.0-or-later", ["GPL2_FREE", "GPL_HOPE"]),
+    ("lgpl-2.1-or-later", ["LGPL2_FREE", "LGPL_HOPE"]),
+    ("lgpl-3.0-or-later", ["LGPL3_FREE"]),
+    ("agpl-3.0", ["AGPL_FREE"]),
+    ("zlib", ["ZLIB_AS_IS", "ZLIB_GRANT"]),
     ("isc", ["ISC_GRANT"]),
+    ("postgresql", ["POSTGRES_GRANT"]),
+    ("0bsd", ["ZERO_GRANT"]),
     ("agpl-3.0", ["AGPL_NOTICE"]),
     ("lgpl-3.0", ["LGPL_NOTICE"]),
     ("gpl-3.0", ["GPL3_NOTICE"]),
     ("gpl-2.0", ["GPL2_NOTICE"]),
     ("apache-2.0", ["APACHE_NOTICE"]),
     ("mpl-2.0", ["MPL_NOTICE"]),
+    ("mpl-1.1", ["MPL1_NOTICE"]),
+    ("epl-2.0", ["EPL2"]),
+    ("cddl", ["CDDL"]),
+    ("bsl-1.0", ["BOOST"]),
+    ("eupl-1.2", ["EUPL"]),
+    ("artistic-2.0", ["ARTISTIC"]),
+    ("ofl-1.1", ["OFL"]),
+    ("wtfpl", ["WTFPL"]),
     ("mit", ["MIT_NOTICE"]),
     ("bsd", ["BSD_NOTICE"]),
+    ("cc-by-nc-sa-4.0", ["CC_BY_NC_SA"]),
+    ("cc-by-nc-nd-4.0", ["CC_BY_NC_ND"]),
+    ("cc-by-nd-4.0", ["CC_BY_ND"]),
     ("cc-by-nc-4.0", ["CC_BY_NC"]),
     ("cc-by-sa-4.0", ["CC_BY_SA"]),
     ("cc-by-4.0", ["CC_BY"]),
     ("cc0-1.0", ["CC0"]),
     ("unlicense", ["UNLICENSE"]),
+    *((name, [f"SPDX_{name}"]) for name in SPDX),
 ]
 #: Every known sentence holds one of these, so other texts have no identifiers (checked by a test).
 HINTS = ("licen", "permi", "software", "copyright", "public", "redistribut", "warrant", "required by", "program", "endorse", "cc0")
@@ -110,7 +166,8 @@ def scan(docs: DataFrame, rules: list[tuple[str, list[str]]] = RULES) -> DataFra
     """doc_id, license (first matching rule's; null if none), licenses (all matching rules', once, in rule order), sentence_ids.
 
     Identifiers of a rule must follow one another in the document's identifier sequence; sentences that are not known
-    may stand between. Null and empty texts have no license. Repeated rows and null ids are kept.
+    may stand between. Null and empty texts have no license. Repeated rows and null ids are kept; an empty table gives an
+    empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(sentence_ids(F.col("text").cast("string")), F.array().cast("array<string>")).alias("sentence_ids"))
     line = F.concat(F.lit(">"), F.array_join("sentence_ids", ">"), F.lit(">"))

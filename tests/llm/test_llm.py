@@ -602,3 +602,22 @@ def test_wrapped_licenses(spark):
     got = {r.doc_id: r for r in license_rules.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
     assert [(i, got[i].license) for i in range(len(rows))] == [(i, name) for i, (name, _) in enumerate(rows)]
     assert got[[n for n, _ in rows].index("apache-2.0")].sentence_ids == ["APACHE_NOTICE", "APACHE_LIMIT", "APACHE_COPY", "APACHE_BASIS"]
+
+
+def test_every_rule_fires(spark):
+    """Each rule's sentences as a text: one a line, wrapped at 30 columns, and wrapped within comments."""
+    import textwrap
+
+    rows = []
+    for name, ids in license_rules.RULES:
+        for which in (0, -1):
+            sentences = [license_rules.SENTENCES[i][which].capitalize() + "." for i in ids]
+            wrapped = "\n\n".join(textwrap.fill(x, 30, break_long_words=False) for x in sentences)
+            rows += [(name, "Code.\n" + "\n".join(sentences)), (name, wrapped.upper()), (name, "/*\n" + "\n".join(f" * {x}" for x in wrapped.split("\n")) + "\n */\nint x;")]
+    rows += [("mit", "// SPDX-License-Identifier: MIT\nx"), ("gpl-2.0-only", "# SPDX-License-Identifier: GPL-2.0-only"), ("bsd-4-clause", BSD + "\n3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement:\n x")]
+    rows += [("zlib", "This software is provided 'as-is', without any express or implied\nwarranty.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:")]
+    rows += [("lgpl-2.1-or-later", "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.")]
+    got = {r.doc_id: r for r in license_rules.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert [(i, n) for i, (n, _) in enumerate(rows) if n not in got[i].licenses] == []
+    assert license_rules.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert len(license_rules.SENTENCES) >= 75 and len({f for forms in license_rules.SENTENCES.values() for f in forms}) == sum(map(len, license_rules.SENTENCES.values()))
