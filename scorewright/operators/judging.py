@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.judgejson import scores
@@ -57,6 +57,60 @@ def work_list(answers: DataFrame, judges: DataFrame, done: DataFrame) -> DataFra
     return rows.join(done.select("question_id", "answerer", "judge"), ["question_id", "answerer", "judge"], "left_anti")
 
 
+#: Steps of an evaluation, in order.
+PHASES = ("generate", "judge", "report")
+
+
+def phases(wanted: str) -> tuple[str, ...]:
+    """One phase by name, or all of them."""
+    if wanted != "all" and wanted not in PHASES:
+        raise ValueError(f"phase {wanted!r}: one of all, {', '.join(PHASES)}")
+    return PHASES if wanted == "all" else (wanted,)
+
+
+def evaluation(spark: SparkSession, folder: str, questions: DataFrame, answerers: DataFrame, judges: DataFrame, generate, judge, report: Callable[[DataFrame], DataFrame], phase: str = "all") -> DataFrame | None:
+    """Answers, judgments and a report as tables under a folder; each phase reads what the one before has written.
+
+    generate(model, question) and judge(model, prompt, budget) are injected. answers and judgments are appended: what is there is not
+    asked again, failures are. Returns the report, None if it was not asked for.
+    """
+    for step in phases(phase):
+        if step == "generate":
+            work = questions.select("question_id", "question").crossJoin(answerers.select("answerer").distinct())  # few models
+            done = spark.read.schema("question_id long, answerer string, prompt string").json(f"{folder}/answers") if _exists(spark, f"{folder}/answers") else None
+            work = work if done is None else work.join(done, ["question_id", "answerer"], "left_anti")
+            _mapped(work, lambda q, a: generate(a, q), "question", "answerer", "prompt").select("question_id", "answerer", "prompt").where("prompt is not null").write.mode("append").json(f"{folder}/answers")
+        elif step == "judge":
+            answers = spark.read.schema("question_id long, answerer string, prompt string").json(f"{folder}/answers")
+            schema = "question_id long, answerer string, judge string, scores string"
+            done = spark.read.schema(schema).json(f"{folder}/judgments") if _exists(spark, f"{folder}/judgments") else spark.createDataFrame([], schema)
+            judge_run(work_list(answers, judges, done.where("scores is not null")), judge).where("scores is not null").write.mode("append").json(f"{folder}/judgments")
+        else:
+            return report(spark.read.schema("question_id long, answerer string, judge string, scores string").json(f"{folder}/judgments"))
+    return None
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _mapped(rows: DataFrame, f: Callable[[str, str], str], a: str, b: str, out: str) -> DataFrame:
+    """rows with f(a, b) as out; null where it raises."""
+
+    def one(x, y):
+        try:
+            return f(x, y)
+        except Exception:  # a failed answer is asked for again by the next run
+            return None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in frames:
+            yield d.assign(**{out: pd.Series([one(x, y) for x, y in zip(d[a], d[b], strict=True)], index=d.index, dtype=object)})
+
+    return rows.mapInPandas(run, ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in rows.schema) + f", {out} string")
+
+
 def judge_run(work: DataFrame, client: Callable[[str, str, int], str], budgets: dict[str, int] | None = None) -> DataFrame:
     """work with `scores`, JSON text; a judge that fails keeps its row with null. Concurrency is the number of partitions."""
     budgets = budgets or {}

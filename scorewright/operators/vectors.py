@@ -47,7 +47,7 @@ def nearest(rows: DataFrame, labels: DataFrame, vector: str, own: str, label: st
     return scored.withColumns({"predicted": F.col("_top.l"), "similarity": F.col("_top.sim"), "own_similarity": mine, "best_other": other, "margin": mine - other}).drop("_s", "_top")
 
 
-def tfidf(rows: DataFrame, key: list[str], text: str, token: str = r"\b\w\w+\b") -> DataFrame:
+def tfidf(rows: DataFrame, key: list[str], text: str, token: str = r"[\p{L}\p{N}_]{2,}") -> DataFrame:
     """(key, term, weight): smooth idf ln((1+n)/(1+df))+1 times counts, each text of length 1."""
     n = rows.count()
     counts = rows.select(*key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(token), F.lit(0))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
@@ -57,8 +57,8 @@ def tfidf(rows: DataFrame, key: list[str], text: str, token: str = r"\b\w\w+\b")
     return w.join(norm, key).select(*key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def pair_cosine(weights: DataFrame, left: str, right: str, key: str, part: str) -> DataFrame:
+def pair_cosine(weights: DataFrame, left: str, right: str, key: list[str], part: str) -> DataFrame:
     """(key, similarity) of the two parts of each key; 0 without a shared term."""
     side = lambda p: F.max(F.when(F.col(part) == p, F.col("weight")))
-    both = weights.groupBy(key, "term").agg(side(left).alias("a"), side(right).alias("b"))
-    return both.groupBy(key).agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0.0)).alias("similarity"))
+    both = weights.groupBy(*key, "term").agg(side(left).alias("a"), side(right).alias("b"))
+    return both.groupBy(*key).agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0.0)).alias("similarity"))

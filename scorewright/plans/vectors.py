@@ -36,16 +36,17 @@ def topic_margin_stats(spark, sf_dir):
     return g.agg(F.count("*").alias("n"), F.round(F.avg("margin"), 6).alias("mean_margin"), F.round(F.min("margin"), 6).alias("min_margin"), F.round(F.avg((F.col("predicted") == F.col("label")).cast("double")), 6).alias("accuracy"), F.round(F.corr("own_similarity", "best_other"), 5).alias("r"))
 
 
-@query("""with c as (select conv_id, turn, text from conversations where turn < 2), n as (select count(*) as n from c),
-t as (select conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z][a-z]+')) as term from c), tf as (select conv_id, turn, term, count(*) as tf from t group by 1, 2, 3),
-df as (select term, count(*) as df from tf group by 1), w as (select conv_id, turn, term, tf * (ln((1 + n)::double / (1 + df)) + 1) as w from tf join df using (term), n),
-x as (select *, w / sqrt(sum(w * w) over (partition by conv_id, turn)) as weight from w)
-select a.conv_id, round(coalesce(sum(x0 * x1), 0.0::double), 6) as similarity from (select conv_id, term, max(case when turn = 0 then weight end) as x0, max(case when turn = 1 then weight end) as x1 from x group by 1, 2) a group by 1""")
+@query("""with c as (select conv_id, turn // 2 as pair, turn % 2 as part, text from conversations), n as (select count(*) as n from c),
+t as (select conv_id, pair, part, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) as term from c), tf as (select conv_id, pair, part, term, count(*) as tf from t group by all),
+df as (select term, count(*) as df from tf group by 1), w as (select conv_id, pair, part, term, tf * (ln((1 + n)::double / (1 + df)) + 1) as w from tf join df using (term), n),
+x as (select *, w / sqrt(sum(w * w) over (partition by conv_id, pair, part)) as weight from w)
+select conv_id, pair, round(coalesce(sum(x0 * x1), 0.0::double), 6) as similarity from (select conv_id, pair, term, max(case when part = 0 then weight end) as x0, max(case when part = 1 then weight end) as x1 from x group by 1, 2, 3) group by 1, 2""")
 def tfidf_cosine(spark, sf_dir):
-    """TF-IDF cosine of the first two turns of each conversation."""
-    rows = table(spark, sf_dir, "conversations").where("turn < 2").select("conv_id", "turn", "text")
-    w = V.tfidf(rows, ["conv_id", "turn"], "text", "[a-z][a-z]+").withColumn("part", F.col("turn").cast("string"))
-    return V.pair_cosine(w, "0", "1", "conv_id", "part").withColumn("similarity", F.round("similarity", 6))
+    """TF-IDF cosine of each question and the answer that follows it, over all turns of all conversations."""
+    turn = F.col("turn")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.floor(turn / 2).alias("pair"), (turn % 2).cast("string").alias("part"), "text")
+    w = V.tfidf(rows, ["conv_id", "pair", "part"], "text")
+    return V.pair_cosine(w, "0", "1", ["conv_id", "pair"], "part").withColumn("similarity", F.round("similarity", 6))
 
 
 @query("""with t as (select lang, doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) as term from documents), tf as (select lang, term, count(*) as tf, count(distinct doc_id) as df from t group by 1, 2 having count(distinct doc_id) >= 2),

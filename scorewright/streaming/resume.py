@@ -9,6 +9,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQueryListener
+
+
+class Progress(StreamingQueryListener):
+    """Counts of a running stream: batches, rows read so far, rows of the last batch."""
+
+    def __init__(self):
+        self.batches, self.rows, self.last = 0, 0, 0
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        self.last = event.progress.numInputRows
+        self.batches, self.rows = self.batches + 1, self.rows + self.last
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
 
 
 def judged_stream(spark: SparkSession, folder: str, schema: str, key: str, judge: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files: int = 200):

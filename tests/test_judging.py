@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from scorewright.operators import judging
 
 
@@ -34,3 +36,29 @@ def test_run_keeps_failures_and_resumes(spark):
     got = {(r.question_id, r.judge): r.scores for r in judging.judge_run(judging.work_list(answers, judges, done), client).collect()}
     assert set(got) == {(2, "a"), (1, "down"), (2, "down")}
     assert json.loads(got[2, "a"])["citation_quality"] == 2 and got[1, "down"] is None
+
+
+def test_phases(spark, tmp_path):
+    """Each phase goes on from the tables of the one before; failures are asked again, what is done is not."""
+    questions = spark.createDataFrame([(i, f"q{i}") for i in range(4)], "question_id long, question string")
+    answerers, judges = (spark.createDataFrame([(m,) for m in names], f"{c} string") for c, names in (("answerer", "xy"), ("judge", "ab")))
+    reply = json.dumps({"accuracy": 3, "completeness": 3, "topic_coherence": 3, "citation_quality": 2})
+
+    def generate(broken):
+        def run(model, question):
+            if broken and question == "q3":
+                raise OSError
+            return f"{model} on {question}"
+
+        return run
+
+    report = lambda rows: rows.groupBy("judge").count()
+    args = (spark, str(tmp_path), questions, answerers, judges)
+    assert judging.evaluation(*args, generate(True), lambda j, p, b: reply, report, "generate") is None
+    assert spark.read.json(f"{tmp_path}/answers").count() == 6
+    got = judging.evaluation(*args, generate(False), lambda j, p, b: "" if j == "b" else reply, report)
+    assert {r["judge"]: r["count"] for r in got.collect()} == {"a": 8}
+    got = judging.evaluation(*args, generate(False), lambda j, p, b: reply if j == "b" else "", report)
+    assert {r["judge"]: r["count"] for r in got.collect()} == {"a": 8, "b": 8} and spark.read.json(f"{tmp_path}/answers").count() == 8
+    with pytest.raises(ValueError, match="phase"):
+        judging.phases("later")
