@@ -166,6 +166,20 @@ def test_substring_dedup_across_blocks(docs):
     assert one == many
 
 
+def test_substring_dedup_over_groups_of_partitions(docs, monkeypatch):
+    """With many partitions blocks go over groups of them; the result is the same."""
+    want = sorted(map(str, substring_dedup.digest(docs).collect()))
+    for fan, n in ((2, 23), (1, 4)):
+        monkeypatch.setattr(substring_dedup, "FAN", fan)
+        monkeypatch.setattr(substring_dedup, "MIDDLE", 2)
+        monkeypatch.setattr(substring_dedup, "partitions", lambda df, mb, n=n: n)
+        route = substring_dedup.Route.to(n)
+        assert route.width > 1 and route.first * route.width >= n
+        assert sorted(map(str, substring_dedup.digest(docs).collect())) == want
+    assert substring_dedup.digest(empty(docs)).count() == 0
+    assert substring_dedup.Route(2_000_000, 1414, 88).first < 2_000_000 / 15
+
+
 def test_substring_sql(docs, rows):
     import duckdb
 
