@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labels that may be carried by every task.
-FEW = 10_000
+#: Labels that may be carried by every task, and numbers in all their centroids.
+FEW, NUMBERS = 10_000, 10_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,6 +34,8 @@ def nearest(rows: DataFrame, labels: DataFrame, vector: str, own: str, label: st
     table = labels.select(label, "centroid").orderBy(label).limit(FEW + 1).collect()
     if len(table) > FEW:
         raise ValueError(f"more than {FEW} labels: reduce them or block the rows")
+    if sum(len(r[1]) for r in table) > NUMBERS:
+        raise ValueError(f"centroids of more than {NUMBERS} numbers: reduce labels or dimensions")
     spark = rows.sparkSession
     # centroids of length 1, so that a row's own length is all that is left to divide by
     unit = [(r[0], [x / norm for x in r[1]] if (norm := math.sqrt(sum(x * x for x in r[1]))) else None) for r in table]

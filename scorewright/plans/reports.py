@@ -159,7 +159,7 @@ def rebased_delta(spark, sf_dir):
 select question_id, round(a.x, 6) as x_small, round(b.x, 6) as x_big from (select * from s where judge = 'A') a full join (select * from s where judge = 'N') b using (question_id)""")
 def outer_alignment(spark, sf_dir):
     """Two judges' means side by side, one of them possibly missing."""
-    s = judgments(spark, sf_dir).where("judge in ('A', 'N')").groupBy("question_id").agg(*(F.round(F.avg(F.when(F.col("judge") == j, F.col("accuracy"))), 6).alias(n) for j, n in (("A", "x_small"), ("N", "x_big"))))
-    return s
+    side = lambda j, n: judgments(spark, sf_dir).where(F.col("judge") == j).groupBy("question_id").agg(F.round(F.avg("accuracy"), 6).alias(n))
+    return side("A", "x_small").join(side("N", "x_big"), "question_id", "full")
 
 

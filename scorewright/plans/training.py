@@ -74,16 +74,17 @@ def kto_explode(spark, sf_dir):
     return S.labelled(q.select("question_id", F.col("majority_preferred").alias("chosen"), F.when(F.col("majority_preferred") == "F", "O").otherwise("F").alias("rejected")))
 
 
-@query("""with c as (select conv_id, turn, list_transform(string_split(text, ' '), lambda x: length(x)) as ids from conversations where turn < 2), p as (select a.conv_id, a.ids as prompt, b.ids as answer from c a join c b on a.conv_id = b.conv_id and a.turn = 0 and b.turn = 1),
-s as (select conv_id, len(prompt) as np, list_concat(prompt, list_concat(answer, [1::bigint])) as ids, list_concat(list_transform(prompt, lambda x: -100::bigint), list_concat(answer, [1::bigint])) as labels from p where len(prompt) < 64)
-select conv_id, array_to_string(list_concat(ids, list_transform(range(64), lambda x: 0::bigint))[1:64], ' ') as input_ids, array_to_string(list_concat(labels, list_transform(range(64), lambda x: -100::bigint))[1:64], ' ') as labels from s""")
+@query("""with c as (select conv_id, turn, list_transform(string_split(text, ' '), lambda x: length(x)) as ids from conversations), p as (select a.conv_id, a.turn // 2 as pair, a.ids as prompt, b.ids as answer from c a join c b on a.conv_id = b.conv_id and a.turn % 2 = 0 and b.turn = a.turn + 1),
+s as (select conv_id, pair, list_concat(prompt, list_concat(answer, [1::bigint])) as ids, list_concat(list_transform(prompt, lambda x: -100::bigint), list_concat(answer, [1::bigint])) as labels from p where len(prompt) < 64)
+select conv_id, pair, array_to_string(list_concat(ids, list_transform(range(64), lambda x: 0::bigint))[1:64], ' ') as input_ids, array_to_string(list_concat(labels, list_transform(range(64), lambda x: -100::bigint))[1:64], ' ') as labels from s""")
 def sft_mask(spark, sf_dir):
-    """Prompt and answer ids (word lengths stand in for a tokenizer), with masked labels, in rows of 64."""
-    ids = F.transform(F.split("text", " ", -1), lambda x: F.char_length(x))
-    c = table(spark, sf_dir, "conversations").where("turn < 2").groupBy("conv_id").agg(*(F.max(F.when(F.col("turn") == t, ids)).alias(n) for t, n in ((0, "prompt"), (1, "answer"))))
+    """Prompt and answer ids of every pair of turns (word lengths stand in for a tokenizer), with masked labels, in rows of 64."""
+    ids, turn = F.transform(F.split("text", " ", -1), lambda x: F.char_length(x)), F.col("turn")
+    sides = [F.max(F.when(turn % 2 == t, ids)).alias(n) for t, n in ((0, "prompt"), (1, "answer"))]
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id", F.floor(turn / 2).alias("pair")).agg(*sides)
     a, b = S.masked(F.col("prompt"), F.col("answer"), 1, 64)
     text = lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), " ")
-    return c.where("answer is not null and size(prompt) < 64").select("conv_id", text(a).alias("input_ids"), text(b).alias("labels"))
+    return c.where("prompt is not null and answer is not null and size(prompt) < 64").select("conv_id", "pair", text(a).alias("input_ids"), text(b).alias("labels"))
 
 
 @query("""with l as (select l_returnflag as grp, l_extendedprice / 1000 as x from lineitem) select grp, count(*) as n, round(any_value(low) - 0.5 * (ln(sum(exp((low - x) / 0.5))) - ln(count(*))), 6) as loss from l join (select grp, min(x) as low from l group by 1) using (grp) group by grp""")

@@ -46,6 +46,25 @@ def test_many_citations_in_a_long_text(spark):
     assert all(text[s["start"] : s["end"]] == s["text"] for s in r.s) and len(r.s) > 2500
 
 
+def test_citations_planted_in_documents(spark):
+    """Spans in whole documents of four languages, long ones too, are those of Python's matcher."""
+    import re
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    plant = ["see Article 5(1)(b) of Regulation (EU) No 575/2013", "CRD IV", "EBA/GL/2017/12", "art. 7a MiFID II", "UCITS V and Directive 2009/65/EC"]
+    texts = {}
+    for r in rows:
+        words = (r.text or "").split(" ")
+        for k in range(0, len(words), 60):
+            words[k] += f" {plant[(r.doc_id + k) % 5]},"
+        texts[r.doc_id] = " ".join(words)
+    got = C.with_spans(spark.createDataFrame(list(texts.items()), "id long, t string"), "t", "s").select("id", "s").collect()
+    for r in got:
+        want = sorted((m.start(), k, m.end(), kind, m[0]) for k, (kind, p) in enumerate(C.PATTERNS) for m in re.finditer(p, texts[r.id], re.IGNORECASE))
+        assert [tuple(s)[:5] for s in r.s] == want
+    assert sum(len(r.s) for r in got) > 1000
+
+
 def test_bootstrap_draws_like_resampling(spark):
     """Means spread by sd / sqrt(n), two thirds of the rows are in a resample, rows are drawn independently."""
     rng = np.random.default_rng(1)
