@@ -65,6 +65,13 @@ def test_simhash(docs, rows):
     assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in got) == want
 
 
+def test_simhash_with_the_code_for_large_tables(docs, monkeypatch):
+    """The code on all 64 bits, from end to end, gives the same components."""
+    want = sorted(map(str, simhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(simhash, "FINE_FROM", 0)
+    assert sorted(map(str, simhash.near_duplicates(docs).collect())) == want
+
+
 @pytest.mark.parametrize("parts", [simhash.HALVES, simhash.WHOLE])
 def test_anchors_meet(parts):
     rng = np.random.default_rng(1)
