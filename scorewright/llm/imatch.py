@@ -8,8 +8,8 @@ all its lexicon terms, or of all its terms if none is in the lexicon. The likene
 hashes among subsets that keep a term of either text.
 
 Document frequencies are counted for each term. The band's terms are bounded by the band's lower end: a document with T distinct terms on
-average leaves T / `LEAST` terms at most in it, at any corpus size. They are carried as a literal bit map of 64 bits or more for each
-term (`MOST_BITS` at most, for 2^20 terms), so that of the terms outside the band one in 64 or fewer shares a bit
+average leaves T / `LEAST` terms at most in it, at any corpus size. They are carried as a literal bit map of 32 bits or more for each
+term (`MOST_BITS` at most, for 2^21 terms), so that of the terms outside the band one in 32 or fewer shares a bit
 and is taken for one inside, alike in every text.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from .blocks import checkpointed, partitions
 
 #: Bits of the map, and bits for each term.
-LEAST_BITS, MOST_BITS, BITS = 1 << 20, 1 << 26, 64
+LEAST_BITS, MOST_BITS, BITS = 1 << 20, 1 << 26, 32
 #: Band of df / documents: idf = -ln of it lies between 2.3 and 9.2.
 LEAST, MOST = 1e-4, 0.1
 #: Randomised subsets: (first bit, bits of the term hash that must be 0).

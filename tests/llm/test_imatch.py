@@ -102,5 +102,5 @@ def test_map_grows_with_the_band(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a{i} b{i} c{i}") for i in range(300)], "doc_id long, text string")
     monkeypatch.setattr(imatch, "LEAST_BITS", 1 << 10)
     _, size = imatch.lexicon(docs)
-    assert size == 1 << 16 and imatch.band(docs).count() == 900
+    assert size == 1 << 15 and imatch.band(docs).count() == 900
     assert imatch.band(docs, 0.01).count() == 0 and imatch.band(docs.union(docs.limit(1)), 0, 0.0).count() == 897
