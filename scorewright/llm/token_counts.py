@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from .blocks import MEMO, SHORT_WORD, batch
 
 META, UNKNOWN_LESS = "▁", 10.0
+#: Characters of a chunk whose scores are held at a time.
+STEP = 4096
 #: A run of blanks and what follows it, without the first blank.
-CHUNK = re.compile(f"{META}({META}*[^{META}]*)")
+CHUNK = re.compile(" ( *[^ ]*)")
 ROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("n_chars", pa.int64())])
 
 
@@ -43,7 +45,7 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 
 
 class Counter(dict):
-    """chunk without its first blank -> number of tokens; a bounded memo of short chunks."""
+    """chunk without its first blank -> number of tokens; a bounded memo of short chunks. Blanks are blanks here."""
 
     def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool = True):
         import ahocorasick
@@ -61,43 +63,53 @@ class Counter(dict):
         self.bytes = byte_fallback
 
     def __missing__(self, chunk: str) -> int:
-        n = self.count(META + chunk)
+        n = self.count(META + chunk.replace(" ", META))
         if len(chunk) <= SHORT_WORD and len(self) < MEMO:
             self[chunk] = n
         return n
 
     def count(self, chunk: str) -> int:
-        ring = self.longest + 1
-        score, count, tail = [0.0] * ring, [0] * ring, [False] * ring
+        """Tokens of a chunk with meta symbols for blanks."""
+        lead, single, less = self.longest, self.single, self.unknown
+        score, count, tail = [0.0], [0], [False]
         found = self.auto.iter(chunk) if len(self.auto) else iter(())
         end, piece = next(found, (-1, None))
-        for e, c in enumerate(chunk, 1):
-            here = []
-            while end == e - 1 and piece:
-                here.append(piece)
-                end, piece = next(found, (-1, None))
-            best, n, unknown = None, 0, False
-            for length, s in sorted(here, reverse=True):  # the longest piece starts first
-                x = score[(e - length) % ring] + s
+        for start in range(0, len(chunk), STEP):
+            part = chunk[start : start + STEP]
+            # places before this part as far back as a piece can start, then one for each of its characters
+            score, count, tail = ([*x[-lead:], *[0] * len(part)] for x in (score, count, tail))
+            first = len(score) - len(part)
+            shift = start - first
+            for k, c in enumerate(part, first):
+                best = None
+                if end == k + shift:
+                    here = [piece]
+                    for end, piece in found:
+                        if end != k + shift:
+                            break
+                        here.append(piece)
+                    if len(here) > 1:
+                        here.sort(reverse=True)  # the longest piece starts first
+                    for length, s in here:
+                        x = score[k - length] + s
+                        if best is None or x > best:
+                            best, n = x, count[k - length] + 1
+                if c in single:
+                    score[k], count[k] = best, n
+                    continue
+                x = score[k - 1] + less
                 if best is None or x > best:
-                    best, n, unknown = x, count[(e - length) % ring] + 1, False
-            if c not in self.single:
-                before = (e - 1) % ring
-                x = score[before] + self.unknown
-                if best is None or x > best:
-                    add = len(c.encode("utf-8", "surrogatepass")) if self.bytes else not tail[before]
-                    best, n, unknown = x, count[before] + add, True
-            score[e % ring], count[e % ring], tail[e % ring] = best, n, unknown
-        return count[len(chunk) % ring]
+                    best, n, tail[k] = x, count[k - 1] + (len(c.encode("utf-8", "surrogatepass")) if self.bytes else not tail[k - 1]), True
+                score[k], count[k] = best, n
+        return count[-1]
 
     def text(self, text: str | None) -> tuple[int, int]:
         """(tokens, chunks) of a text."""
         if not text:
             return 0, 0
-        text = text.replace(" ", META)
-        if text[0] != META:
-            text = META + text
-        chunks = CHUNK.findall(text) if META + META in text else text[1:].split(META)
+        text = text.replace(META, " ")
+        bare = text.removeprefix(" ")  # a text that starts with a blank gets no other
+        chunks = CHUNK.findall(f" {bare}") if bare[:1] == " " or "  " in bare else bare.split(" ")
         return sum(map(self.__getitem__, chunks)), len(chunks)
 
 
