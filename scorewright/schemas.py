@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import BooleanType, DoubleType, LongType, MapType, StringType, StructField, StructType, _parse_datatype_string  # noqa: F401
-
 SCORES = "struct<accuracy:double,completeness:double,topic_coherence:double,citation_quality:double,reasoning:string>"
 #: A regulatory question with its reference answer, after renaming.
 QUESTION = "question_id string, regulator string, id string, status string, legal_act string, topic string, subject_matter string, question string, answer string"

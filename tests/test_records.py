@@ -7,10 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scorewright import schemas
 from scorewright.functions import citations as C
 from scorewright.functions import judgejson as J
 from scorewright.functions import text as T
 from scorewright.operators import agreement as A
+from scorewright.operators import preferences as P
 from scorewright.operators import records as R
 from scorewright.operators import reports
 from scorewright.operators import sampling as S
@@ -157,6 +159,18 @@ def test_page_texts_and_folder_of_articles(spark, tmp_path):
     assert read() == ["DORA", "GDPR"] and read(["GDPR"]) == ["GDPR"]
 
 
+def test_records_of_every_schema(spark, tmp_path):
+    """Record files are read with their schemas; model names with slashes and dots stay keys, odd reasoning stays text."""
+    scores = {"accuracy": 4, "completeness": 3, "topic_coherence": 5, "citation_quality": None, "reasoning": "ok"}
+    record = {"question_id": "q1", "regulator": "EBA", "answers": {"org/model.1": {"text": "a", "judge_scores": {"j/1.5": scores, "k": scores | {"accuracy": 1}}}}, "meta": {"judge_models": ["j/1.5", "k"]}}
+    path = tmp_path / "judged.jsonl"
+    path.write_text(json.dumps(record) + "\n\n" + json.dumps({"question_id": "q2", "answers": {}}) + "\n")
+    rows = P.flatten(files.read_jsonl(spark, str(path), schemas.JUDGE_RECORD)).collect()
+    assert sorted((r.question_id, r.answerer, r.judge, r.accuracy, r.citation_quality) for r in rows) == [("q1", "org/model.1", "j/1.5", 4.0, None), ("q1", "org/model.1", "k", 1.0, None)]
+    for schema in (schemas.QUESTION, schemas.OLD_JUDGE_RECORD, schemas.PREFERENCE_PAIR, schemas.EVAL_SCORES, schemas.EVAL_ANSWER, schemas.ARTICLES):
+        assert len(files.read_jsonl(spark, str(path), schema).columns) >= 3 and files.read_jsonl(spark, str(path), schema).count() == 2
+
+
 def test_split_hash_streams_the_sorted_ids(spark):
     import hashlib
 
