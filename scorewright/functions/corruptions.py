@@ -15,7 +15,8 @@ CLAIMS = [
     "In practice, supervisory guidance has confirmed that this provision is no longer enforced following the 2021 simplification package.",
     "This requirement was subsequently superseded by a transitional carve-out applicable to all subsidiaries established before 2018.",
 ]
-ORDER = ["law_swap", "article_swap", "hallucinate_citation", "hallucinate_text"]
+#: Fixed value: the invented citation.
+INVENTED = " This conclusion is further reinforced by Regulation (EU) No {act}, Article {article}, which explicitly mandates additional disclosure requirements not otherwise referenced here."
 
 
 def pick(key: Column, n: Column | int, salt: int) -> Column:
@@ -59,8 +60,8 @@ def article_swap(df: DataFrame, text: str, key: str, out: str, salt: int = 2) ->
 
 def hallucinate_citation(text: Column, key: Column, salt: int = 3) -> Column:
     act = F.concat((9000 + pick(key, 1000, salt)).cast("string"), F.lit("/"), (2030 + pick(key, 70, salt + 10)).cast("string"))
-    sentence = F.concat(F.lit(" This conclusion is further reinforced by Regulation (EU) No "), act, F.lit(", Article "), (500 + pick(key, 500, salt + 20)).cast("string"), F.lit(", which explicitly mandates additional disclosure requirements not otherwise referenced here."))
-    return F.concat(F.regexp_replace(text, r"\s+$", ""), sentence)
+    article = (500 + pick(key, 500, salt + 20)).cast("string")
+    return F.concat(F.regexp_replace(text, r"\s+$", ""), F.replace(F.replace(F.lit(INVENTED), F.lit("{act}"), act), F.lit("{article}"), article))
 
 
 def hallucinate_text(text: Column, key: Column, salt: int = 4) -> Column:
