@@ -16,7 +16,7 @@ piece, so that memory does not grow with the n-grams of one text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -177,7 +177,7 @@ class Model:
         return self.languages[k], score, ambiguous, bool((h @ self.rarity.astype(np.float64) / n - ERRORS * self.spread / np.sqrt(n) > self.limit).all())
 
 
-def grouped(texts: list[str | None]) -> Iterator[list[str | None]]:
+def grouped(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
     """Consecutive texts of at most `BLOCK` characters together; a longer one comes alone."""
     held, size = [], 0
     for t in texts:
@@ -284,7 +284,7 @@ def _predict(shared):
         model = shared.value
         for b in batches:
             s = 0
-            for texts in grouped(b.column(1).to_pylist()):
+            for texts in grouped(t.as_py() for t in b.column(1)):
                 yield batch(ROW, b.column(0).slice(s, len(texts)), *map(list, zip(*model.predict(texts), strict=True)))
                 s += len(texts)
 
@@ -306,7 +306,7 @@ def _recognised(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            keep = [not r[3] for texts in grouped(b.column(at).to_pylist()) for r in model.predict(texts)]
+            keep = [not r[3] for texts in grouped(t.as_py() for t in b.column(at)) for r in model.predict(texts)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return run
