@@ -9,6 +9,7 @@ token's string, or characters outside the Latin blocks, go to `tokenizers` itsel
 from __future__ import annotations
 
 import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -25,7 +26,7 @@ class Words(dict):
         self.t = tokenizer
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.t.fast.encode_ordinary(" " + word), np.uint32).tobytes()
+        ids = array("I", self.t.fast.encode_ordinary(" " + word)).tobytes()  # 32 bits each
         if len(word) <= SHORT_WORD and len(self) < MEMO:
             self[word] = ids
         return ids

@@ -44,7 +44,7 @@ class Packer:
     def __init__(self, limits: Limits, first: int, ids: bool):
         self.limits, self.next, self.with_ids = limits, first, ids
         self.cap = np.array([limits.tokens, limits.segments, limits.tokens if limits.loss is None else limits.loss], np.float64)
-        self.need = np.zeros((POOL + 8, 3))
+        self.need = np.zeros((3, POOL + 8))  # a row for each limit, so that comparisons run over neighbouring numbers
         self.items: list[tuple] = []
         self.out: list[tuple] = []
 
@@ -66,15 +66,15 @@ class Packer:
 
     def put(self, item: tuple) -> None:
         n = len(item[1]) - item[3]
-        self.need[len(self.items)] = n, 1, self.loss(item, n)
+        self.need[:, len(self.items)] = n, 1, self.loss(item, n)
         self.items.append(item)
-        if len(self.items) == len(self.need):
-            self.need = np.concatenate([self.need, np.zeros_like(self.need)])
+        if len(self.items) == self.need.shape[1]:
+            self.need = np.concatenate([self.need, np.zeros_like(self.need)], axis=1)
 
     def pop(self, k: int) -> tuple:
         item, last = self.items[k], self.items.pop()
         if k < len(self.items):
-            self.items[k], self.need[k] = last, self.need[len(self.items)]
+            self.items[k], self.need[:, k] = last, self.need[:, len(self.items)]
         return item
 
     def cut(self, item: tuple, room: np.ndarray) -> int:
@@ -87,14 +87,15 @@ class Packer:
         room, bin_ = self.cap.copy(), []
         room[0] = target or room[0]
         while self.items and room[0] > 0 and room[1] > 0:
-            need = self.need[: len(self.items)]
-            fits = (need <= room).all(axis=1)
-            score = need @ (room / np.maximum(self.cap, 1) / np.maximum(self.cap, 1))
-            if fits.any() and not (room[1] == 1 and need[fits, 0].max() < room[0] and (need[:, 0] >= room[0]).any()):
+            need = self.need[:, : len(self.items)]
+            fits = (need[0] <= room[0]) & (need[2] <= room[2])  # a segment fits, as room[1] > 0
+            a, b, c = room / np.maximum(self.cap, 1) / np.maximum(self.cap, 1)
+            score = need[0] * a + (b + need[2] * c)
+            if fits.any() and not (room[1] == 1 and need[0, fits].max() < room[0] and (need[0] >= room[0]).any()):
                 k = int(np.argmax(np.where(fits, score, -1)))
-                n = int(need[k, 0])
+                n = int(need[0, k])
             else:
-                k = int(np.argmax(need[:, 0]))
+                k = int(np.argmax(need[0]))
                 n = self.cut(self.items[k], room)
                 if n <= 0:
                     break
@@ -109,7 +110,7 @@ class Packer:
 
     def finish(self) -> None:
         while self.items:
-            waiting = int(self.need[: len(self.items), 0].sum())
+            waiting = int(self.need[0, : len(self.items)].sum())
             self.fill(None if waiting >= self.limits.tokens else 1 << waiting.bit_length() - 1)
 
     def emit(self, bin_: list[tuple]) -> None:

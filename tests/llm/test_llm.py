@@ -326,7 +326,7 @@ def test_example_with_the_largest_dot_product_is_taken():
             if row[0] in waiting:
                 waiting.remove(row[0])
         packer.items = [x for x in packer.items if x[3] == 0]
-        packer.need[: len(packer.items)] = [(len(x[1]), 1, loss[x[0]].sum()) for x in packer.items]
+        packer.need[:, : len(packer.items)] = np.array([(len(x[1]), 1, loss[x[0]].sum()) for x in packer.items]).T
         assert sorted(x[0] for x in packer.items) == sorted(waiting)
 
 
