@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.views import spread
-from . import decontam, imatch, langid, license_rules, quality, simhash, substring_dedup, token_counts, token_packs, vector_packing
+from . import decontam, divergence, imatch, langid, license_rules, piece_bpe, quality, resampling, simhash, substring_dedup, token_counts, token_packs, vector_packing
 
 
 def tokenizer_path(name: str) -> str:
@@ -79,6 +79,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", F.coalesce(crc_mod(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id", "text"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.digest(piece_bpe.encode(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), decode=True))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +98,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_language_id, op2_substring_dedup, op3_imatch, op4_token_counts, op5_token_packs, op6_vector_packing, op7_simhash, op8_decontamination, op9_license_scan, op10_quality)
+    ops = (op1_language_id, op2_substring_dedup, op3_imatch, op4_token_counts, op5_token_packs, op6_vector_packing, op7_simhash, op8_decontamination, op9_license_scan, op10_quality, op11_source_divergence, op12_sentencepiece, op13_importance_resampling)
     return {f.__name__: f for f in ops} | {"pipeline": _pipeline}
 
 
@@ -124,5 +136,25 @@ select doc_id, len(words) as n_words, coalesce(n, 0) as n_removed, sha256(coales
 """
 
 
+#: op11 in DuckDB's SQL: every kept term of a lang with every source, also where it doesn't occur.
+DIVERGENCE_SQL = """
+with docs as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+occ as (select r, lang, source, translate(unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from docs),
+kept as (select lang, term from occ group by all having count(distinct r) >= 10),
+cnt as (select lang, source, term, count(*)::hugeint as n from occ join kept using (lang, term) group by all),
+grp as (select distinct lang, source from docs),
+dense as (select grp.lang, grp.source, kept.term, coalesce(n, 0)::hugeint as n from grp join kept using (lang) left join cnt on cnt.lang = grp.lang and cnt.source = grp.source and cnt.term = kept.term),
+p1 as (select lang, source, term, n, 1 + (1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lang, source) + 2 * count(*) over (partition by lang, source)) as p from dense),
+total as (select lang, term, sum(n) as n from dense group by all),
+q1 as (select lang, term, 1 + (1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lang) + 2 * count(*) over (partition by lang)) as q from total),
+div as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value from p1 a join p1 b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from grp a join grp b on a.lang = b.lang and a.source <> b.source
+          left join div on div.lang = a.lang and div.source = a.source and div.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, (((p - q) * (p - q)) // (p + q))::bigint as value from p1 join q1 using (lang, term) where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item))::int as rank from (select * from pairs union all select * from terms))
+select * from ranked where part = 'pair' or rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": SUBSTRING_SQL, "op9_license_scan": license_sql()}
+    return {"op2_substring_dedup": SUBSTRING_SQL, "op9_license_scan": license_sql(), "op11_source_divergence": DIVERGENCE_SQL}
