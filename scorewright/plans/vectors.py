@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import density
 from ..operators import vectors as V
 from ..registry import query
 from ..sources.views import spread, table
@@ -62,3 +63,9 @@ def class_tfidf(spark, sf_dir):
     mean = total.agg(F.avg("total").alias("avg_words"))
     rows = per.join(every, "term").join(total, "lang").crossJoin(mean)  # one row
     return rows.select("lang", "term", "tf", F.round(F.col("tf").cast("double") / F.col("total") * F.log(1 + F.col("avg_words") / F.col("f")), 9).alias("score"))
+
+
+@query()
+def density_topics(spark, sf_dir):
+    """Density clusters of all vectors, outliers -1."""
+    return density.clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", least=10).select("vec_id", "topic")
