@@ -7,7 +7,7 @@ score is that codeword's share of exp(-loss), and a small gap to the second best
 n-grams are rarer in every language than those of that language's own sample (mean -log frequency, with an allowance
 for short texts): the loss of the nearest codeword can't tell, as a text of an unlearned language may lie close to one. With few languages the
 code has every split of them once (up to 7 languages: 63 bits); with more, random splits with distinct codewords, whose
-number grows with the logarithm of the number of languages. Every language of the training rows is learned.
+number grows with the logarithm of the number of languages. Every language of the training rows is learned (of more than `ROWS`, those of the most rows).
 
 The sample is the documents of the smallest text hashes, at most `SAMPLE` of a language and about `ROWS` in all: the same
 however the table is partitioned. A longer text than `BLOCK` characters goes through a histogram of its n-grams, piece by
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .blocks import batch, filtered
+from .blocks import batch, checkpointed, filtered
 
 #: Hashed n-gram dimensions; documents of each language in the sample at most, and of all (one of each language at least).
 DIMS, SAMPLE, ROWS = 4096, 300, 20_000
@@ -245,31 +245,45 @@ def fit(x: np.ndarray, langs: list[str], sizes: np.ndarray, ridge: float = 1e-3)
 
 
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, hash, dimensions, numbers) of rows (lang, hash, text); texts without letters teach nothing."""
+    """(lang, hash, dimensions, numbers) of rows (lang, hash, text), the first of equal texts only; texts without letters teach nothing."""
+    seen = set()
     for b in batches:
-        for k, text in enumerate(b.column(2)):
-            h = histogram(text.as_py())
+        for k, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            if key in seen:
+                continue
+            seen.add(key)
+            h = histogram(b.column(2)[k].as_py())
             at = np.flatnonzero(h)
             if len(at):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1), pa.array([at.astype("<u2").tobytes()]), pa.array([h[at].astype("<u4").tobytes()])], names=["lang", "h", "at", "n"])
 
 
+def sampled(own: DataFrame, sample: int, rows: int) -> DataFrame:
+    """(lang, h) of the smallest text hashes of each language: `sample` at most, about `rows` of all, one of each language at least.
+
+    Copies have one hash, so a language of any number of copies keeps all its different texts up to that. With more than `rows` languages, those
+    with the most rows in their samples are kept, ties in alphabetical order.
+    """
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
+    top = own.groupBy("lang", "h").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
+    top = checkpointed(top)
+    langs = top.groupBy("lang").agg(F.sum("n").alias("n"))
+    number = langs.count()
+    if number > rows:
+        top = top.join(F.broadcast(langs.orderBy(F.desc("n"), "lang").limit(rows)), "lang", "left_semi")
+    return top.where(F.col("r") <= max(1, min(sample, rows // max(1, min(number, rows))))).select("lang", "h")
+
+
 def learn(docs: DataFrame, train: Column, sample: int = SAMPLE, rows: int = ROWS) -> Model:
     """Fit on at most `sample` documents of each language, about `rows` of all (one of each language at least).
 
-    Only text and non-null lang of rows where `train` holds are read; every language is learned. Copies of a text count as one
-    document. The sample is the texts of the smallest hashes; its n-gram counts, and one row for each language, come to the driver.
+    Only text and non-null lang of rows where `train` holds are read; every language is learned, of more than `rows` languages those of the
+    most rows. Copies of a text count as one document. The sample is the texts of the smallest hashes; its n-gram counts come to the driver.
     """
     own = docs.where(train).where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h"))
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
-    if not counts:
-        return fit(np.zeros((0, DIMS), np.float32), [], np.zeros(0))
-    most = max(1, min(sample, rows // len(counts)))
-    # hashes below a language's limit: some more than are needed, all of them where a language has few rows
-    limits = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1 << 30, int((2 * most + 50) / n * (1 << 30))))))
-    low = own.where(F.pmod("h", F.lit(1 << 30)) < limits[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text"))
-    kept = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("r") <= most)  # of some 2 * most rows a language
-    found = kept.select("lang", "h", "text").mapInArrow(_histograms, "lang string, h long, at binary, n binary").collect()
+    kept = own.join(F.broadcast(sampled(own, sample, rows)), ["lang", "h"])  # at most 2 * rows hashes
+    texts = kept.select("lang", "h", "text").mapInArrow(_histograms, "lang string, h long, at binary, n binary")
+    found = texts.groupBy("lang", "h").agg(F.first("at").alias("at"), F.first("n").alias("n")).collect()  # a row for each text of the sample
     chosen = [(r["lang"], r["at"], r["n"]) for r in sorted(found, key=lambda r: (r["lang"], r["h"]))]
     x, sizes = np.zeros((len(chosen), DIMS), np.float32), np.zeros(len(chosen), np.int64)
     for i, (_, at, n) in enumerate(chosen):

@@ -105,15 +105,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def license_sql() -> str:
     """op9 in DuckDB's SQL: the same normal form, table and rules; a known sentence over several pieces, as when wrapped, is not found by it."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    forms = ", ".join(f"({quote(f)}, {quote(k)})" for k, fs in license_rules.SENTENCES.items() for f in fs)
+    every = [(f, k) for k, fs in license_rules.SENTENCES.items() for f in fs]
+    forms, gapped = (", ".join(f"({quote(license_rules.form_pattern(f))}, {quote(k)})" for f, k in every if bool(set("~*") & set(f)) == gap) for gap in (False, True))
     rules = ", ".join(f"({i}, {quote(name)}, {quote('>' + '>'.join(ids) + '>')})" for i, (name, ids) in enumerate(license_rules.RULES))
     return f"""
-with known(form, id) as (values {forms}), rules(n, license, needle) as (values {rules}),
+with known(form, id) as (values {forms}), gapped(form, id) as (values {gapped}), rules(n, license, needle) as (values {rules}),
 cut as (select rowid as r, doc_id, string_split_regex(regexp_replace(regexp_replace(coalesce(text, ''), '[.;:!?]+(\\s|$)', chr(10) || '\\1', 'g'), '[\\r\\n]+', chr(10), 'g'), chr(10)) as parts
         from (select row_number() over () as rowid, doc_id, text from documents)),
 parts as (select r, unnest(parts) as part, generate_subscripts(parts, 1) as i from cut),
-ids as (select r, string_agg(id, '>' order by i) as line, string_agg(id, ',' order by i) as sentence_ids
-        from parts join known on trim(regexp_replace(lower(part), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) = form group by r),
+norm as (select r, i, trim(regexp_replace(lower(part), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) as form from parts),
+hits as (select r, i, id from norm join known using (form) union all
+         select r, i, min(id) from (select * from norm where form like '%free software%' or form like '%name%' or form like '%distributed%') n join gapped g on regexp_full_match(n.form, g.form) group by r, i),
+ids as (select r, string_agg(id, '>' order by i) as line, string_agg(id, ',' order by i) as sentence_ids from hits group by r),
 hit as (select r, license, min(n) as n from ids join rules on contains('>' || line || '>', needle) group by r, license),
 named as (select r, string_agg(license, ',' order by n) as licenses, arg_min(license, n) as license from hit group by r)
 select doc_id, license, coalesce(licenses, '') as licenses, coalesce(sentence_ids, '') as sentence_ids

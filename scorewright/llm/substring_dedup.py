@@ -287,30 +287,51 @@ def _apply(fields: list[str]):
         order = np.argsort(doc, kind="stable")
         h, doc = h[order], doc[order]
         del spans, hashes, docs
-        kept_type = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))])
+
+        def gone_of(i: int, words: list[bytes]) -> np.ndarray:
+            gone = np.zeros(len(words) + 1, np.int32)
+            if len(words) >= WINDOW:
+                mine = h[slice(*np.searchsorted(doc, [i, i + 1]))] if len(doc) else h
+                if len(mine):
+                    at = np.flatnonzero(np.isin(window_hashes(memo.of(words))[0], mine))
+                    np.add.at(gone, at, 1), np.add.at(gone, at + WINDOW, -1)
+                local = span[slice(*np.searchsorted(span["doc"], [i, i + 1]))] if len(span) else span
+                if len(local):
+                    local = local[local["crc"] == zlib.crc32(b" ".join(words))]
+                    np.add.at(gone, local["start"], 1), np.add.at(gone, local["start"].astype(np.int64) + local["n"] + WINDOW - 1, -1)
+            return np.cumsum(gone[:-1]) > 0
+
         while rows:
-            b = pa.ipc.open_stream(rows.pop()).read_all().combine_chunks().to_batches()[0]
-            out = []
-            for i, t in zip(b.column(0), b.column(1), strict=True):
-                i, words = i.as_py(), words_of(t.as_py())
-                gone = np.zeros(len(words) + 1, np.int32)
-                if i is not None and len(words) >= WINDOW:
-                    mine = h[slice(*np.searchsorted(doc, [i, i + 1]))] if len(doc) else h
-                    if len(mine):
-                        at = np.flatnonzero(np.isin(window_hashes(memo.of(words))[0], mine))
-                        np.add.at(gone, at, 1), np.add.at(gone, at + WINDOW, -1)
-                    local = span[slice(*np.searchsorted(span["doc"], [i, i + 1]))] if len(span) else span
-                    if len(local):
-                        local = local[local["crc"] == zlib.crc32(b" ".join(words))]
-                        np.add.at(gone, local["start"], 1), np.add.at(gone, local["start"].astype(np.int64) + local["n"] + WINDOW - 1, -1)
-                removed = np.cumsum(gone[:-1]) > 0
-                kept = b" ".join(words if not removed.any() else [w for w, r in zip(words, removed.tolist(), strict=True) if not r])
-                s, n = runs(removed)
-                cut = [{"start": int(x), "length": int(y)} for x, y in zip(s, n, strict=True) if removed[x]]
-                out.append((len(words), int(removed.sum()), kept.decode("utf-8", "surrogatepass"), hashlib.sha256(kept).hexdigest(), cut))
-            row = pa.StructArray.from_arrays([b.column(k) for k in range(2, b.num_columns)], names=fields)
-            kept = pa.array([dict(zip(("n_words", "n_removed", "kept_text", "kept_sha256", "spans"), x, strict=True)) for x in out], kept_type)
-            yield pa.RecordBatch.from_arrays([row, kept], names=["row", "kept"])
+            yield _kept(pa.ipc.open_stream(rows.pop()).read_all().combine_chunks().to_batches()[0], fields, gone_of)
+
+    return run
+
+
+KEPT = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))])
+
+
+def _kept(b: pa.RecordBatch, fields: list[str], gone_of) -> pa.RecordBatch:
+    """(row, kept) of rows (id, text, their columns); gone_of(id, words) says which words go."""
+    out = []
+    for i, t in zip(b.column(0), b.column(1), strict=True):
+        words = words_of(t.as_py())
+        removed = gone_of(i.as_py(), words)
+        kept = b" ".join(words if not removed.any() else [w for w, r in zip(words, removed.tolist(), strict=True) if not r])
+        s, n = runs(removed)
+        cut = [{"start": int(x), "length": int(y)} for x, y in zip(s, n, strict=True) if removed[x]]
+        out.append((len(words), int(removed.sum()), kept.decode("utf-8", "surrogatepass"), hashlib.sha256(kept).hexdigest(), cut))
+    row = pa.StructArray.from_arrays([b.column(k) for k in range(2, b.num_columns)], names=fields)
+    kept = pa.array([dict(zip(("n_words", "n_removed", "kept_text", "kept_sha256", "spans"), x, strict=True)) for x in out], KEPT)
+    return pa.RecordBatch.from_arrays([row, kept], names=["row", "kept"])
+
+
+def _as_they_are(fields: list[str]):
+    """Rows that keep all their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 1024):
+                yield _kept(b.slice(s, 1024), fields, lambda _, words: np.zeros(len(words), bool))
 
     return run
 
@@ -325,12 +346,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     other. A row whose doc_id is null keeps all its words and is no one's original. An empty table gives an empty result.
     """
     route = Route.to(partitions(docs, 48))
+    # rows without an id have nothing to look for and stay where they are; in a Parquet table without such rows, its statistics say so
+    every, nameless = docs, docs.where(F.col("doc_id").isNull())
+    docs = docs.where(F.col("doc_id").isNotNull())
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = route.exchange(base.mapInArrow(_windows(route), FOUND_SQL)).mapInArrow(_repeats(route), FOUND_SQL)
-    carried = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), *(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)))
-    rows = carried.mapInArrow(_pack(route), FOUND_SQL)
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("kept", RESULT)])
-    return route.exchange(rows.unionByName(found)).mapInArrow(_apply(docs.columns), schema)
+    carried = lambda df: df.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), *(df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(df.columns)))
+    rows = carried(docs).mapInArrow(_pack(route), FOUND_SQL)
+    schema = T.StructType([T.StructField("row", every.schema), T.StructField("kept", RESULT)])
+    with_id = route.exchange(rows.unionByName(found)).mapInArrow(_apply(every.columns), schema)
+    return with_id.unionByName(carried(nameless).mapInArrow(_as_they_are(every.columns), schema))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -42,6 +42,28 @@ def test_sample_is_bounded_and_the_same_for_any_partitioning(spark, many):
     assert (a.weights == b.weights).all() and (a.rarity == b.rarity).all() and a.languages == b.languages
 
 
+@pytest.mark.parametrize("copies", [1, 50, 4000])
+def test_languages_of_copies_are_learned(spark, copies):
+    """However many copies a language's few texts have, they are learned, and its rows keep their language."""
+    rng = random.Random(7)
+    letters = {"en": "abcdefghi", "de": "jklmnopqr", "fr": "stuvwxyzé"}
+    texts = {"en": [made(rng, letters["en"], 80) for _ in range(400)], "de": [made(rng, letters["de"], 80) for _ in range(2)], "fr": [made(rng, letters["fr"], 80)]}
+    rows = [(t, "en") for t in texts["en"]] + [(t, "de") for t in texts["de"]] * copies + [(texts["fr"][0], "fr")] * copies
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.learn(docs.repartition(4), F.lit(True))
+    assert model.languages == ["de", "en", "fr"]
+    other = langid.learn(docs.repartition(3), F.lit(True), sample=500)
+    assert other.languages == model.languages and len(langid.sampled(docs.select("lang", F.xxhash64("text").alias("h")), 500, 20_000).collect()) == 403
+    got = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.where("lang <> lang_pred").count() == 0 and langid.recognised(docs, model).count() == len(rows)
+
+
+def test_more_languages_than_the_sample_holds(spark):
+    rows = [(k, f"text {chr(97 + k % 26)} {k}", f"l{k:03}") for k in range(60)] + [(100 + k, f"many {k}", "often") for k in range(5)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), sample=3, rows=10)
+    assert model.languages == [f"l{k:03}" for k in range(9)] + ["often"]
+
+
 def test_both_ways_of_solving_agree(monkeypatch):
     rng = np.random.default_rng(1)
     x = rng.random((60, langid.DIMS), np.float32)

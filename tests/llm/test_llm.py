@@ -632,7 +632,7 @@ def test_every_rule_fires(spark):
     rows = []
     for name, ids in license_rules.RULES:
         for which in (0, -1):
-            sentences = [license_rules.SENTENCES[i][which].capitalize() + "." for i in ids]
+            sentences = [license_rules.SENTENCES[i][which].replace("~", "program").replace("*", "the Foo Inc").capitalize() + "." for i in ids]
             wrapped = "\n\n".join(textwrap.fill(x, 30, break_long_words=False) for x in sentences)
             rows += [(name, "Code.\n" + "\n".join(sentences)), (name, wrapped.upper()), (name, "/*\n" + "\n".join(f" * {x}" for x in wrapped.split("\n")) + "\n */\nint x;")]
     rows += [("mit", "// SPDX-License-Identifier: MIT\nx"), ("gpl-2.0-only", "# SPDX-License-Identifier: GPL-2.0-only"), ("bsd-4-clause", BSD + "\n3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement:\n x")]
@@ -642,3 +642,15 @@ def test_every_rule_fires(spark):
     assert [(i, n) for i, (n, _) in enumerate(rows) if n not in got[i].licenses] == []
     assert license_rules.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert len(license_rules.SENTENCES) >= 75 and len({f for forms in license_rules.SENTENCES.values() for f in forms}) == sum(map(len, license_rules.SENTENCES.values()))
+
+
+def test_rows_without_id_do_not_gather(spark):
+    """Half of the rows have no doc_id: they stay in their tasks and keep all their words."""
+    long = "a b c d e f g h i j k l m n o p"
+    rows = [(k if k % 2 else None, f"{k} {long}") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    out = substring_dedup.remove_repeats(docs)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 1000
+    got = out.select("row.doc_id", "kept.n_removed").collect()
+    assert all((r.n_removed == 0) == (r.doc_id in (None, 1)) for r in got)
