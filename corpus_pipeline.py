@@ -45,8 +45,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents left, packed into sequences of 1024 tokens. Each row is packed by itself, whatever its doc_id; a null or empty text is its end token."""
-    return vector_packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), ids=False).drop("ids")
+    """Pieces of the documents left, packed into sequences of 1024 tokens, with their token ids: the training data.
+
+    `ids` holds a piece's ids as little-endian unsigned 32-bit numbers; those of a sequence's pieces, in the order of `offset`, are the
+    sequence, and the pieces' lengths its segments. Each row is packed by itself, whatever its doc_id; a null or empty text is its end token.
+    """
+    return vector_packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
 STAGES = [("language_id", language_id), ("simhash_dedup", simhash_dedup), ("substring_dedup", substring_removal), ("decontamination", decontamination), ("packing", packing)]
