@@ -57,6 +57,29 @@ def test_packing_with_odd_rows(spark, prose):
     assert corpus_pipeline.packing(spark, rows.where("false"), SF).count() == 0
 
 
+def test_packed_ids_read_back(spark, prose):
+    """The ids of the last stage, read as a trainer would, are those of the tokenizer; they fill sequences without gaps."""
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from scorewright.llm.queries import tokenizer_path
+
+    rows = [(10, prose[0]), (11, prose[1] * 5), (12, ""), (13, None), (14, "é漢 <|endoftext|>  x")]
+    got = corpus_pipeline.packing(spark, made(spark, rows), SF).collect()
+    exact, docs, sequences = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), {}, {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.start)):
+        ids = np.frombuffer(bytes(r.ids), "<u4")
+        assert len(ids) == r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32
+        docs.setdefault(r.doc_id, []).extend(ids.tolist())
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert docs == {i: [*exact.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows}
+    for pieces in sequences.values():
+        ends = np.cumsum([n for _, n in sorted(pieces)]).tolist()
+        assert [o for o, _ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] <= 1024
+
+
 def test_only_the_last_result_is_left(spark, tmp_path, monkeypatch):
     import os
 
