@@ -167,19 +167,6 @@ def epoch_weights(spark, sf_dir):
     return steps.select("epoch", "stratum", F.round("w", 9).alias("w"))
 
 
-@query("""select vec_id, round(coalesce(list_sum(embedding[vec_id % 8 + 1:]::double[]), 0.0::double), 5) as logprob from embeddings""")
-def completion_logprobs(spark, sf_dir):
-    """Log-probability of each completion: the sum over its tokens, those of the prompt left out."""
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(R.completion_logprob(F.col("embedding"), (F.col("vec_id") % 8).cast("int")), 5).alias("logprob"))
-
-
-@query("select case when doc_id % 2 = 0 then 'baseline' else 'trained' end as side, null::double as bert_score, count(*) as n from documents group by 1")
-def bert_score_mean(spark, sf_dir):
-    """Mean BERTScore by side: null, as no scorer is injected here."""
-    rows = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, "baseline").otherwise("trained").alias("side"), F.col("text").alias("candidate"), F.col("text").alias("reference"))
-    return R.mean_bert_score(rows, ["side"]).join(rows.groupBy("side").agg(F.count("*").alias("n")), "side")
-
-
 @query(f"""with {EVAL_SQL} select judge, {", ".join(f"coalesce(bool_or(folder = 'run{k}' and accuracy >= 4), false) as run{k}" for k in range(4))} from eval group by judge""")
 def presence_transposed(spark, sf_dir):
     """In which folders a judge gave high scores: judges as rows, folders as columns."""

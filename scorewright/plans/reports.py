@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.bootstrap import exact_bootstrap
 from ..operators.reports import MIX, POISSON, WORD, bootstrap, canonical, mean_present, pending, upsert
 from ..registry import query
 from ..sources.views import DIMS, JUDGMENTS_SQL, judgments
@@ -146,6 +147,13 @@ def boot_ci(spark, sf_dir):
     return bootstrap(rows, "folder", "question_id", "delta", RESAMPLES)
 
 
+@query()
+def boot_exact_ci(spark, sf_dir):
+    """The same intervals from resamples of exactly n places each."""
+    rows = _sides(spark, sf_dir).select("folder", "question_id", (F.col("trained") - F.col("baseline")).alias("delta"))
+    return exact_bootstrap(rows, "folder", "question_id", "delta", RESAMPLES)
+
+
 @query(f"""with {EVAL_SQL}, b as (select question_id + 1 as question_id, trained as base from sides where folder = 'run0')
 select folder, s.question_id, round(trained - base, 9) as delta from sides s join b using (question_id) where trained is not null and base is not null""")
 def rebased_delta(spark, sf_dir):
