@@ -25,10 +25,10 @@ LEAF, DRAWN, DEEPEST = 1024, 1 << 22, 40
 class Places:
     """The places that ranges of one group get in each resample."""
 
-    def __init__(self, group: str, n: int, resamples: int, seed: int):
+    def __init__(self, group: str, n: int, resamples: int, seed: int, places: int | None = None):
         self.key = (seed, zlib.crc32(group.encode()), n)
         self.n, self.resamples = n, resamples
-        self.path: dict[tuple[int, int], np.ndarray] = {(0, 0): np.full(resamples, n, np.int64)}
+        self.path: dict[tuple[int, int], np.ndarray] = {(0, 0): np.full(resamples, n if places is None else places, np.int64)}
 
     def generator(self, depth: int, node: int) -> np.random.Generator:
         return np.random.default_rng([*self.key, depth, node])
@@ -48,6 +48,16 @@ class Places:
                 self.path[at] = left if at[1] % 2 == 0 else self.path[above] - left
         return self.path[depth, node]
 
+    def times(self, depth: int, node: int) -> np.ndarray:
+        """How often each rank of a leaf is drawn, in the first resample."""
+        low, high = self.bounds(depth, node)
+        out = np.zeros(high - low, np.int64)
+        left, rng = int(self.of(depth, node)[0]), self.generator(depth + DEEPEST, node)
+        while left > 0:
+            out += np.bincount(rng.integers(0, len(out), min(left, DRAWN)), minlength=len(out))
+            left -= DRAWN
+        return out
+
     def sums(self, depth: int, node: int, values: np.ndarray) -> np.ndarray:
         """For each resample, the sum of a leaf's values, as often as they are drawn."""
         places, rng, out = self.of(depth, node), self.generator(depth + DEEPEST, node), np.zeros(self.resamples)
@@ -115,8 +125,8 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def leaves(rows: DataFrame, by: str, key: str, delta: str) -> DataFrame:
-    """(g, n, depth, node, rank, value): each row's rank in its group, and the leaf of the group's tree in which it lies."""
+def leaves(rows: DataFrame, by: str, key: str, delta: str, keep: bool = False) -> DataFrame:
+    """(g, n, depth, node, rank, value), and the key k with keep: each row's rank in its group, and the leaf of the group's tree in which it lies."""
     own = rows.where(F.col(delta).isNotNull() & F.col(key).isNotNull() & F.col(by).isNotNull())
     own = own.select(F.col(by).cast("string").alias("g"), F.col(key).cast("long").alias("k"), F.col(delta).cast("double").alias("value"))
     placed = positions(own, [F.col("g"), F.col("k"), F.col("value")])
@@ -124,7 +134,7 @@ def leaves(rows: DataFrame, by: str, key: str, delta: str) -> DataFrame:
     ranked = placed.join(groups, "g").withColumn("rank", F.col("position") - F.col("start"))
     ranked = ranked.withColumn("depth", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF))).cast("int"))
     power = F.expr("shiftleft(1L, depth)")
-    return ranked.select("g", "n", "depth", F.call_function("div", (F.col("rank") + 1) * power - 1, F.col("n")).alias("node"), "rank", "value")
+    return ranked.select("g", "n", "depth", F.call_function("div", (F.col("rank") + 1) * power - 1, F.col("n")).alias("node"), "rank", "value", *(["k"] if keep else []))
 
 
 def exact_bootstrap(rows: DataFrame, by: str, key: str, delta: str, resamples: int = 10_000, seed: int = 0) -> DataFrame:
@@ -139,3 +149,33 @@ def exact_bootstrap(rows: DataFrame, by: str, key: str, delta: str, resamples: i
     point = rows.where(F.col(delta).isNotNull() & F.col(key).isNotNull() & F.col(by).isNotNull()).groupBy(F.col(by).cast("string").alias("g")).agg(F.count("*").alias("n"), F.avg(delta).alias("point"))
     out = point.join(found, "g")
     return out.select(F.col("g").cast(rows.schema[by].dataType).alias(by), "n", F.round("point", 6).alias("point"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), F.round("p", 6).alias("p"), ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("significant"))
+
+
+def _times(seed: int):
+    """(key, times) of rows (g, n, depth, node, rank, key, places) that are drawn, sorted by g and node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, places, leaf, times, low = None, None, None, None, 0
+        for b in batches:
+            keys, out = [], []
+            for g, n, depth, node, rank, key, most in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if g != now:
+                    now, places, leaf = g, Places(g, n, 1, seed, most), None
+                if (depth, node) != leaf:
+                    leaf, times, low = (depth, node), places.times(depth, node), places.bounds(depth, node)[0]
+                if times[rank - low]:
+                    keys.append(key), out.append(int(times[rank - low]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.int64())], names=["k", "times"])
+
+    return run
+
+
+def draws(rows: DataFrame, by: str, key: str, wanted: DataFrame, seed: int = 0) -> DataFrame:
+    """(k, times): how often each row's key is drawn when each group gets `places` independent draws with replacement.
+
+    wanted(by, places) has a row for each group to draw from; the times of a group add up to its places. key is an integer, unique and not null.
+    """
+    some = rows.join(wanted.select(by), by, "left_semi").select(by, F.col(key).cast("long").alias("key"), F.lit(0.0).alias("value"))
+    placed = leaves(some, by, "key", "value", keep=True).join(wanted.select(F.col(by).cast("string").alias("g"), F.col("places").cast("long").alias("places")), "g")
+    dealt = placed.select("g", "n", "depth", "node", "rank", "k", "places").repartition("g", "node").sortWithinPartitions("g", "node", "rank")
+    return dealt.mapInArrow(_times(seed), "k long, times long")

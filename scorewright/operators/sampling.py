@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.folders import checkpointed
+from .bootstrap import draws
+
 #: Hash values and cells of them in which ranks are counted.
 RANGE, CELLS = 1_000_003, 1024
 
@@ -84,6 +87,22 @@ def weighted_sample(rows: DataFrame, key: str, group: str, weights: DataFrame, t
     return picked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_t")))).drop("pool", "n", "rank", "_t")
 
 
+def weighted_draws(rows: DataFrame, key: str, group: str, weights: DataFrame, target: int, seed: int = 42) -> DataFrame:
+    """Rows by group weight as `weighted_sample`, but groups that are asked for more rows than they have are drawn with replacement.
+
+    Each of a group's n places is an independent draw, so a row may come often or never (n places of a multinomial). `copy` numbers a row's
+    copies from 1. key is an integer, unique and not null; groups without a weight are left out.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("pool")).join(weights, group)
+    total = sizes.agg(F.sum("w").alias("total"))
+    want = sizes.crossJoin(total).select(group, "pool", F.greatest(F.lit(1), F.bround(F.col("w") / F.col("total") * target)).cast("long").alias("places"))  # one row of totals
+    want = checkpointed(want)
+    once = hash_ranks(rows.join(want.where("places <= pool").select(group), group, "left_semi"), key, [group], seed).join(want, group).where("rank <= places")
+    times = draws(rows, group, key, want.where("places > pool"), seed)
+    often = rows.join(times, F.col(key) == F.col("k")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return once.select(*rows.columns, F.lit(1).cast("long").alias("copy")).unionByName(often.select(*rows.columns, "copy"))
+
+
 def updated_weights(groups: DataFrame, eta: float = 0.1, floor: float = 0.05) -> DataFrame:
     """groups(group, w, margin) with new_w: softmax of ln w - eta * margin, floored and normalised. There are few groups."""
     every = groups.agg(F.max(F.log("w") - eta * F.col("margin")).alias("top"))

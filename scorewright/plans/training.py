@@ -51,6 +51,15 @@ def weighted_resample(spark, sf_dir):
     return picked.groupBy("stratum", "question_id").agg(F.count("*").alias("copies"))
 
 
+@query()
+def weighted_draws(spark, sf_dir):
+    """The same weights, with true draws with replacement where a stratum has too few rows."""
+    rows = _orders(spark, sf_dir)
+    target = 3 * rows.count()
+    picked = S.weighted_draws(rows, "question_id", "stratum", spark.createDataFrame(WEIGHTS, "stratum string, w double"), target)
+    return picked.groupBy("stratum", "question_id").agg(F.count("*").alias("copies"))
+
+
 @query(f"""with {WEIGHTS_SQL}, m as (select l_linestatus as stratum, avg(l_discount - l_tax) as margin from lineitem group by 1 union all select 'P', 0.01::double), g as (select stratum, w, margin from weights join m using (stratum)),
 e as (select stratum, exp(ln(w) - 0.5 * margin) as e from g), f as (select stratum, greatest(e / sum(e) over (), 0.25::double) as f from e) select stratum, round(f / sum(f) over (), 9) as new_w from f""")
 def weight_update(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import density
 from ..operators import vectors as V
+from ..operators.nearest_label import nearest_labels
 from ..registry import query
 from ..sources.views import spread, table
 
@@ -69,3 +70,13 @@ def class_tfidf(spark, sf_dir):
 def density_topics(spark, sf_dir):
     """Density clusters of all vectors, outliers -1."""
     return density.clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", least=10).select("vec_id", "topic")
+
+
+@query("""with s as (select a.vec_id, b.vec_id as label, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 12) as sim from embeddings a cross join embeddings b),
+t as (select vec_id, arg_min(label, struct_pack(a := -sim, b := label)) as predicted, max(sim) as similarity, max(sim) filter (where label = vec_id) as own, max(sim) filter (where label <> vec_id) as best_other from s group by 1)
+select vec_id, predicted, round(similarity, 6) as similarity, round(best_other, 6) as best_other, round(own - best_other, 6) as margin from t""")
+def vector_neighbours(spark, sf_dir):
+    """Each vector among all vectors as labels: the most similar one, and how far the best other one is."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = nearest_labels(rows, "vec_id", "embedding", "vec_id", rows.select(F.col("vec_id").alias("label"), F.col("embedding").alias("centroid")), "label")
+    return found.select("vec_id", "predicted", *(F.round(c, 6).alias(c) for c in ("similarity", "best_other", "margin")))

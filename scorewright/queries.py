@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import citations, descriptive, files, gates, language, preferences, records, reports, texts, training, vectors  # noqa: F401
+from .plans import citations, descriptive, files, gates, language, preferences, ranks, records, reports, texts, training, vectors  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 

@@ -50,3 +50,19 @@ def test_interval_is_that_of_a_plain_resampler(spark, monkeypatch, leaf):
     again = {r.name: r for r in B.exact_bootstrap(df.repartition(2), "name", "k", "d").collect()}
     assert again == got
     assert B.exact_bootstrap(df.limit(0), "name", "k", "d").count() == 0
+
+
+def test_weighted_draws_are_multinomial(spark, monkeypatch):
+    from scorewright.operators.sampling import weighted_draws
+
+    monkeypatch.setattr(B, "LEAF", 16)
+    rows = spark.createDataFrame([(k, "many" if k < 300 else "few" if k < 340 else "none", f"t{k}") for k in range(345)], "id long, g string, text string").repartition(4)
+    weights = spark.createDataFrame([("many", 0.1), ("few", 0.9), ("absent", 1.0)], "g string, w double")
+    got = weighted_draws(rows, "id", "g", weights, 1000).collect()
+    count = {g: [r for r in got if r.g == g] for g in ("many", "few", "none")}
+    assert len(count["many"]) == 100 and len({r.id for r in count["many"]}) == 100 and {r.copy for r in count["many"]} == {1}
+    assert len(count["few"]) == 900 and not count["none"]
+    times = np.bincount([r.id - 300 for r in count["few"]], minlength=40)
+    assert 10 < times.var() < 45  # 900 draws over 40 rows: about 22; equal copies would give none
+    assert sorted(r.copy for r in count["few"] if r.id == 300) == list(range(1, times[0] + 1))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, weighted_draws(rows.repartition(2), "id", "g", weights, 1000).collect()))
