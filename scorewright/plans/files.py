@@ -33,8 +33,8 @@ def json_array_rewrite(spark, sf_dir):
     """JSON lines rewritten as one JSON array, and read as such."""
     lines, array = work_folder(spark, "lines"), work_folder(spark, "array")
     files.write_jsonl(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), lines)
-    files.rewrite_as_array(spark, lines, array, CONVERSATION)
-    return files.read_json_array(spark, array, CONVERSATION)
+    files.rewrite_as_array_parts(spark, lines, array, CONVERSATION)
+    return files.read_array_parts(spark, array, CONVERSATION)
 
 
 @query("select n_nationkey as id, n_name as name from nation union all select r_regionkey, r_name from region")
@@ -83,6 +83,13 @@ def report_document(spark, sf_dir):
     """A report file with a summary and its results, read back."""
     path, rows = work_folder(spark, "report"), judgments(spark, sf_dir)
     results = rows.groupBy("judge", "answerer").agg(F.count("*").alias("n"), F.round(F.avg("accuracy"), 6).alias("accuracy"))
-    files.write_report(rows.agg(F.count("*").alias("total")).crossJoin(results.agg(F.count("*").alias("cells"))), results, path)  # one row each
-    schema = "summary struct<total:long,cells:long>, results array<struct<judge:string,answerer:string,n:long,accuracy:double>>"
-    return files.read_json_array(spark, path, schema).select("summary.*", F.explode("results").alias("r")).select("r.*", "total", "cells")
+    files.write_report_parts(rows.agg(F.count("*").alias("total")).crossJoin(results.agg(F.count("*").alias("cells"))), results, path)  # one row each
+    summary = files.read_report_summary(spark, path, "total long, cells long")
+    return files.read_array_parts(spark, path, "judge string, answerer string, n long, accuracy double").crossJoin(summary)  # one row
+
+
+@query("""with p as (select substr(sha256(o_orderkey::varchar), 1, 3) as part, sha256(string_agg(o_orderkey::varchar, '|' order by o_orderkey::varchar)) as h from orders group by 1)
+select sha256(string_agg(h, '|' order by part)) as tree_hash from p""")
+def split_tree_hash(spark, sf_dir):
+    """A hash of all order ids that is put together from parts."""
+    return files.tree_hash(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id")))

@@ -7,6 +7,8 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from .folders import checkpointed
 from pyspark.sql.window import Window
 
 
@@ -110,6 +112,46 @@ def write_report(summary: DataFrame, results: DataFrame, path: str) -> None:
     _framed(results, path, '{"summary": ' + summary.select(F.to_json(F.struct("*"))).first()[0] + ', "results": [', "]}")
 
 
+def _framed_parts(rows: DataFrame, path: str, head: str, tail: str) -> None:
+    """The lines of `_framed` as part files: one after another, in the order of their names, they are the document.
+
+    Each task writes its own rows; the first row of all has no comma before it, and the head and the tail are files of their own.
+    """
+    lines = checkpointed(rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")))
+    numbered = lines.withColumn("i", F.monotonically_increasing_id())  # grows with the partition, then with the row
+    first = numbered.agg(F.min("i")).first()[0]
+    body = numbered.select(F.when(F.col("i") == F.lit(first), F.col("value")).otherwise(F.concat(F.lit(","), F.col("value"))).alias("value"))
+    end = lambda text: rows.sparkSession.createDataFrame([(text,)], "value string").coalesce(1)
+    end(head).union(body).union(end(tail)).write.mode("errorifexists").text(path)
+
+
+def write_array_parts(df: DataFrame, path: str) -> None:
+    """A JSON array in part files; `cat path/part-*` is the array, a row in each line."""
+    _framed_parts(df, path, "[", "]")
+
+
+def rewrite_as_array_parts(spark: SparkSession, source: str, path: str, schema: str) -> None:
+    """JSON lines to a JSON array in part files, each task on its own."""
+    write_array_parts(read_jsonl(spark, source, schema), path)
+
+
+def read_array_parts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of part files of a JSON array or of a report's results, by any number of tasks; lines of the frame are none."""
+    lines = spark.read.text(path).where(~F.col("value").isin("[", "]", "]}") & ~F.col("value").endswith(": ["))
+    return lines.select(F.from_json(F.regexp_replace("value", "^,", ""), schema).alias("r")).select("r.*")
+
+
+def write_report_parts(summary: DataFrame, results: DataFrame, path: str) -> None:
+    """One JSON document of a summary (one row) and the results (a list), in part files."""
+    _framed_parts(results, path, '{"summary": ' + summary.select(F.to_json(F.struct("*"))).first()[0] + ', "results": [', "]}")
+
+
+def read_report_summary(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The summary of a report in part files."""
+    head = spark.read.text(path).where(F.col("value").startswith('{"summary": ') & F.col("value").endswith(', "results": ['))
+    return head.select(F.from_json(F.regexp_extract("value", '^\\{"summary": (.*), "results": \\[$', 1), schema).alias("s")).select("s.*")
+
+
 def write_json_document(df: DataFrame, path: str) -> None:
     """Each row as an indented JSON document."""
     df.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).write.mode("errorifexists").text(path)
@@ -134,6 +176,18 @@ def joined_hash(ids: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(F.max("split_hash"), F.lit(hashlib.sha256().hexdigest())).alias("split_hash"))  # one row, also without ids
 
 
+def tree_hash(ids: DataFrame, digits: int = 3) -> DataFrame:
+    """(tree_hash): a hash of a set of ids (one string column) that parts can be put together for; nulls are left out.
+
+    Ids are dealt by the first `digits` hex digits of their SHA-256. A part's hash is the SHA-256 of its ids, sorted and joined by |; the result
+    is the SHA-256 of the parts' hashes in the order of their digits, joined by |. A task holds one part of 16 ** digits; the last step has a row for each part.
+    """
+    name = ids.columns[0]
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    parts = ids.where(F.col(name).isNotNull()).groupBy(F.substring(sha(F.col(name)), 1, digits).alias("part")).agg(sha(F.array_join(F.array_sort(F.collect_list(name)), "|")).alias("h"))
+    return parts.agg(sha(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda p: p["h"]), "|")).alias("tree_hash"))
+
+
 def manifest(split: DataFrame, seed: int) -> DataFrame:
     """One row: seed, sizes of train, val and test, SHA-256 over the sorted ids, and the date."""
     size = lambda s: F.count_if(F.col("split") == s).alias(s)

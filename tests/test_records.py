@@ -184,3 +184,44 @@ def test_work_folder(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     a, b = folders.work_folder(spark, "x"), folders.work_folder(spark, "x")
     assert a != b and a.startswith(base)
+
+
+def test_array_parts_are_one_document(spark, tmp_path):
+    """Part files, one after another, are the JSON document; several tasks write and read them."""
+    import glob
+    import json
+
+    from scorewright.sources import files
+
+    rows = [(k, None if k % 7 == 0 else f"é {k} [ ] \n, {{", "]") for k in range(100)]
+    df = spark.createDataFrame(rows, "id long, text string, value string").repartition(6)
+    for name, part in (("all", df), ("none", df.limit(0)), ("one", df.where("id = 3"))):
+        path = str(tmp_path / name)
+        files.write_array_parts(part, path)
+        names = sorted(glob.glob(f"{path}/part-*"))
+        assert len(names) > 3 or name != "all"
+        got = json.loads("".join(open(f, encoding="utf-8").read() for f in names))
+        want = sorted(tuple(r) for r in part.collect())
+        assert sorted((r["id"], r["text"], r["value"]) for r in got) == want
+        assert sorted(tuple(r) for r in files.read_array_parts(spark, path, "id long, text string, value string").collect()) == want
+    path = str(tmp_path / "report")
+    files.write_report_parts(spark.createDataFrame([(100, "a: [")], "n long, s string"), df, path)
+    whole = json.loads("".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{path}/part-*"))))
+    assert whole["summary"] == {"n": 100, "s": "a: ["} and len(whole["results"]) == 100
+    assert tuple(files.read_report_summary(spark, path, "n long, s string").first()) == (100, "a: [") and files.read_array_parts(spark, path, "id long").count() == 100
+
+
+def test_tree_hash_of_sets(spark):
+    import hashlib
+
+    from scorewright.sources import files
+
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    ids = [f"id{k}" for k in range(500)] + ["", "é"]
+    parts = {}
+    for i in ids:
+        parts.setdefault(sha(i)[:2], []).append(i)
+    want = sha("|".join(sha("|".join(sorted(parts[p]))) for p in sorted(parts)))
+    df = spark.createDataFrame([(i,) for i in [*ids, None]], "id string")
+    assert {files.tree_hash(df.repartition(n), 2).first()[0] for n in (1, 5)} == {want}
+    assert files.tree_hash(df.limit(0)).first()[0] == sha("")
