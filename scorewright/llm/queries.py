@@ -91,6 +91,19 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: What a sequence of instruction data holds: tokens, segments, loss-bearing tokens; tokens that may stay empty.
+INSTRUCTIONS = vector_packing.Limits(1024, 4, 900, spare=64)
+
+
+def instruction_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 on instruction data: each assistant turn after the turn before it, under limits that all bind. doc_id is conv_id * 2^24 + turn."""
+    turns = table(spark, sf_dir, "conversations")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
+    pairs = turns.where("role = 'assistant'").join(before, ["conv_id", "turn"], "left")
+    rows = pairs.select((F.col("conv_id") * (1 << 24) + F.col("turn")).alias("doc_id"), "prompt", F.col("text").alias("answer"))
+    return vector_packing.pack_pairs(rows, tokenizer_path("byte_bpe_50k.json"), INSTRUCTIONS, ids=False).drop("ids")
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,7 +112,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_language_id, op2_substring_dedup, op3_imatch, op4_token_counts, op5_token_packs, op6_vector_packing, op7_simhash, op8_decontamination, op9_license_scan, op10_quality, op11_source_divergence, op12_sentencepiece, op13_importance_resampling)
-    return {f.__name__: f for f in ops} | {"pipeline": _pipeline}
+    return {f.__name__: f for f in ops} | {"instruction_packs": instruction_packs, "pipeline": _pipeline}
 
 
 def license_sql() -> str:

@@ -29,11 +29,15 @@ PIECES_SQL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens l
 
 @dataclass(frozen=True)
 class Limits:
-    """What one sequence holds: tokens, segments, loss-bearing tokens. loss None: all tokens bear loss, no own limit."""
+    """What one sequence holds: tokens, segments, loss-bearing tokens. loss None: all tokens bear loss, no own limit.
+
+    spare: tokens that may stay empty in a sequence rather than that an example is cut which an empty sequence would hold.
+    """
 
     tokens: int = 1024
     segments: int = 64
     loss: int | None = None
+    spare: int = 0
 
 
 #: Examples that wait in a task, and those left when more are read.
@@ -95,6 +99,8 @@ class Packer:
                 k = int(np.argmax(np.where(fits, score, -1)))
                 n = int(need[0, k])
             else:
+                if bin_ and room[0] <= self.limits.spare and not ((need[0] > self.cap[0]) | (need[2] > self.cap[2])).any():
+                    break
                 k = int(np.argmax(need[0]))
                 n = self.cut(self.items[k], room)
                 if n <= 0:
@@ -123,17 +129,36 @@ class Packer:
         self.next += 1
 
 
-def _pack(path: str, limits: Limits, end_id: int, with_ids: bool, loss: str):
+def _document(encode, end_id: int, loss: str):
+    """Ids and loss marks of a row (doc_id, text)."""
+
+    def of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.append(encode(text), np.uint32(end_id))
+        bears = np.ones(len(ids), np.int64)
+        if loss == "predicted":
+            bears[0] = 0
+        return ids, bears
+
+    return of
+
+
+def _pair(encode, end_id: int):
+    """Ids and loss marks of a row (doc_id, prompt, answer): the answer and its end bear loss."""
+
+    def of(prompt: str | None, answer: str | None) -> tuple[np.ndarray, np.ndarray]:
+        parts = encode(prompt), encode(answer), np.array([end_id], np.uint32)
+        return np.concatenate(parts), np.repeat([0, 1, 1], [len(p) for p in parts])
+
+    return of
+
+
+def _pack(path: str, limits: Limits, with_ids: bool, example):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(path).ids
+        of = example(byte_bpe(path).ids)
         packer = Packer(limits, TaskContext.get().partitionId() << 36, with_ids)
         for b in batches:
-            for doc, text in zip(b.column(0), b.column(1), strict=True):
-                ids = np.append(encode(text.as_py()), np.uint32(end_id))
-                bears = np.ones(len(ids), np.int64)
-                if loss == "predicted":
-                    bears[0] = 0
-                packer.add(doc.as_py(), ids, bears)
+            for doc, *texts in zip(*b.columns, strict=True):
+                packer.add(doc.as_py(), *of(*(t.as_py() for t in texts)))
                 if len(packer.out) > 5000:
                     yield batch(PIECES, *map(list, zip(*packer.out, strict=True)))
                     packer.out = []
@@ -153,4 +178,14 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int
     is unique in a run and depends on how the input is split into tasks. An empty table gives an empty result.
     """
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return own.mapInArrow(_pack(tokenizer, limits, end_id, ids, loss), PIECES_SQL)
+    return own.mapInArrow(_pack(tokenizer, limits, ids, lambda encode: _document(encode, end_id, loss)), PIECES_SQL)
+
+
+def pack_pairs(pairs: DataFrame, tokenizer: str, limits: Limits, end_id: int = 0, ids: bool = True) -> DataFrame:
+    """`pack` for instruction data: rows (doc_id, prompt, answer), of which the answer's tokens and end_id bear loss.
+
+    A sequence holds at most so many tokens, segments and loss-bearing tokens; null prompts and answers are empty. Repeated rows and null ids are
+    packed each by itself; an empty table gives an empty result.
+    """
+    own = pairs.select(F.col("doc_id").cast("long"), F.col("prompt").cast("string"), F.col("answer").cast("string"))
+    return own.mapInArrow(_pack(tokenizer, limits, ids, lambda encode: _pair(encode, end_id)), PIECES_SQL)

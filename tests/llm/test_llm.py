@@ -654,3 +654,40 @@ def test_rows_without_id_do_not_gather(spark):
     assert sum(sizes) == 4000 and max(sizes) < 1000
     got = out.select("row.doc_id", "kept.n_removed").collect()
     assert all((r.n_removed == 0) == (r.doc_id in (None, 1)) for r in got)
+
+
+def test_instruction_packs_keep_three_limits(spark):
+    """Prompts bear no loss; every limit holds and binds, on odd rows and on all conversations."""
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choice(["a", "bank", "holds", "capital"]) for _ in range(n))
+    rows = [(k, words(rng.choice([5, 60])), words(rng.choice([0, 3, 50]))) for k in range(200)] + [(None, None, None), (1, "", "x"), (1, "", "x"), (300, words(500), words(500)), (301, words(400), None)]
+    df = spark.createDataFrame(rows, "doc_id long, prompt string, answer string").repartition(3)
+    limits = vector_packing.Limits(128, 3, 64)
+    got = vector_packing.pack_pairs(df, BPE, limits).collect()
+    bpe = byte_bpe(BPE)
+    want = sorted((i if i is not None else -1, len(bpe.ids(q)) + len(bpe.ids(a)) + 1, len(bpe.ids(a)) + 1) for i, q, a in rows)
+    whole = {}
+    for r in got:
+        key = r.doc_id if r.doc_id is not None else -1
+        n, loss = whole.get(key, (0, 0))
+        whole[key] = (n + r.length, loss + r.loss_tokens)
+    assert whole == {i: tuple(sum(w[k] for w in want if w[0] == i) for k in (1, 2)) for i, *_ in want}
+    hold(got, limits)
+    assert vector_packing.pack_pairs(df.limit(0), BPE, limits).count() == 0
+    from scorewright.llm.queries import INSTRUCTIONS
+
+    full = hold(queries()["instruction_packs"](spark, "/root/testdata/sf0.01").collect(), INSTRUCTIONS)
+    assert all(n > 0 for n in full)
+
+
+def hold(pieces, limits):
+    """Sequences that are at each limit (within a hundredth); none is above one."""
+    sequences, full = {}, [0, 0, 0]
+    for r in pieces:
+        sequences.setdefault(r.sequence_id, []).append(r)
+    for rs in sequences.values():
+        used = (sum(r.length for r in rs), len(rs), sum(r.loss_tokens for r in rs))
+        assert used[0] <= limits.tokens and used[1] <= limits.segments and used[2] <= limits.loss
+        for k, (u, most) in enumerate(zip(used, (limits.tokens, limits.segments, limits.loss), strict=True)):
+            full[k] += u > 0.99 * most
+    return full
