@@ -1,9 +1,9 @@
 """Language identification with error-correcting output codes.
 
 Each language has a codeword of +1/-1; one binary classifier for each bit reads hashed character n-grams (1 to 3 letters,
-lower case, one blank between words). The classifiers are ridge classifiers, fitted at once on a bounded sample of
-labelled documents. Decoding adds the exponential loss of every bit's margin and takes the codeword of the least loss; the
-score is that codeword's share of exp(-loss), and a small gap to the second best flags ambiguity. A text is rejected if its
+lower case, one blank between words). The classifiers are ridge classifiers on a bounded sample of
+labelled documents, each on one of `SUBSETS` random halves of the dimensions, so that not all bits err on the same text and the code can correct those that do. Decoding adds the exponential loss of every bit's margin and takes the codeword of the least loss; the
+score is that codeword's share of exp(-loss), and a gap to the second best as small as that of the least sure fitted rows flags ambiguity. A text is rejected if its
 n-grams are rarer in every language than those of that language's own sample (mean -log frequency, with an allowance
 for short texts): the loss of the nearest codeword can't tell, as a text of an unlearned language may lie close to one. With few languages the
 code has every split of them once (up to 7 languages: 63 bits); with more, random splits with distinct codewords, whose
@@ -31,8 +31,10 @@ from .blocks import batch, checkpointed, filtered
 DIMS, SAMPLE, ROWS = 4096, 300, 20_000
 #: The most that a row of a rare language weighs more than the average row.
 HEAVIEST = 20.0
-#: Ambiguity gap; margin scale.
-AMBIGUOUS, SHARPNESS = 0.05, 4.0
+#: Share of the fitted rows that are ambiguous by their gap; bounds of that gap; margin scale.
+UNSURE, AMBIGUOUS, MOST_AMBIGUOUS, SHARPNESS = 0.002, 0.05, 0.3, 4.0
+#: Random halves of the dimensions; a bit's classifier reads one of them.
+SUBSETS = 8
 #: Rejection: standard errors allowed for a text's length; share of labelled rows that stay; nats above those; smoothing of frequencies.
 ERRORS, STAY, SLACK, SMOOTH = 4.0, 0.99, 0.5, 0.02
 #: Characters read at a time; longer texts go by themselves.
@@ -123,6 +125,8 @@ class Model:
     rarity: np.ndarray
     limit: np.ndarray
     spread: np.ndarray
+    #: A smaller gap between the best and the second codeword is ambiguous.
+    gap: float = 0.0
 
     def margins(self, g: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, self.weights.shape[1]))
@@ -154,7 +158,7 @@ class Model:
         share /= share.sum()
         order = np.argsort(loss, kind="stable")
         gap = 1.0 if len(order) < 2 else share[order[0]] - share[order[1]]
-        return int(order[0]), float(share[order[0]]), bool(gap < AMBIGUOUS)
+        return int(order[0]), float(share[order[0]]), bool(gap < self.gap)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool, bool]]:
         """Language, score, ambiguous, rejected. No letters: `und`, score 0, rejected."""
@@ -230,18 +234,48 @@ def fit(x: np.ndarray, langs: list[str], sizes: np.ndarray, ridge: float = 1e-3)
     mean = z.mean(axis=0)
     z -= mean
     centre = (w[:, None] * y).sum(axis=0) / w.sum()
-    damp = ridge * max(float(np.einsum("ij,ij->", z, z, dtype=np.float64)), 1e-9) / len(langs)
-    if len(z) <= DIMS:
-        weights = z.T.astype(np.float64) @ np.linalg.solve((z @ z.T).astype(np.float64) + np.diag(damp / w), y - centre)
-    else:
-        gram, right = damp * np.eye(DIMS), np.zeros((DIMS, y.shape[1]))
-        for s in range(0, len(z), 2048):
-            part = z[s : s + 2048].astype(np.float64)
-            heavy = part * w[s : s + 2048, None]
-            gram += heavy.T @ part
-            right += heavy.T @ (y[s : s + 2048] - centre)
-        weights = np.linalg.solve(gram, right)
-    return Model(names, code, (weights * scale[:, None]).astype(np.float32), centre - mean @ weights, np.array(rare, np.float32).T.copy(), np.array(limit), np.array(spread))
+    weights, few = np.zeros((DIMS, y.shape[1])), len(z) <= DIMS
+    for group, some in enumerate(subsets()):
+        bits = np.arange(group, y.shape[1], SUBSETS)
+        if len(bits):
+            weights[np.ix_(some, bits)] = solved(z[:, some], y[:, bits] - centre[bits], w, ridge, few)
+    own = z @ weights + centre
+    gaps = gaps_of(code, own)
+    gap = float(np.clip(np.quantile(gaps, UNSURE), AMBIGUOUS, MOST_AMBIGUOUS)) if len(names) > 1 else 0.0
+    return Model(names, code, (weights * scale[:, None]).astype(np.float32), centre - mean @ weights, np.array(rare, np.float32).T.copy(), np.array(limit), np.array(spread), gap)
+
+
+def subsets(seed: int = 11) -> np.ndarray:
+    """Dimensions that the classifiers of a group of bits read: a random half each, so that the bits of a text err apart from each other."""
+    rng = np.random.default_rng(seed)
+    return np.array([np.sort(rng.permutation(DIMS)[: DIMS // 2]) for _ in range(SUBSETS)])
+
+
+def solved(z: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float, few: bool) -> np.ndarray:
+    """Ridge weights of centred columns z for targets y, rows weighing w; over the rows if they are few, else over the dimensions."""
+    damp = ridge * max(float(np.einsum("ij,ij->", z, z, dtype=np.float64)), 1e-9) / z.shape[0]
+    if few:
+        return z.T.astype(np.float64) @ np.linalg.solve((z @ z.T).astype(np.float64) + np.diag(damp / w), y)
+    gram, right = damp * np.eye(z.shape[1]), np.zeros((z.shape[1], y.shape[1]))
+    for s in range(0, z.shape[0], 2048):
+        part = z[s : s + 2048].astype(np.float64)
+        heavy = part * w[s : s + 2048, None]
+        gram += heavy.T @ part
+        right += heavy.T @ y[s : s + 2048]
+    return np.linalg.solve(gram, right)
+
+
+def gaps_of(code: np.ndarray, margins: np.ndarray) -> np.ndarray:
+    """How much larger the best codeword's share is than the second's, for each row of margins."""
+    out = np.ones(len(margins))
+    for s in range(0, len(margins), 256):
+        loss = np.exp(-np.clip(SHARPNESS * code[None] * margins[s : s + 256, None], -30, 30)).mean(axis=2)
+        share = np.exp(-(loss - loss.min(axis=1)[:, None]))
+        share /= share.sum(axis=1)[:, None]
+        if code.shape[0] > 1:
+            top = np.sort(share, axis=1)
+            out[s : s + 256] = top[:, -1] - top[:, -2]
+    return out
 
 
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -123,3 +123,30 @@ def test_long_texts_go_piece_by_piece(spark, many, monkeypatch):
     for t, w in zip(texts, want, strict=True):
         got = model.predict([t])[0]
         assert (got[0], *got[2:]) == (w[0], *w[2:]) and abs(got[1] - w[1]) < 1e-6
+
+
+def test_the_code_corrects_bits_that_err(spark):
+    """On short texts of like languages single bits are wrong more often than the decoded language."""
+    rng = random.Random(9)
+    alphabets = {f"l{k}": "".join(rng.sample("abcdefghijklmn", 9)) for k in range(6)}
+    rows = [(k, made(rng, a, 120), n) for k, (n, a) in enumerate(list(alphabets.items()) * 12)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    texts = [(n, made(rng, a, 6)) for n, a in alphabets.items() for _ in range(60)]
+    g, own, _ = langid.grams([t for _, t in texts])
+    margins = model.margins(g, own, len(texts))
+    want = np.array([model.languages.index(n) for n, _ in texts])
+    wrong_bits = (np.sign(margins) != model.code[want]).any(axis=1)
+    wrong = np.array([model.decoded(m)[0] for m in margins]) != want
+    assert wrong_bits.sum() >= 20 and wrong.sum() < 0.5 * wrong_bits.sum()
+    assert np.linalg.matrix_rank(model.weights.astype(float)) > 5  # bits are no linear mixes of one classifier for each language
+
+
+def test_mixed_texts_are_ambiguous(spark, many):
+    _, names = many
+    rng = random.Random(10)
+    a, b = sorted(names)[:2]
+    rows = [(k, made(rng, names[n], 120), n) for k, n in enumerate([a, b] * 30)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    clear = model.predict([made(rng, names[n], 100) for n in (a, b) for _ in range(20)])
+    mixed = model.predict([" ".join(made(rng, names[n], 1) for _ in range(60) for n in (a, b)) for _ in range(20)])
+    assert sum(r[2] for r in clear) == 0 and sum(r[2] for r in mixed) >= 5
