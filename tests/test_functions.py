@@ -171,30 +171,3 @@ def test_topics_go_to_the_nearest_kept_centroid(spark):
     assert len({got[i]["topic"] for i in range(60)}) == 3 and all(got[i]["topic"] == got[i % 3]["topic"] for i in range(60))
     assert got[60]["moved"] and got[60]["topic"] >= 0
     assert clusters(df.where("id > 99"), "v", 4, 5).collect() == []
-
-
-def test_a_text_of_very_many_citations(spark):
-    """20,000 citations in one text: places, carried instruments and first keys without work that grows with their square."""
-    import time
-
-    from scorewright.functions import citations as C
-
-    parts = [f"Article {k % 4000} of CRR; then Article {k}(2) applies. " if k % 3 else f"Article {k} MiFID II, " for k in range(10_000)]
-    df = spark.createDataFrame([(1, "".join(parts)), (2, None), (3, "no citation")], "id int, text string")
-    began = time.time()
-    got = {r.id: r for r in C.with_citations(C.with_spans(df, "text", "s"), "text", "c").collect()}
-    assert time.time() - began < 60
-    text, spans = "".join(parts), got[1].s
-    assert len(spans) > 16_000 and all(text[s.start : s.end] == s.text for s in spans)
-    keys = [c.key for c in got[1].c]
-    assert len(keys) == len(set(keys)) and len(got[2].c) == len(got[3].c) == 0
-    last, want = "", []
-    for s in spans:  # the same by a plain loop
-        if s.kind != "article":
-            last = {"MIFIDII": "MIFIDII"}.get(s.text.upper().replace(" ", ""), s.text.upper().replace(" ", ""))
-            key = last
-        else:
-            key = last + (f":art{s.g1.lower()}" if s.g1 else "") + (f":({s.g2})" if s.g2 else "")
-        if key not in want[-1:] and key not in set(want):
-            want.append(key)
-    assert [k.upper() for k in keys] == [k.upper() for k in dict.fromkeys(want)]
