@@ -201,7 +201,8 @@ def any_known() -> str:
     """A pattern of whole lines that are a known sentence together, the longest first."""
     forms = sorted((f for forms in SENTENCES.values() for f in forms if not f.startswith(SPDX_LINE)), key=lambda f: (-len(f), f))
     names = "|".join(form_pattern(w, "[ \n]") for w in sorted(spdx_words(), key=lambda w: (-len(w), w)))
-    return f"(?m)^(?:{SPDX_LINE}(?: (?:{names}))+|" + "|".join(form_pattern(f, "[ \n]") for f in forms) + ")$"
+    line = SPDX_LINE.replace(" ", "[ \n]")
+    return f"(?m)^(?:{line}[ \n](?:{names})(?: (?:{names}))*|" + "|".join(form_pattern(f, "[ \n]") for f in forms) + ")$"
 
 
 def known() -> Column:
