@@ -55,17 +55,73 @@ def ordered_ranks(rows: DataFrame, key: str, by: list[str], value: str, descendi
     return cell_ranks(rows, by, {"_v": F.col(value), "_c": cell}, [F.col(key)], [level, F.col("_c")]).drop("_lo", "_hi")
 
 
+#: Rows of a table of cut points that every task may carry; a larger one is joined by an exchange on the groups.
+CARRIED = 100_000
+
+
+def _few(table: DataFrame) -> bool:
+    return table.limit(CARRIED + 1).count() <= CARRIED
+
+
+def _beside(rows: DataFrame, table: DataFrame, by: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """rows joined with a table on the columns `by`, null like any other value; few: every task may carry the table."""
+    named = table.withColumnsRenamed({c: f"_by{i}" for i, c in enumerate(by)})
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & rows[c].eqNullSafe(named[f"_by{i}"])
+    return rows.join(F.broadcast(named) if few else named, same, how).drop(*(f"_by{i}" for i in range(len(by))))
+
+
+def _located(counts: DataFrame, want: DataFrame, by: list[str], part: str, few: bool) -> DataFrame:
+    """For each wanted place (by, cut, n) the part of its group that holds it, and the place within that part. counts: by, part, _n."""
+    up_to = F.sum("_n").over(Window.partitionBy(*by).orderBy(part))
+    return _beside(counts.withColumn("_up", up_to), want, by, few).where("n <= _up and n > _up - _n").select(*by, "cut", part, (F.col("n") - F.col("_up") + F.col("_n")).alias("n"))
+
+
+def cut_points(rows: DataFrame, key: str, by: list[str], wanted: Callable[[DataFrame], DataFrame], seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(sizes, points): by, size of each group; by, cut, point: the (draw, key) of the row at a place of a group in draw order.
+
+    wanted(sizes) gives by, cut, n: the places, from 1; others have no point. No row moves: rows are counted where they are in CELLS cells of
+    the draw, then the rows of the cells that hold a wanted place by their draw, then keys of a wanted draw (one in RANGE of a group) are
+    ranked. Rows without a key are left out.
+    """
+    slim = rows.where(F.col(key).isNotNull()).select(*by, F.col(key).alias("_k"), draw(F.col(key), seed).alias("_d")).withColumn("_c", F.floor(F.col("_d") * CELLS / RANGE))
+    counts = checkpointed(slim.groupBy(*by, "_c").agg(F.count("*").alias("_n")))
+    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("size"))
+    want = checkpointed(wanted(sizes).where("n >= 1").select(*by, "cut", F.col("n").cast("long").alias("n")))
+    few, place = _few(want), by  # a wanted place is in one cell, one draw and one key: no later table is larger
+    for part, inner in (("_c", "_d"), ("_d", "_k"), ("_k", None)):
+        want = checkpointed(_located(counts, want, place, part, few))
+        place = [*place, part]
+        if inner:
+            counts = _beside(slim, want.select(*place).distinct(), place, few).groupBy(*place, inner).agg(F.count("*").alias("_n"))
+    return sizes, want.select(*by, "cut", F.struct("_d", "_k").alias("point"))
+
+
+def cut_rows(rows: DataFrame, key: str, by: list[str], points: DataFrame, cuts: list[str], seed: int = 42) -> DataFrame:
+    """rows with a key, and for each cut a boolean column: whether the row lies at its place or before, false where the cut has no point."""
+    wide = points.groupBy(*by).agg(*(F.max(F.when(F.col("cut") == c, F.col("point"))).alias(f"_{c}") for c in cuts))
+    own = F.struct(draw(F.col(key), seed).alias("_d"), F.col(key).alias("_k"))
+    joined = _beside(rows.where(F.col(key).isNotNull()), wide, by, _few(points), "left")
+    return joined.select(*rows.columns, *(F.coalesce(own <= F.col(f"_{c}"), F.lit(False)).alias(c) for c in cuts))
+
+
+def _places(by: list[str], **places: Column) -> Callable[[DataFrame], DataFrame]:
+    """The places of each group, of its size."""
+    return lambda sizes: sizes.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("cut"), n.cast("long").alias("n")) for c, n in places.items()))).alias("x")).select(*by, "x.*")
+
+
 def stratified_split(rows: DataFrame, key: str, stratum: str, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
-    """rows with `split`: exact shares of each stratum."""
-    r = hash_ranks(rows, key, [stratum], seed)
-    a, b = F.floor(F.col("size") * train), F.floor(F.col("size") * (train + val))
-    return r.withColumn("split", F.when(F.col("rank") <= a, "train").when(F.col("rank") <= b, "val").otherwise("test")).drop("rank", "size")
+    """rows with `split`: exact shares of each stratum (null is one). Keys are unique; rows stay where they are."""
+    _, points = cut_points(rows, key, [stratum], _places([stratum], _train=F.floor(F.col("size") * train), _val=F.floor(F.col("size") * (train + val))), seed)
+    r = cut_rows(rows, key, [stratum], points, ["_train", "_val"], seed)
+    return r.withColumn("split", F.when(F.col("_train"), "train").when(F.col("_val"), "val").otherwise("test")).drop("_train", "_val")
 
 
 def held_out(rows: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
-    """rows with `split`: `eval` for an exact share (rounded up) of all rows in draw order, else `train`."""
-    r = hash_ranks(rows, key, [], seed)
-    return r.withColumn("split", F.when(F.col("rank") <= F.ceil(F.col("size") * share), "eval").otherwise("train")).drop("rank", "size")
+    """rows with `split`: `eval` for an exact share (rounded up) of all rows in draw order, else `train`. Keys are unique; rows stay where they are."""
+    _, points = cut_points(rows, key, [], _places([], _eval=F.ceil(F.col("size") * share)), seed)
+    return cut_rows(rows, key, [], points, ["_eval"], seed).withColumn("split", F.when(F.col("_eval"), "eval").otherwise("train")).drop("_eval")
 
 
 def sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -78,13 +134,24 @@ def weighted_sample(rows: DataFrame, key: str, group: str, weights: DataFrame, t
 
     weights(group, w) has a row for each group; W is the sum over groups that occur.
     """
-    pools = hash_ranks(rows, key, [group], seed)
-    sizes = rows.groupBy(group).agg(F.count("*").alias("pool")).join(weights, group)
+    def wanted(sizes: DataFrame) -> DataFrame:
+        n = F.when(F.col("places") <= F.col("pool"), F.col("places")).otherwise(F.col("places") % F.col("pool"))
+        return _wanted(sizes, group, weights, target).select(group, F.lit("_more").alias("cut"), n.alias("n"))
+
+    sizes, points = cut_points(rows, key, [group], wanted, seed)
+    want = _wanted(sizes, group, weights, target)
+    picked = _beside(cut_rows(rows, key, [group], points, ["_more"], seed), want, [group], _few(want))
+    every = F.when(F.col("places") > F.col("pool"), F.floor(F.col("places") / F.col("pool"))).otherwise(0)
+    picked = picked.withColumn("_t", every + F.col("_more").cast("long")).where("_t > 0")
+    return picked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_t")))).select(*rows.columns, "copy")
+
+
+def _wanted(sizes: DataFrame, group: str, weights: DataFrame, target: int) -> DataFrame:
+    """group, pool, places: max(1, round(w / W * target)) rows of each group that occurs and has a weight."""
+    sizes = sizes.withColumnRenamed("size", "pool").join(weights, group)
     total = sizes.agg(F.sum("w").alias("total"))
-    want = sizes.crossJoin(total).select(group, "pool", F.greatest(F.lit(1), F.bround(F.col("w") / F.col("total") * target)).cast("long").alias("n"))  # one row of totals
-    times = F.when(F.col("n") <= F.col("pool"), (F.col("rank") <= F.col("n")).cast("long")).otherwise(F.floor(F.col("n") / F.col("pool")) + (F.col("rank") <= F.col("n") % F.col("pool")).cast("long"))
-    picked = pools.drop("size").join(want, group).withColumn("_t", times).where("_t > 0")
-    return picked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_t")))).drop("pool", "n", "rank", "_t")
+    want = sizes.crossJoin(total)  # one row of totals
+    return checkpointed(want.select(group, "pool", F.greatest(F.lit(1), F.bround(F.col("w") / F.col("total") * target)).cast("long").alias("places")))
 
 
 def weighted_draws(rows: DataFrame, key: str, group: str, weights: DataFrame, target: int, seed: int = 42) -> DataFrame:
@@ -93,11 +160,12 @@ def weighted_draws(rows: DataFrame, key: str, group: str, weights: DataFrame, ta
     Each of a group's n places is an independent draw, so a row may come often or never (n places of a multinomial). `copy` numbers a row's
     copies from 1. key is an integer, unique and not null; groups without a weight are left out.
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("pool")).join(weights, group)
-    total = sizes.agg(F.sum("w").alias("total"))
-    want = sizes.crossJoin(total).select(group, "pool", F.greatest(F.lit(1), F.bround(F.col("w") / F.col("total") * target)).cast("long").alias("places"))  # one row of totals
-    want = checkpointed(want)
-    once = hash_ranks(rows.join(want.where("places <= pool").select(group), group, "left_semi"), key, [group], seed).join(want, group).where("rank <= places")
+    def wanted(sizes: DataFrame) -> DataFrame:
+        return _wanted(sizes, group, weights, target).where("places <= pool").select(group, F.lit("_in").alias("cut"), F.col("places").alias("n"))
+
+    sizes, points = cut_points(rows, key, [group], wanted, seed)
+    once = cut_rows(rows, key, [group], points, ["_in"], seed).where("_in")
+    want = _wanted(sizes, group, weights, target)
     times = draws(rows, group, key, want.where("places > pool"), seed)
     often = rows.join(times, F.col(key) == F.col("k")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return once.select(*rows.columns, F.lit(1).cast("long").alias("copy")).unionByName(often.select(*rows.columns, "copy"))
