@@ -204,3 +204,32 @@ select id, candidate, {_BARE("coalesce(b, b0)")} || {_CITED} || {_CLAIM} as corr
 def corrupt_all(spark, sf_dir):
     rows = X.combined(texts(spark, sf_dir).select("id", "candidate"), "candidate", "id", "corrupted", "applied")
     return rows.select("id", "candidate", "corrupted", F.array_join("applied", ",").alias("applied"))
+
+
+def planted(spark, sf_dir):
+    """(id, text): the whole documents with a template after each sentence, its number from the sentence's place."""
+    i = F.col("doc_id")
+    said = lambda k: F.replace(F.get(F.array(*map(F.lit, TEMPLATES)), F.pmod(i + k, F.lit(N)).cast("int")), F.lit("{n}"), (1 + k % 400).cast("string"))
+    pieces = F.transform(F.split(F.coalesce("text", F.lit("")), r"\. ", -1), lambda p, k: F.concat(p, F.lit(". "), said(k), F.lit(" ")))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(i.alias("id"), F.array_join(pieces, "").alias("text"))
+
+
+#: The same in SQL with patterns, ranks and numbers of its own, over text whose accented letters are x, as its matcher knows ASCII words only.
+PLANTED_SQL = f"""p as (select doc_id as id, array_to_string(list_transform(string_split(coalesce(text, ''), '. '), lambda s, k: s || '. ' || replace((['{"', '".join(TEMPLATES)}'])[1 + (doc_id + k - 1) % {N}], '{{n}}', (1 + (k - 1) % 400)::varchar) || ' '), '') as t from documents),
+plain as (select id, regexp_replace(t, '[À-ÖØ-öø-ɏ]', 'x', 'g') as t from p),
+forms(rank, form) as (values (0, 'regulation\\s+[(]eu[)]\\s+(?:no[.]?\\s+)?[0-9]{{3,4}}/[0-9]{{4}}'), (1, '\\bregulation\\s+[0-9]{{4}}/[0-9]{{1,4}}\\b'), (2, 'directive\\s+[0-9]{{4}}/[0-9]+/e[uc]'),
+  (3, 'art(?:icle)?[.]?\\s+[0-9]+[a-z]?(?:\\s*[(][0-9]+[)])?(?:\\s*[(][a-z0-9]+[)])?'), (4, '\\b(?:eba|esma|eiopa)/(?:gl|rec|its|rts|op|cp|bs)/[0-9]{{4}}/[0-9]+\\b'),
+  (5, '\\b(?:crr2?|brrd2?|mifid\\s*ii|mifir|emir|ucits\\s*v|aifmd|crdiv|mifid|ucits|crd\\s*iv|crd|psd2?|mar|bmr|ssr|sfdr|ecspr|dora)\\b')),
+cut as (select id, rank, regexp_extract_all(t, '(?i)' || form) as m, string_split_regex(t, '(?i)' || form) as g from plain cross join forms),
+hit as (select id, rank, unnest(m) as m, unnest(g[1:len(m)]) as g, generate_subscripts(m, 1) as i from cut where len(m) > 0),
+placed as (select id, rank, m, sum(length(g) + length(m)) over (partition by id, rank order by i) - length(m) as start from hit),
+numbers(num, acr) as (values ('575/2013', 'CRR'), ('2019/876', 'CRR2'), ('2013/36/EU', 'CRD'), ('2009/65/EC', 'UCITS'), ('600/2014', 'MIFIR'), ('2020/1503', 'ECSPR')),
+own as (select *, case when rank = 3 then null when rank in (4, 5) then upper(regexp_replace(m, '\\s+', '', 'g')) else coalesce(acr, upper(regexp_extract(m, '[^\\s]+$'))) end as own from placed left join numbers on rank < 3 and num = regexp_extract(m, '[^\\s]+$')),
+carried as (select *, coalesce(last_value(own ignore nulls) over (partition by id order by start, rank rows between unbounded preceding and current row), '') as act from own),
+keyed as (select id, start, act || case when rank = 3 then ':art' || lower(regexp_extract(m, '[0-9]+[A-Za-z]?')) || coalesce(array_to_string(list_transform(regexp_extract_all(m, '[(][0-9A-Za-z]+[)]'), lambda x: ':' || lower(x)), ''), '') else '' end as citation from carried)"""
+
+
+@query(f"with {PLANTED_SQL} select id, citation, min(start)::bigint as first_at, count(*) as mentions from keyed group by id, citation")
+def document_citations(spark, sf_dir):
+    """Citations planted in whole documents, with the place of the first mention and their number."""
+    return C.citation_rows(planted(spark, sf_dir), "id", "text")
