@@ -229,7 +229,7 @@ carried as (select *, coalesce(last_value(own ignore nulls) over (partition by i
 keyed as (select id, start, act || case when rank = 3 then ':art' || lower(regexp_extract(m, '[0-9]+[A-Za-z]?')) || coalesce(array_to_string(list_transform(regexp_extract_all(m, '[(][0-9A-Za-z]+[)]'), lambda x: ':' || lower(x)), ''), '') else '' end as citation from carried)"""
 
 
-@query(f"with {PLANTED_SQL} select id, citation, min(start)::bigint as first_at, count(*) as mentions from keyed group by id, citation")
+@query(f"with {PLANTED_SQL} select id, citation, min(start)::int as first_at, count(*) as mentions from keyed group by id, citation")
 def document_citations(spark, sf_dir):
     """Citations planted in whole documents, with the place of the first mention and their number."""
     return C.citation_rows(planted(spark, sf_dir), "id", "text")

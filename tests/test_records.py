@@ -70,7 +70,7 @@ def test_citations_planted_in_documents(spark):
 def test_citations_as_rows_are_those_of_arrays(spark):
     """Texts with many citations, none, nulls: rows agree with the arrays; 20,000 citations in a text are all found, in place."""
     plant = ["see Article 5(1)(b) of Regulation (EU) No 575/2013", "CRD IV", "EBA/GL/2017/12", "art. 7a MiFID II", "Mar\u00eda, Mar", "é UCITS V and Directive 2009/65/EC", "nothing"]
-    texts = [" ; ".join(plant[(i + k * k) % 7] + f" Art. {k % 9}" for k in range(3 * i)) for i in range(30)] + ["", "no citation", None]
+    texts = [" ; ".join(plant[(i + k * k) % 7] + f" Art. {k % 9}" for k in range(3 * i)) for i in range(30)] + ["", "no citation", None, "\x01CRR\x02\x01 Art. 5\x02(1)"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
     arrays = C.with_citations(C.with_spans(df, "t", "s"), "t", "c").select("id", "s", "c").collect()
     got = {tuple(r) for r in C.span_rows(df, "id", "t").collect()}
