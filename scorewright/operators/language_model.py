@@ -18,6 +18,7 @@ START, END = "<s>", "</s>"
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 #: The discount where counts of one and two don't give one.
 DISCOUNT = 0.75
+GRAMS = "array<struct<u:string,v:string,w:string>>"
 
 
 def tokens(text: Column) -> Column:
@@ -25,13 +26,21 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
+def once(value: Column) -> Column:
+    """value by a generator of one row: no later step is merged with it, so it is computed once a row."""
+    return F.explode(F.array(value))
+
+
 def trigrams(words: Column, first: Column | int = 0) -> Column:
-    """(u, v, w) for each word w from number `first` on, u and v being the words before it or START."""
+    """(u, v, w) for each word w from number `first` on, u and v being the words before it or START.
+
+    Without a lambda over the words: there Spark would compute `words` anew for each of its elements.
+    """
     padded = F.concat(F.array(F.lit(START), F.lit(START)), words)
-    index = F.sequence(F.lit(first) if isinstance(first, int) else first, F.size(words) - 1)
-    at = lambda i, k: F.get(padded, i + k)
-    grams = F.transform(index, lambda i: F.struct(at(i, 0).alias("u"), at(i, 1).alias("v"), at(i, 2).alias("w")))
-    return F.when(F.size(words) > (F.lit(first) if isinstance(first, int) else first), grams).otherwise(F.array().cast("array<struct<u:string,v:string,w:string>>"))
+    n = F.size(words)
+    grams = F.arrays_zip(padded, F.slice(padded, F.lit(2), n), F.slice(padded, F.lit(3), n)).cast(GRAMS)
+    first = F.lit(first) if isinstance(first, int) else first
+    return F.coalesce(F.slice(grams, first + 1, F.greatest(n - first, F.lit(0))), F.array().cast(GRAMS))
 
 
 @dataclass
@@ -56,7 +65,8 @@ def _discount(counts: DataFrame) -> float:
 
 def fit(texts: DataFrame, text: str) -> Model:
     """Count the texts; each begins with two START and ends with END. Null and empty texts are an END."""
-    grams = texts.select(F.explode(trigrams(F.concat(tokens(F.col(text)), F.array(F.lit(END))))).alias("g")).select("g.*")
+    words = texts.select(once(F.concat(tokens(F.col(text)), F.array(F.lit(END)))).alias("words"))
+    grams = words.select(F.explode(trigrams(F.col("words"))).alias("g")).select("g.*")
     three = checkpointed(grams.groupBy("u", "v", "w").agg(F.count("*").alias("n")))
     two = checkpointed(three.groupBy("v", "w").agg(F.count("*").alias("n")))
     one = checkpointed(two.groupBy("w").agg(F.count("*").alias("n")))
@@ -92,9 +102,10 @@ def score(model: Model, rows: DataFrame, key: list[str], prompt: str, completion
     0. Rows with one key are added up.
     """
     before, after = tokens(F.col(prompt)), tokens(F.col(completion))
-    words = F.concat(before, after)
-    grams = trigrams(F.slice(words, 1, most) if most else words, F.size(before))
-    own = rows.select(*key, F.explode(grams).alias("g")).groupBy(*key, "g.u", "g.v", "g.w").agg(F.count("*").alias("times"))
+    words = F.concat("_words.before", "_words.after")
+    grams = trigrams(F.slice(words, 1, most) if most else words, F.size("_words.before"))
+    split = rows.select(*key, once(F.struct(before.alias("before"), after.alias("after"))).alias("_words"))
+    own = split.select(*key, F.explode(grams).alias("g")).groupBy(*key, "g.u", "g.v", "g.w").agg(F.count("*").alias("times"))
     p = probabilities(model, own.select("u", "v", "w").distinct())
     sums = own.join(p, ["u", "v", "w"]).groupBy(*key).agg(F.sum("times").alias("n_tokens"), F.sum(F.col("times") * F.log("p")).alias("logprob"))
     named = sums.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), "n_tokens", "logprob")

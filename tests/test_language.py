@@ -77,6 +77,16 @@ def test_completions_are_scored_after_their_prompt(spark, model):
     assert L.score(model, df.limit(0), ["k"], "q", "u").count() == 0
 
 
+def test_trigrams_compute_their_words_once(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    for first in (0, 2, 9):
+        got = df.select("t", L.trigrams(L.tokens(df.t), first).alias("g"))
+        assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()  # in one, the words would be split anew for each of them
+        for t, grams in got.collect():
+            x = ["<s>", "<s>", *split(t)]
+            assert [tuple(g) for g in grams] == list(zip(x, x[1:], x[2:], strict=False))[first:]
+
+
 def test_an_empty_model_gives_every_word_the_same(spark):
     model = L.fit(spark.createDataFrame([], "text string"), "text")
     assert L.score(model, spark.createDataFrame([(1, "a", "b c")], "k int, q string, t string"), ["k"], "q", "t").first().logprob == 0.0
