@@ -41,8 +41,7 @@ class Outside:
         self.best = bound  # links above it are of no use
         self.link: dict[int, tuple[float, int, int]] = {}
 
-    def add(self, others: pa.RecordBatch) -> None:
-        ids, y, core, comp = others.column(0).to_numpy(), N.matrix(others.column(1)), others.column(5).to_numpy(), others.column(6).to_numpy()
+    def add(self, ids: np.ndarray, y: np.ndarray, core: np.ndarray, comp: np.ndarray) -> None:
         w = np.maximum(np.maximum(N.distances(self.x, y), self.core[:, None]), core)
         w[self.comp[:, None] == comp] = np.inf
         least = np.full(len(self.comps), np.inf)
@@ -50,7 +49,7 @@ class Outside:
         row, col = np.nonzero(w <= np.minimum(self.best, least)[self.of][:, None] * (1 + N.NEAR) + N.NEAR)
         if not len(row):
             return
-        w = np.maximum(np.maximum(N.exactly(self.x[row], y[col]), self.core[row]), core[col])
+        w = np.maximum(np.maximum(N.exact_pairs(self.x, row, y, col), self.core[row]), core[col])
         a, b, of = np.minimum(self.ids[row], ids[col]), np.maximum(self.ids[row], ids[col]), self.of[row]
         order = np.lexsort((b, a, w, of))
         for i in order[np.flatnonzero(np.r_[True, np.diff(of[order]) > 0])].tolist():

@@ -1,9 +1,10 @@
 """Exact nearest neighbours of vectors: cells around sampled pivots, bounds by the triangle inequality, blocks of distances in numpy.
 
-Every vector lies in the cell of its nearest pivot, and a cell in blocks of bounded size. A search has owners, each with a bound on the distance
-of what it looks for. A vector is sent to a cell only if it may lie within the bound of an owner there: if its distance from the
-cell's pivot is no more than the largest sum, over the cell's owners, of an owner's distance from the pivot and its bound. A task
-holds the owners of one block and reads what was sent to it in batches. So no pair of vectors is shuffled, and a vector is sent to a block once at most.
+Every vector lies in the cell of its nearest pivot. A block holds several cells that lie near each other, or part of a large one; its size is bounded. A search has owners, each with a bound on the distance
+of what it looks for. A vector meets a cell only if it may lie within the bound of an owner there: if its distance from the
+cell's pivot is no more than the largest sum, over the cell's owners, of an owner's distance from the pivot and its bound. It is sent to the
+blocks that have such a cell. A task holds the owners of one block by their cells and reads what was sent to it in batches; a table of distances has `AREA` numbers
+at most. So no pair of vectors is shuffled, and a vector is sent to a block once at most: where bounds rule nothing out, as many times as there are blocks, not cells.
 Only the pivots (`PIVOTS` at most) and one number for each cell come to the driver.
 """
 
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..sources.folders import checkpointed
 
-#: Pivots at most, owners of a block at most (about), vectors compared with a block at a time.
-PIVOTS, BLOCK, STEP = 1024, 16_384, 1024
+#: Pivots at most, owners of a block at most and at least (about), vectors compared with a cell at a time, numbers in a table at most (about).
+PIVOTS, BLOCK, SMALL, STEP, AREA = 1024, 16_384, 512, 1024, 1 << 20
 #: Distances that differ by less than this share may be equal: they are computed again from differences.
 NEAR = 1e-9
 POINT = "id long, x binary, cell int, block long, reach double, core double, comp long, bound double"
@@ -50,6 +51,12 @@ def exactly(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.add.accumulate(d * d, axis=1)[:, -1]) if d.shape[1] else np.zeros(len(d))
 
 
+def exact_pairs(x: np.ndarray, row: np.ndarray, y: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """exactly(x[row], y[col]) in pieces of bounded size: equal vectors may give as many pairs as there are."""
+    step = max(1, 2 * AREA // max(1, x.shape[1]))
+    return np.concatenate([exactly(x[row[k : k + step]], y[col[k : k + step]]) for k in range(0, max(1, len(row)), step)])
+
+
 @dataclass
 class Space:
     """Vectors in cells: points has the columns of POINT."""
@@ -57,9 +64,28 @@ class Space:
     points: DataFrame
     pivots: np.ndarray
     pivot_ids: np.ndarray
+    first: np.ndarray  # block of each cell, the first if it has more
     blocks: np.ndarray  # number of each cell
 
 
+def packed(pivots: np.ndarray, sizes: list[int], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each cell: small cells that follow each other from one to the nearest next share a block of `most` vectors."""
+    first, count = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    left, cell, block, filled = np.ones(len(sizes), bool), 0, -1, most
+    while True:
+        n, left[cell] = sizes[cell], False
+        if n > most:
+            first[cell], count[cell], filled = block + 1, -(-n // most), most
+            block += int(count[cell])
+        else:
+            if filled + n > most or block < 0:
+                block, filled = block + 1, 0
+            first[cell], filled = block, filled + n
+        if not left.any():
+            return first, count
+        cell = int(np.where(left, ((pivots - pivots[cell]) ** 2).sum(1), np.inf).argmin())
+
+
 def space(rows: DataFrame, key: str, vector: str, per_cell: int, pivots: int = PIVOTS, block: int = BLOCK) -> Space:
     """The usable vectors of rows in cells of `per_cell` or more on average. key is an integer, unique and not null."""
     own = rows.where(usable(rows, vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
@@ -79,40 +105,54 @@ def space(rows: DataFrame, key: str, vector: str, per_cell: int, pivots: int = P
 
     placed = checkpointed(own.repartition("id").mapInArrow(assign, "id long, x binary, cell int, far double"))
     counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # at most PIVOTS rows
-    blocks = np.array([max(1, -(-counts.get(c, 0) // block)) for c in range(max(1, want))])
-    first = np.cumsum(np.r_[0, blocks[:-1]])
+    # some for each core, as each costs a copy of the vectors that meet it
+    most = min(block, max(SMALL, n // (4 * rows.sparkSession.sparkContext.defaultParallelism)))
+    first, blocks = packed(p, [counts.get(c, 0) for c in range(len(p))], most) if len(p) else (np.zeros(1, np.int64), np.ones(1, np.int64))
     number = F.lit([int(v) for v in first])[F.col("cell")].cast("long") + F.pmod(F.xxhash64("id"), F.lit([int(v) for v in blocks])[F.col("cell")])
-    return Space(placed.withColumn("block", number), p, ids, blocks)
+    return Space(placed.withColumn("block", number), p, ids, first, blocks)
 
 
 def search(s: Space, owners: DataFrame, others: DataFrame, work: Callable, out: str, own_block: bool = False) -> DataFrame:
-    """work(owners, batches of others) for each block, as rows of the schema out.
+    """work(owners), fed with others by add(ids, x, core, comp), for each cell of each block, as rows of the schema out.
 
     owners and others have the columns of POINT (others' reach and bound are not read); owners' reach is the distance
-    that their cell's pivot may have from what they look for. own_block: others are sent to their own block only.
+    that their cell's pivot may have from what they look for. own_block: others are sent to their own block only and meet all of its cells.
     """
-    count, first = s.blocks, np.cumsum(np.r_[0, s.blocks[:-1]])
     reach = np.full(len(s.blocks), -1.0)
     if not own_block:
         for r in owners.groupBy("cell").agg(F.max("reach").alias("r")).collect():  # at most PIVOTS rows
             reach[r["cell"]] = r["r"]
     p, names = s.pivots, [f.split()[0] for f in POINT.split(", ")]
+    order = np.argsort(s.first, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(s.first[order]) > 0])  # cells that share a block, or a cell with several
+    first, count = s.first[order][starts], s.blocks[order][starts]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, STEP):
                 part = b.slice(k, STEP)
-                d = distances(matrix(part.column(1)), p)
-                row, cell = np.nonzero(d <= reach * (1 + NEAR) + NEAR)
-                times = count[cell]
-                row, to = np.repeat(row, times), np.repeat(first[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                got = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(to) if n == "block" else got.column(j) for j, n in enumerate(names)] + [pa.array(np.ones(len(row), np.int32))], names=[*names, "role"])
+                may = distances(matrix(part.column(1)), p) <= reach * (1 + NEAR) + NEAR
+                row, group = np.nonzero(np.logical_or.reduceat(may[:, order], starts, axis=1))
+                times = count[group]
+                row, to = np.repeat(row, times), np.repeat(first[group], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                for j in range(0, len(row), 4 * STEP):
+                    got = part.take(pa.array(row[j : j + 4 * STEP]))
+                    n = got.num_rows
+                    yield pa.RecordBatch.from_arrays([pa.array(to[j : j + n]) if c == "block" else got.column(i) for i, c in enumerate(names)] + [pa.array(np.ones(n, np.int32))], names=[*names, "role"])
 
     sent = others.select(*names)
     sent = sent.withColumn("role", F.lit(1)) if own_block else sent.mapInArrow(send, POINT + ", role int")
     every = owners.select(*names, F.lit(0).alias("role")).unionByName(sent)
-    dealt = every.repartition("block").sortWithinPartitions("block", "role")
+    dealt = every.repartition(int((s.first + s.blocks).max()), "block").sortWithinPartitions("block", "role")
+
+    def begun(held: list[pa.RecordBatch]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        """Work of each cell, how many owners it has, its pivot and reach."""
+        all_ = pa.Table.from_batches(held).sort_by("cell").combine_chunks().to_batches()[0]
+        cell = all_.column(2).to_numpy()
+        at = np.flatnonzero(np.r_[True, np.diff(cell) > 0, True])
+        parts = [all_.slice(i, j - i) for i, j in zip(at[:-1], at[1:], strict=True)]
+        far = [np.inf if own_block else part.column(4).to_numpy().max() for part in parts]
+        return [work(part) for part in parts], np.diff(at), p[cell[at[:-1]]], np.array(far)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -124,18 +164,25 @@ def search(s: Space, owners: DataFrame, others: DataFrame, work: Callable, out:
                 if e == a:
                     continue
                 if block[a] != now:
-                    if state is not None:
-                        yield from state.result()
+                    for w in state[0] if state is not None else ():
+                        yield from w.result()
                     state, held, now = None, [], block[a]
                 if role[a] == 0:
                     held.append(b.slice(a, e - a))
                     continue
-                if state is None:
-                    state = work(pa.Table.from_batches(held).combine_chunks().to_batches()[0]) if held else None
+                if state is None and held:
+                    state, held = begun(held), []
                 for k in range(a, e if state is not None else a, STEP):
-                    state.add(b.slice(k, min(STEP, e - k)))
-        if state is not None:
-            yield from state.result()
+                    part = b.slice(k, min(STEP, e - k))
+                    ids, x, core, comp = part.column(0).to_numpy(), matrix(part.column(1)), part.column(5).to_numpy(), part.column(6).to_numpy()
+                    may = distances(x, state[2]) <= state[3] * (1 + NEAR) + NEAR
+                    for c, w in enumerate(state[0]):
+                        rows, step = np.flatnonzero(may[:, c]), max(16, AREA // int(state[1][c]))
+                        for j in range(0, len(rows), step):
+                            some = rows[j : j + step]
+                            w.add(ids[some], x[some], core[some], comp[some])
+        for w in state[0] if state is not None else ():
+            yield from w.result()
 
     return dealt.mapInArrow(run, out)
 
@@ -146,27 +193,29 @@ class Knn:
     def __init__(self, owners: pa.RecordBatch, k: int):
         self.ids, self.x, self.k = owners.column(0).to_numpy(), matrix(owners.column(1)), k
         n = len(self.ids)
-        self.d, self.q, self.y = np.full((n, k), np.inf), np.full((n, k), -1, np.int64), None
+        self.d, self.q = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
 
-    def add(self, others: pa.RecordBatch) -> None:
-        ids, y = others.column(0).to_numpy(), matrix(others.column(1))
+    def add(self, ids: np.ndarray, y: np.ndarray, core: np.ndarray, comp: np.ndarray) -> None:
         d = distances(self.x, y)
         d[self.ids[:, None] == ids] = np.inf
         # those that may be among the nearest, with exact distances
         near = d <= self.d[:, -1:] * (1 + NEAR) + NEAR
-        if self.k < d.shape[1]:
+        if self.k < d.shape[1] and np.count_nonzero(near) > len(d):
             near &= d <= np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k] * (1 + NEAR) + NEAR
-        row, col = np.nonzero(near & np.isfinite(d))
+        row, col = np.nonzero(near)
+        ok = np.isfinite(d[row, col])
+        row, col = row[ok], col[ok]
         if not len(row):
             return
-        new = exactly(self.x[row], y[col])
-        row, dist, q = np.r_[np.repeat(np.arange(len(self.ids)), self.k), row], np.r_[self.d.ravel(), new], np.r_[self.q.ravel(), ids[col]]
+        new = exact_pairs(self.x, row, y, col)
+        own = np.unique(row)  # only the lists of these change
+        row, dist, q = np.r_[np.repeat(own, self.k), row], np.r_[self.d[own].ravel(), new], np.r_[self.q[own].ravel(), ids[col]]
         order = np.lexsort((q, dist, row))
         row, dist, q = row[order], dist[order], q[order]
         start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         nth = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
         keep = nth < self.k
-        self.d, self.q = dist[keep].reshape(-1, self.k), q[keep].reshape(-1, self.k)
+        self.d[own], self.q[own] = dist[keep].reshape(-1, self.k), q[keep].reshape(-1, self.k)
 
     def result(self) -> Iterator[pa.RecordBatch]:
         for s in range(0, len(self.ids), STEP):

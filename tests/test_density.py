@@ -101,6 +101,31 @@ def test_neighbours_are_exact(spark, small):
             assert list(zip(*got[3 * i], strict=True)) == want
 
 
+def test_cells_share_blocks_and_tables_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(N, "AREA", 1 << 10)
+    x = np.random.default_rng(2).normal(size=(1200, 12))  # bounds rule nothing out
+    x[:300] = x[0]
+    s = N.space(frame(spark, x), "k", "v", 5, block=150)
+    held = {r["block"]: r["count"] for r in s.points.groupBy("block").count().collect()}
+    assert len(s.blocks) == 240 and (s.first + s.blocks).max() <= 20 and max(held.values()) <= 220  # a vector is sent to 20 blocks, not 240 cells
+
+    class Area:
+        def __init__(self, owners):
+            self.n, self.most, self.met = owners.num_rows, 0, 0
+
+        def add(self, ids, *_):
+            self.most, self.met = max(self.most, self.n * len(ids)), self.met + self.n * len(ids)
+
+        def result(self):
+            import pyarrow as pa
+
+            yield pa.RecordBatch.from_pydict({"most": [self.most], "met": [self.met]})
+
+    every = s.points.selectExpr("id", "x", "cell", "block", "double('inf') as reach", "0d as core", "id as comp", "0d as bound")
+    got = N.search(s, every, every, Area, "most long, met long").collect()
+    assert sum(r.met for r in got) == 1200 * 1200 and max(r.most for r in got) <= 16 * 220
+
+
 def test_tree_and_clusters_are_those_of_the_plain_version(spark, small):
     x, df = small
     tree = plain_tree(x, 5)
