@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.folders import checkpointed
+from ..sources.folders import restarted
 from . import neighbours as N
 from .ranks import positions
 
@@ -75,14 +75,14 @@ def spanning_tree(s: N.Space, samples: int, listed: int | None = None, span: int
     Up to `span` links or components are merged by one task, more by joins; the tree is the same.
     """
     k = listed or 2 * samples
-    lists = checkpointed(N.nearest(s, k))
+    lists = restarted(N.nearest(s, k))
     core = F.coalesce(F.element_at("d", F.least(F.lit(samples), F.size("d"))), F.lit(0.0))
     cores = lists.select("id", core.alias("core"), F.when(F.size("d") == k, F.element_at("d", -1)).otherwise(F.lit(float("inf"))).alias("last"))
     # limit: links of at least this weight may be missing from the vector's list
-    points = checkpointed(s.points.join(cores, "id").select("id", "x", "cell", "block", "far", "core", F.greatest("core", "last").alias("limit"), F.col("id").alias("comp")))
+    points = restarted(s.points.join(cores, "id").select("id", "x", "cell", "block", "far", "core", F.greatest("core", "last").alias("limit"), F.col("id").alias("comp")))
     pairs = lists.select("id", F.inline(F.arrays_zip("d", "q"))).select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b"), "d").distinct()
     both = pairs.join(points.select(F.col("id").alias("a"), F.col("core").alias("core_a")), "a").join(points.select(F.col("id").alias("b"), F.col("core").alias("core_b")), "b")
-    links = checkpointed(both.select(F.greatest("d", "core_a", "core_b").alias("w"), "a", "b", F.col("a").alias("comp_a"), F.col("b").alias("comp_b")))
+    links = restarted(both.select(F.greatest("d", "core_a", "core_b").alias("w"), "a", "b", F.col("a").alias("comp_a"), F.col("b").alias("comp_b")))
     tree = points.sparkSession.createDataFrame([], LINK)
 
     def renamed(roots: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
@@ -90,16 +90,16 @@ def spanning_tree(s: N.Space, samples: int, listed: int | None = None, span: int
         table = F.broadcast(roots) if few else roots  # two rows for each of `span` links at most
         to = lambda c: table.select(F.col("comp").alias(c), F.col("root").alias(f"_{c}"))
         new = lambda rows, *cs: rows.withColumns({c: F.coalesce(f"_{c}", c) for c in cs}).drop(*(f"_{c}" for c in cs))
-        own = checkpointed(new(points.join(to("comp"), "comp", "left"), "comp"))
+        own = restarted(new(points.join(to("comp"), "comp", "left"), "comp"))
         rest = new(links.join(to("comp_a"), "comp_a", "left").join(to("comp_b"), "comp_b", "left"), "comp_a", "comp_b").where("comp_a <> comp_b")
-        return own, checkpointed(rest.select("w", "a", "b", "comp_a", "comp_b"))
+        return own, restarted(rest.select("w", "a", "b", "comp_a", "comp_b"))
 
     while (left := points.select("comp").distinct().count()) > 1:
-        limits = checkpointed(points.groupBy("comp").agg(F.min("limit").alias("limit")))
+        limits = restarted(points.groupBy("comp").agg(F.min("limit").alias("limit")))
         if 0 < links.count() <= span:
             # all merges of which the lists are enough
             with_limits = links.join(limits.select(F.col("comp").alias("comp_a"), F.col("limit").alias("limit_a")), "comp_a").join(limits.select(F.col("comp").alias("comp_b"), F.col("limit").alias("limit_b")), "comp_b")
-            done = checkpointed(with_limits.select(*LINKS, "limit_a", "limit_b").repartition(1).mapInArrow(_certain, DONE))
+            done = restarted(with_limits.select(*LINKS, "limit_a", "limit_b").repartition(1).mapInArrow(_certain, DONE))
             if not done.isEmpty():
                 tree = tree.unionByName(done.where("w is not null").select("w", "a", "b"))
                 points, links = renamed(done.where("root is not null").select("comp", "root"), True)
@@ -109,17 +109,17 @@ def spanning_tree(s: N.Space, samples: int, listed: int | None = None, span: int
         ends = lambda rows: rows.select(F.explode(F.array("comp_a", "comp_b")).alias("comp"), "w", "a", "b")
         # links of the lists, and of vectors with the pivots: every component has a bound
         at_pivots = _pivot_links(s, points, [tuple(r) for r in points.where(F.col("id").isin(s.pivot_ids.tolist())).select("id", "core", "comp").collect()])  # at most PIVOTS rows
-        best = checkpointed(_least_links(ends(links).unionByName(ends(at_pivots))))
+        best = restarted(_least_links(ends(links).unionByName(ends(at_pivots))))
         # vectors whose lists end before their component's best link
         owners = points.join(best.select("comp", F.col("w").alias("bound")), "comp").where("limit <= bound")
-        owners = checkpointed(owners.withColumn("reach", F.col("far") + F.col("bound")).select("id", "x", "cell", "block", "reach", "core", "comp", "bound"))
+        owners = restarted(owners.withColumn("reach", F.col("far") + F.col("bound")).select("id", "x", "cell", "block", "reach", "core", "comp", "bound"))
         found = N.search(s, owners, points.withColumns({"reach": F.lit(0.0), "bound": F.lit(0.0)}), Outside, "comp long, w double, a long, b long")
-        best = checkpointed(_least_links(best.unionByName(found)))
+        best = restarted(_least_links(best.unionByName(found)))
         of = lambda n: points.select(F.col("id").alias(n), F.col("comp").alias(f"comp_{n}"))
-        step = checkpointed(best.join(of("a"), "a").join(of("b"), "b").select("comp", *LINKS))
+        step = restarted(best.join(of("a"), "a").join(of("b"), "b").select("comp", *LINKS))
         tree = tree.unionByName(step.select("w", "a", "b").distinct())
         if left <= span:
-            roots = checkpointed(step.select(*LINKS).repartition(1).mapInArrow(_together, "comp long, root long"))
+            roots = restarted(step.select(*LINKS).repartition(1).mapInArrow(_together, "comp long, root long"))
         else:
             roots = _roots(step.select("comp", F.when(F.col("comp_a") == F.col("comp"), F.col("comp_b")).otherwise(F.col("comp_a")).alias("to")))
         points, links = renamed(roots, left <= span)
@@ -223,10 +223,10 @@ def _pivot_links(s: N.Space, points: DataFrame, pivots: list[tuple[int, float, i
 def _roots(step: DataFrame) -> DataFrame:
     """(comp, root) where each component points to another and only pairs point to each other: the smaller of the pair is the root."""
     mutual = step.alias("x").join(step.alias("y"), (F.col("x.to") == F.col("y.comp")) & (F.col("y.to") == F.col("x.comp"))).where("x.comp < x.to").select(F.col("x.comp").alias("comp"), F.lit(True).alias("top"))
-    at = checkpointed(step.join(mutual, "comp", "left").select("comp", F.when(F.col("top"), F.col("comp")).otherwise(F.col("to")).alias("root")))
+    at = restarted(step.join(mutual, "comp", "left").select("comp", F.when(F.col("top"), F.col("comp")).otherwise(F.col("to")).alias("root")))
     while True:
         up = at.select(F.col("comp").alias("root"), F.col("root").alias("next"))
-        new = checkpointed(at.join(up, "root").select("comp", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        new = restarted(at.join(up, "root").select("comp", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
         if new.where("moved").isEmpty():
             return new.select("comp", "root")
         at = new.select("comp", "root")
@@ -296,16 +296,16 @@ def _range(least: int):
 def condensed(points: DataFrame, tree: DataFrame, least: int, span: int = RANGE) -> tuple[DataFrame, list[tuple]]:
     """(id, cluster) of every vector that a cluster of the condensed tree took in, and the tree's events (cluster, child, vectors, density)."""
     ordered = positions(tree, [F.col("w"), F.col("a"), F.col("b")])
-    ordered = checkpointed(ordered.withColumn("range", F.floor(F.col("position") / span)))
+    ordered = restarted(ordered.withColumn("range", F.floor(F.col("position") / span)))
     one = lambda v: F.lit(v).cast("long")
-    labels = checkpointed(points.select("id", F.col("id").alias("comp"), one(1).alias("size"), one(None).alias("cluster"), one(None).alias("own")))
+    labels = restarted(points.select("id", F.col("id").alias("comp"), one(1).alias("size"), one(None).alias("cluster"), one(None).alias("own")))
     events: list[tuple] = []
     clusters = 0
     for k in range((ordered.agg(F.max("range")).first()[0] or 0) + 1 if not ordered.isEmpty() else 0):
         of = lambda n: labels.select(F.col("id").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("comp", "size", "cluster")))
         part = ordered.where(F.col("range") == k).join(of("a"), "a").join(of("b"), "b")
         part = part.select("w", "a", "b", "comp_a", "comp_b", "size_a", "size_b", "cluster_a", "cluster_b", one(clusters).alias("start"))
-        done = checkpointed(part.repartition(1).mapInArrow(_range(least), EVENT))  # at most `span` rows
+        done = restarted(part.repartition(1).mapInArrow(_range(least), EVENT))  # at most `span` rows
         events += [tuple(r) for r in done.where("kind = 'event'").select("node", "to", "size", "density").collect()]  # of clusters that span rows touch
         clusters = max((e[0] + 1 for e in events), default=0)
         if clusters > CLUSTERS:
@@ -316,7 +316,7 @@ def condensed(points: DataFrame, tree: DataFrame, least: int, span: int = RANGE)
         taken = F.broadcast(done.where("kind = 'absorbed'").select(F.col("node").alias("comp"), F.col("to").alias("_own")))
         labels = labels.join(node, "comp", "left").join(taken, "comp", "left")
         new = {"comp": F.coalesce("_to", "comp"), "size": F.coalesce("_size", "size"), "cluster": F.when(F.col("_to").isNull(), F.col("cluster")).otherwise(F.col("_cluster")), "own": F.coalesce("own", "_own")}
-        labels = checkpointed(labels.select("id", *(v.alias(c) for c, v in new.items())))
+        labels = restarted(labels.select("id", *(v.alias(c) for c, v in new.items())))
     return labels.where("own is not null").select("id", F.col("own").alias("cluster")), events
 
 
@@ -371,12 +371,12 @@ def clusters(rows: DataFrame, key: str, vector: str, least: int = 10, samples: i
     if rows.where(N.usable(rows, vector)).limit(max(2, least)).count() < max(2, least):
         return rows.withColumn("topic", F.lit(-1))
     s = N.space(rows, key, vector, per_cell or 8 * samples)
-    tree = checkpointed(spanning_tree(s, samples, listed, span))
+    tree = restarted(spanning_tree(s, samples, listed, span))
     members, events = condensed(s.points, tree, least, span)
     top = chosen(events, single)
     spark = rows.sparkSession
     names = spark.createDataFrame(sorted(top.items()), "cluster long, chosen long")
-    found = checkpointed(members.join(F.broadcast(names), "cluster").select("id", "chosen"))  # at most CLUSTERS rows
+    found = restarted(members.join(F.broadcast(names), "cluster").select("id", "chosen"))  # at most CLUSTERS rows
     sizes = found.groupBy("chosen").count().orderBy(F.desc("count"), "chosen").collect()  # at most CLUSTERS rows
     number = spark.createDataFrame([(r["chosen"], k) for k, r in enumerate(sizes)], "chosen long, topic int")
     topics = found.join(F.broadcast(number), "chosen").select(F.col("id").alias("_id"), "topic")

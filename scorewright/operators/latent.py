@@ -48,7 +48,8 @@ def weighed(texts: DataFrame, key: str, text: str, terms: int = TERMS, token: st
     one = F.struct(F.col("number").alias("at"), (F.col("tf") * F.col("idf")).alias("w"))
     rows = counts.join(F.broadcast(table), "term").groupBy("_k").agg(F.array_sort(F.collect_list(one)).alias("x"))  # a text's different terms
     length = F.sqrt(F.aggregate("x.w", F.lit(0.0), lambda s, w: s + w * w))
-    return rows.select(F.col("_k").alias(key), F.col("x.at").alias("at"), F.transform("x.w", lambda w: w / length).alias("w")), table, len(names)
+    rows = rows.select("_k", F.explode(F.array(F.struct("x", length.alias("length")))).alias("r"))  # a generator: in the lambda below the length would be added up anew for each term
+    return rows.select(F.col("_k").alias(key), F.col("r.x.at").alias("at"), F.transform("r.x.w", lambda w: w / F.col("r.length")).alias("w")), table, len(names)
 
 
 def _sparse(b: pa.RecordBatch, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

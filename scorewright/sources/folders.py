@@ -24,3 +24,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(work_folder(spark, "checkpoints"))
     return df.checkpoint(eager=True)
+
+
+def restarted(df: DataFrame) -> DataFrame:
+    """checkpointed(df) without Spark's estimate of its size, for loops in which each table comes from the one before.
+
+    The size of a join is taken for the product of its sides', and a checkpointed table keeps it: round after round its digits double, and soon
+    the driver needs many seconds to multiply them for each plan.
+    """
+    done = checkpointed(df)
+    return DataFrame(done.sparkSession._jsparkSession.createDataFrame(done._jdf.javaRDD(), done._jdf.schema()), done.sparkSession)
