@@ -8,6 +8,7 @@ from ..operators import density
 from ..operators import vectors as V
 from ..operators.nearest_label import nearest_labels
 from ..registry import query
+from ..sources.folders import checkpointed
 from ..sources.views import spread, table
 
 CENTROID_SQL = """cells as (select label, i, avg(x::double) as m from (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings) group by 1, 2),
@@ -58,7 +59,8 @@ def class_tfidf(spark, sf_dir):
     """Class-based TF-IDF of the terms of each language, in two or more documents."""
     t = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id").select("lang", F.array_sort(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("terms"))
     first = F.transform("terms", lambda x, i: F.struct(x.alias("term"), F.when((i == 0) | (x != F.get("terms", i - 1)), 1).otherwise(0).alias("new")))  # a document's first of a term
-    per = t.select("lang", F.explode(first).alias("x")).groupBy("lang", "x.term").agg(F.count("*").alias("tf"), F.sum("x.new").alias("df")).where("df >= 2")
+    counts = t.select("lang", F.explode(first).alias("x")).groupBy("lang", "x.term").agg(F.count("*").alias("tf"), F.sum("x.new").alias("df")).where("df >= 2")
+    per = checkpointed(counts)  # used three times; the texts are read once
     every = per.groupBy("term").agg(F.sum("tf").alias("f"))
     total = per.groupBy("lang").agg(F.sum("tf").alias("total"))
     mean = total.agg(F.avg("total").alias("avg_words"))

@@ -42,3 +42,8 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 3
+
+
+def test_class_tfidf_reads_the_texts_once(spark):
+    plan = queries()["class_tfidf"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan  # counted before, and only once
