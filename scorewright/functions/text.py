@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 MARK = "\x01"
 
 
+def once(value: Column) -> Column:
+    """value by a generator of one row: no later step is merged with it and no filter goes below it, so it is computed once a row."""
+    return F.explode(F.array(value))
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 

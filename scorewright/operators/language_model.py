@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ..sources.folders import checkpointed
 
 START, END = "<s>", "</s>"
@@ -26,11 +27,6 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
-def once(value: Column) -> Column:
-    """value by a generator of one row: no later step is merged with it, so it is computed once a row."""
-    return F.explode(F.array(value))
-
-
 def trigrams(words: Column, first: Column | int = 0) -> Column:
     """(u, v, w) for each word w from number `first` on, u and v being the words before it or START.
 

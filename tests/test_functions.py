@@ -49,6 +49,13 @@ def test_keys(spark):
     assert got[10] == ["MIFIDII", "UCITSV", "UCITSV:art39a:(2):(b)"]
 
 
+def test_explode_does_not_repeat_the_steps_in_a_filter(spark):
+    df = spark.range(3).select("id", F.concat(F.lit("CRR, Article "), "id").alias("t"))
+    for made in (C.with_citations(df, "t", "c").select(F.explode("c")),):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("split(") == len(C.PATTERNS)
+        assert made.count() == 6
+
+
 @pytest.mark.parametrize("truth, found, want", [([], [], (1, 1, 1)), (["a"], [], (0, 0, 0)), ([], ["a"], (0, 0, 0)), (["a", "b"], ["a"], (1, 0.5, 2 / 3))])
 def test_set_scores(spark, truth, found, want):
     df = spark.createDataFrame([(truth, found)], "t array<string>, f array<string>")
