@@ -51,7 +51,7 @@ def test_keys(spark):
 
 def test_explode_does_not_repeat_the_steps_in_a_filter(spark):
     df = spark.range(3).select("id", F.concat(F.lit("CRR, Article "), "id").alias("t"))
-    for made in (C.with_citations(df, "t", "c").select(F.explode("c")),):
+    for made in (C.with_spans(df, "t", "s").select(F.explode("s")), C.with_citations(df, "t", "c").select(F.explode("c"))):
         assert made._jdf.queryExecution().optimizedPlan().toString().count("split(") == len(C.PATTERNS)
         assert made.count() == 6
 
