@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .neighbours import matrix
+
 #: Tokens of one side whose similarities are computed at a time.
 STEP = 2048
 
@@ -29,13 +31,27 @@ def matched(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best_x, best_y
 
 
+def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, v) of (token, vector): vectors with a length, divided by it, as bytes."""
+    for b in batches:
+        keep, out = [], []
+        for k in range(b.num_rows):
+            numbers = b.column(1).slice(k, 1).flatten()
+            if len(numbers) and not numbers.null_count:
+                x = numbers.to_numpy()
+                n = np.sqrt(np.add.accumulate(x * x)[-1])
+                if n != 0:
+                    keep.append(k), out.append((x / n).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], names=["token", "v"])
+
+
 def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(number, precision, recall) of rows (number, in candidate, in reference, weight, vectors one after another)."""
+    """(number, precision, recall) of rows (number, in candidate, in reference, weight, vectors as bytes)."""
     for b in batches:
         out = []
         for k in range(b.num_rows):
             n_c, n_r, w = (b.column(c).slice(k, 1).flatten().to_numpy(zero_copy_only=False).astype(np.float64) for c in (1, 2, 3))
-            v = b.column(4).slice(k, 1).flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(w), -1)
+            v = matrix(b.column(4).slice(k, 1).flatten())
             x, y = n_c > 0, n_r > 0
             best_x, best_y = matched(v[x], v[y]) if x.any() and y.any() else (np.zeros(x.sum()), np.zeros(y.sum()))
             mean = lambda best, weight: float(best @ weight / weight.sum()) if weight.sum() > 0 else 0.0
@@ -53,16 +69,15 @@ def bert_scores(pairs: DataFrame, key: str, candidate: str, reference: str, vect
     kind = pairs.schema[candidate].dataType
     both = F.concat(side(F.col(candidate), 1, 0), side(F.col(reference).cast(kind), 0, 1))
     counts = pairs.select(F.col(key).alias("number"), F.explode(both).alias("x")).groupBy("number", "x.token").agg(F.sum("x.c").alias("c"), F.sum("x.r").alias("r"))
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = vectors.withColumn("_n", length).where("_n > 0").select("token", F.transform("vector", lambda x: x.cast("double") / F.col("_n")).alias("vector"))
-    weighed = counts.join(unit, "token")
+    # lengths in numpy: as a column the length would be added up anew for each number of the vector
+    words = vectors.select("token", F.col("vector").cast("array<double>")).mapInArrow(_unit, f"token {vectors.schema['token'].dataType.simpleString()}, v binary")
     if idf:
         seen = counts.where("r > 0").groupBy("token").agg(F.count("*").alias("df"))
-        weighed = weighed.join(seen, "token", "left").withColumn("w", F.log(F.lit(pairs.count() + 1.0) / (F.coalesce("df", F.lit(0)) + 1)))
+        words = words.join(seen, "token", "left").select("token", "v", F.log(F.lit(pairs.count() + 1.0) / (F.coalesce("df", F.lit(0)) + 1)).alias("w"))
     else:
-        weighed = weighed.withColumn("w", F.lit(1.0))
-    lists = weighed.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("token", "c", "r", "w", "vector"))).alias("x"))  # a pair's different tokens
-    scores = lists.select("number", "x.c", "x.r", "x.w", "x.vector").mapInArrow(_scores, f"number {pairs.schema[key].dataType.simpleString()}, precision double, recall double")
+        words = words.withColumn("w", F.lit(1.0))
+    lists = counts.join(words, "token").groupBy("number").agg(F.array_sort(F.collect_list(F.struct("token", "c", "r", "w", "v"))).alias("x"))  # a pair's different tokens
+    scores = lists.select("number", "x.c", "x.r", "x.w", "x.v").mapInArrow(_scores, f"number {pairs.schema[key].dataType.simpleString()}, precision double, recall double")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     p, r = F.col("precision"), F.col("recall")
     f1 = F.when(p + r > 0, 2 * p * r / (p + r))
@@ -79,15 +94,35 @@ def word_vectors(texts: DataFrame, words: str, dims: int = 64, window: int = 2,
     """
     near = F.flatten(F.transform(F.filter(F.sequence(F.lit(-window), F.lit(window)), lambda k: k != 0), lambda k: F.transform(F.col(words), lambda w, i: F.struct(w.alias("token"), F.when(i + k >= 0, F.get(F.col(words), (i + k).cast("int"))).alias("by")))))
     pairs = texts.where(F.size(words) > 1).select(F.explode(near).alias("x")).where("x.by is not null and x.token is not null").groupBy("x.token", "x.by").agg(F.count("*").alias("n"))
-    of = lambda c, name: pairs.groupBy(c).agg(F.sum("n").alias(name))
-    total = pairs.agg(F.sum("n").alias("all"))
-    rows = pairs.join(of("token", "n_token"), "token").join(of("by", "n_by"), "by").crossJoin(F.broadcast(total))  # one row
+    own = pairs.groupBy("token").agg(F.sum("n").alias("n_token"))
+    by = own.select(F.col("token").alias("by"), F.col("n_token").alias("n_by"))  # the window is symmetric
+    total = own.agg(F.sum("n_token").alias("all"))
+    rows = pairs.join(own, "token").join(by, "by").crossJoin(F.broadcast(total))  # one row
     ppmi = F.log(F.col("n").cast("double") * F.col("all") / (F.col("n_token").cast("double") * F.col("n_by")))
     h = lambda k: F.xxhash64("by", F.lit(k))
-    marks = F.array(*(F.struct(F.pmod(h(k), F.lit(dims)).cast("int").alias("at"), F.when(F.pmod(F.shiftrightunsigned(h(k), 40), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")) for k in range(signs)))
-    cells = rows.select("token", ppmi.alias("x"), F.explode(marks).alias("m")).where("x > 0").groupBy("token", "m.at").agg(F.sum(F.col("x") * F.col("m.sign")).alias("x"))
-    full = cells.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"))  # dims entries at most
-    return full.select("token", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
+    marks = F.array(*((2 * F.pmod(h(k), F.lit(dims)) + F.pmod(F.shiftrightunsigned(h(k), 40), F.lit(2))).cast("int") for k in range(signs)))  # twice the place, 1 more for -1
+    cells = rows.select("token", ppmi.alias("x"), marks.alias("m")).where("x > 0").repartition("token").sortWithinPartitions("token")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(token, vector) of rows sorted by token; the last token of a batch may go on in the next."""
+        listed = lambda names, v: pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * dims, pa.int32()), pa.array(v.ravel()))], names=["token", "vector"])
+        last, held = None, None
+        for b in batches:
+            if b.num_rows:
+                coded = b.column(0).dictionary_encode()  # numbers in order, as equal tokens follow each other
+                names, row = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+                m = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)
+                v = np.bincount((row[:, None] * dims + (m >> 1)).ravel(), (b.column(1).to_numpy()[:, None] * (1.0 - 2 * (m & 1))).ravel(), len(names) * dims).reshape(-1, dims)
+                if last is not None and last[0] == names[0]:
+                    v[0] += held[0]
+                elif last is not None:
+                    yield listed(last, held)
+                yield listed(names[:-1], v[:-1])
+                last, held = names[-1:], v[-1:]
+        if last is not None:
+            yield listed(last, held)
+
+    return cells.mapInArrow(summed, f"token {texts.schema[words].dataType.elementType.simpleString()}, vector array<double>")
 
 
 def mean_scores(scores: DataFrame, by: Column, name: str) -> DataFrame:

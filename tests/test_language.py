@@ -127,6 +127,21 @@ def test_words_of_the_same_neighbours_have_like_vectors(spark):
     assert cos("dog", "cat") > 0.95 > 0.6 > cos("dog", "law")
 
 
+def test_vectors_are_summed_over_batches_and_their_lengths_computed_once(spark):
+    rows = spark.createDataFrame([(["big", x, "runs", "fast", "home"],) for x in ("dog", "cat", "fox", "hen")] + [(["old", "law", "binds", "every", "dog"],)], "w array<string>")
+    got = lambda: {r.token: np.array(r.vector) for r in B.word_vectors(rows, "w", dims=16).collect()}
+    want = got()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        parts = got()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(parts) == set(want) and all(np.allclose(parts[k], want[k], atol=1e-12) for k in want)
+    pairs = spark.range(2).select(F.concat(F.lit("p"), "id").alias("pair"), F.array(F.lit("dog")).alias("a"), F.array(F.lit("cat")).alias("b"))
+    plan = B.bert_scores(pairs, "pair", "a", "b", B.word_vectors(rows, "w", dims=16))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "map_from_entries" not in plan  # lengths and places in numpy, not once for each number
+
+
 def exact_matrix(texts):
     docs = {k: Counter(re.findall(r"\w{2,}", (t or "").lower())) for k, t in texts}
     df = Counter(t for c in docs.values() for t in c)
