@@ -4,7 +4,7 @@ Labels and vectors are taken at length 1, where the cosine falls as the distance
 them, and a cell in blocks of bounded size; a row for each cell (pivot and radius) is all that tasks carry. First a vector goes to the cell of its
 nearest pivot, which gives it its two best labels so far. Then it goes to every other cell that may hold a nearer one than the second: those
 whose pivot is no farther than that distance and the cell's radius together. A task holds one block of labels and reads the vectors
-sent to it in batches; it gives two labels for each, and an aggregate keeps the best two. So no vector meets a label
+sent to it in batches, whose tables of similarities have a bounded size; it gives two labels for each, and an aggregate keeps the best two. So no vector meets a label
 that the bounds rule out, and none is left out that they don't.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.folders import checkpointed
-from .neighbours import NEAR, distances, matrix, usable
+from .neighbours import AREA, NEAR, distances, matrix, usable
 
 #: Cells of labels at most, labels of a block at most (about), vectors compared at a time.
 CELLS, BLOCK, STEP = 1024, 16_384, 1024
@@ -40,6 +40,14 @@ def _unit(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return own.mapInArrow(run, "id long, v binary")
 
 
+def _copies(part: pa.RecordBatch, row: np.ndarray, where: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows SENT of part's (id, v) by their numbers, in batches of bounded size: where bounds rule nothing out, each row goes to every cell."""
+    for k in range(0, len(row), 4 * STEP):
+        got = part.take(pa.array(row[k : k + 4 * STEP]))
+        n = got.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(where[k : k + n].astype(np.int64)), pa.array(np.ones(n, np.int32)), got.column(0), got.column(1)], names=["block", "role", "id", "v"])
+
+
 def _best_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, label, similarity, compared) of rows SENT, sorted by block and role: labels (role 0), then vectors; two labels for each vector."""
     now, names, held, labels = None, [], [], None
@@ -61,9 +69,11 @@ def _best_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names, held = [np.concatenate(names)], [np.concatenate(held)]
                 order = np.argsort(names[0])  # of equal similarities the smallest label comes first
                 labels, ids = held[0][order], names[0][order]
-            for s in range(0, e - a, STEP):
-                some = part.slice(s, STEP)
-                sim = np.round(matrix(some.column(3)) @ labels.T, 12)
+            step = min(STEP, max(16, AREA // len(ids)))
+            for s in range(0, e - a, step):
+                some = part.slice(s, step)
+                sim = matrix(some.column(3)) @ labels.T
+                np.round(sim, 12, out=sim)
                 rows, out = np.arange(len(sim)), []
                 for _ in range(min(2, len(ids))):
                     k = sim.argmax(1)
@@ -125,8 +135,8 @@ def nearest_labels(rows: DataFrame, key: str, vector: str, own: str, labels: Dat
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for s in range(0, b.num_rows, STEP):
-                    part = b.slice(s, STEP)
+                for s in range(0, b.num_rows, STEP // 4):
+                    part = b.slice(s, STEP // 4)
                     cell = part.column(2).to_numpy()
                     if bounded:
                         reach = part.column(3).to_numpy()[:, None] + radius
@@ -137,8 +147,7 @@ def nearest_labels(rows: DataFrame, key: str, vector: str, own: str, labels: Dat
                         row, to = np.arange(len(cell)), cell
                     times = blocks[to]
                     where = np.repeat(first[to], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    got = part.take(pa.array(np.repeat(row, times)))
-                    yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int64)), pa.array(np.ones(len(where), np.int32)), got.column(0), got.column(1)], names=["block", "role", "id", "v"])
+                    yield from _copies(part, np.repeat(row, times), where)
 
         return run
 

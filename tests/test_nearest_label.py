@@ -1,8 +1,12 @@
 """The most similar label against all labels."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from scorewright.operators import nearest_label as N
 from scorewright.operators.nearest_label import nearest_labels
 
 
@@ -66,3 +70,22 @@ def test_many_labels(spark):
     got = sorted(nearest_labels(rows, "k", "v", "own", labels, "label").collect())
     check(got, plain(x, list(range(200)), list(range(50_000)), c))
     assert sum(r.compared for r in got) < 0.1 * 200 * 50_000
+
+
+def test_tables_and_batches_have_a_bounded_size():
+    rng = np.random.default_rng(6)
+    labels, x = rng.normal(size=(16_384, 4)), rng.normal(size=(1024, 4))
+    sent = lambda role, v: pa.RecordBatch.from_arrays([pa.array(np.zeros(len(v), np.int64)), pa.array(np.full(len(v), role, np.int32)), pa.array(np.arange(len(v))), pa.array([r.tobytes() for r in v], pa.binary())], names=["block", "role", "id", "v"])
+    batches = iter([sent(0, labels), sent(1, x)])
+    tracemalloc.start()
+    got = pa.Table.from_batches(N._best_two(batches))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # all similarities at once are 134 MB
+    sim = np.round(x @ labels.T, 12)
+    best = {}
+    for i, l, s in zip(*(got[c].to_pylist() for c in ("id", "label", "similarity")), strict=True):
+        best[i] = max(best.get(i, (-np.inf, 0)), (s, l))
+    assert len(best) == 1024 and all(best[i][1] == sim[i].argmax() for i in range(1024)) and got["compared"].to_numpy().sum() == 1024 * 16_384
+    copies = list(N._copies(sent(1, x).select(["id", "v"]), np.repeat(np.arange(1024), 50), np.tile(np.arange(50), 1024)))
+    assert sum(b.num_rows for b in copies) == 1024 * 50 and max(b.num_rows for b in copies) <= 4 * N.STEP
