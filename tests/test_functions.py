@@ -56,6 +56,13 @@ def test_explode_does_not_repeat_the_steps_in_a_filter(spark):
         assert made.count() == 6
 
 
+def test_matches_are_dealt_to_tasks_that_grow_with_the_input(spark):
+    from scorewright.plans.citations import document_citations
+
+    plan = document_citations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [key#" in plan and f", {8 * spark.sparkContext.defaultParallelism}" in plan.split("RepartitionByExpression [key#")[1].split("\n")[0]
+
+
 @pytest.mark.parametrize("truth, found, want", [([], [], (1, 1, 1)), (["a"], [], (0, 0, 0)), ([], ["a"], (0, 0, 0)), (["a", "b"], ["a"], (1, 0.5, 2 / 3))])
 def test_set_scores(spark, truth, found, want):
     df = spark.createDataFrame([(truth, found)], "t array<string>, f array<string>")
