@@ -2,7 +2,7 @@
 
 Tables of n-grams stay tables: counts are combinable aggregates, and a text's n-grams meet them in joins. Scoring first reduces
 the n-grams to be looked up to different ones, so a frequent n-gram is looked up once; the rows of one key in those joins are at
-most the words of the vocabulary. Only nine totals of the model come to the driver.
+most the words of the vocabulary. No table of n-grams is broadcast, whatever Spark estimates. Only nine totals of the model come to the driver.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import once
 from ..sources.folders import checkpointed
+from ..sources.views import dealt
 
 START, END = "<s>", "</s>"
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
@@ -85,9 +86,9 @@ def probabilities(model: Model, grams: DataFrame) -> DataFrame:
         own = (F.greatest(n - d1, F.lit(0.0)) + F.lit(d1) * model.types / (model.types + 1)) / model.total
     else:
         own = F.lit(1.0)
-    one = pairs.select("w").distinct().join(model.one, "w", "left").select("w", own.alias("p1"))
-    two = pairs.join(model.two, ["v", "w"], "left").join(model.after_one, "v", "left").join(one, "w").select("v", "w", mixed(d2, "p1").alias("p2"))
-    three = grams.join(model.three, ["u", "v", "w"], "left").join(model.after_two, ["u", "v"], "left").join(two, ["v", "w"])
+    one = pairs.select("w").distinct().join(dealt(model.one), "w", "left").select("w", own.alias("p1"))
+    two = pairs.join(dealt(model.two), ["v", "w"], "left").join(dealt(model.after_one), "v", "left").join(dealt(one), "w").select("v", "w", mixed(d2, "p1").alias("p2"))
+    three = grams.join(dealt(model.three), ["u", "v", "w"], "left").join(dealt(model.after_two), ["u", "v"], "left").join(dealt(two), ["v", "w"])
     return three.select("u", "v", "w", mixed(d3, "p2").alias("p"))
 
 
@@ -103,10 +104,10 @@ def score(model: Model, rows: DataFrame, key: list[str], prompt: str, completion
     split = rows.select(*key, once(F.struct(before.alias("before"), after.alias("after"))).alias("_words"))
     own = split.select(*key, F.explode(grams).alias("g")).groupBy(*key, "g.u", "g.v", "g.w").agg(F.count("*").alias("times"))
     p = probabilities(model, own.select("u", "v", "w").distinct())
-    sums = own.join(p, ["u", "v", "w"]).groupBy(*key).agg(F.sum("times").alias("n_tokens"), F.sum(F.col("times") * F.log("p")).alias("logprob"))
+    sums = own.join(dealt(p), ["u", "v", "w"]).groupBy(*key).agg(F.sum("times").alias("n_tokens"), F.sum(F.col("times") * F.log("p")).alias("logprob"))
     named = sums.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), "n_tokens", "logprob")
     same = None
     for i, k in enumerate(key):
         same = F.col(k).eqNullSafe(F.col(f"_k{i}")) if same is None else same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    every = rows.select(*key).distinct().join(named, same, "left")
+    every = rows.select(*key).distinct().join(dealt(named), same, "left")
     return every.select(*key, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("logprob", F.lit(0.0)).alias("logprob"))

@@ -9,14 +9,14 @@ from ..operators import density, latent
 from ..operators import language_model as L
 from ..operators import vectors as V
 from ..registry import query
-from ..sources.views import table
+from ..sources.views import dealt, table
 
 
 def _pairs(spark, sf_dir):
     """(conv_id, turn, prompt, answer): each assistant turn with the turn before it."""
     rows = table(spark, sf_dir, "conversations")
     before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
-    return rows.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer")).join(before, ["conv_id", "turn"])
+    return rows.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer")).join(dealt(before), ["conv_id", "turn"])
 
 
 TOKEN_SQL = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+|[^\s\p{{L}}\p{{N}}_]')"

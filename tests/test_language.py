@@ -78,6 +78,16 @@ def test_completions_are_scored_after_their_prompt(spark, model):
     assert L.score(model, df.limit(0), ["k"], "q", "u").count() == 0
 
 
+def test_no_table_of_words_is_broadcast(spark, model):
+    import __spark_entry__
+
+    rows = spark.createDataFrame([(1, "the bank", "must hold capital")], "id long, prompt string, answer string")
+    for found in (L.score(model, rows, ["id"], "prompt", "answer"), __spark_entry__.queries()["completion_logprobs"](spark, SF)):
+        assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+        found.collect()
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_trigrams_compute_their_words_once(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
     for first in (0, 2, 9):
