@@ -75,7 +75,7 @@ def spanning_tree(s: N.Space, samples: int, listed: int | None = None, span: int
     Up to `span` links or components are merged by one task, more by joins; the tree is the same.
     """
     k = listed or 2 * samples
-    lists = restarted(N.nearest(s, k))
+    lists = N.nearest(s, k)
     core = F.coalesce(F.element_at("d", F.least(F.lit(samples), F.size("d"))), F.lit(0.0))
     cores = lists.select("id", core.alias("core"), F.when(F.size("d") == k, F.element_at("d", -1)).otherwise(F.lit(float("inf"))).alias("last"))
     # limit: links of at least this weight may be missing from the vector's list
@@ -383,22 +383,107 @@ def clusters(rows: DataFrame, key: str, vector: str, least: int = 10, samples: i
     return rows.join(topics, F.col(key) == F.col("_id"), "left").withColumn("topic", F.coalesce("topic", F.lit(-1))).drop("_id")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], most: int, size: int) -> Iterator[pa.Table]:
+    """Tables of rows that are sorted by their first column: whole groups of equal values, `most` of them and `size` rows at most, or one group."""
+    rest = None
+    for b in batches:
+        rest = pa.concat_tables([*([rest] if rest is not None else []), pa.Table.from_batches([b])]).combine_chunks()
+        while rest.num_rows > size:
+            cuts = _starts(rest)
+            whole = cuts[1 : most + 1]  # where whole groups end; the last group may go on
+            if not len(whole):
+                break
+            end = int(whole[max(0, int(np.searchsorted(whole, size, "right")) - 1)])
+            yield rest.slice(0, end)
+            rest = rest.slice(end).combine_chunks()
+    while rest is not None and rest.num_rows:
+        cuts = _starts(rest)
+        end = int(cuts[most]) if len(cuts) > most else rest.num_rows
+        yield rest.slice(0, end)
+        rest = rest.slice(end).combine_chunks()
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where groups of equal values of the first column begin."""
+    group = rows.column(0).combine_chunks().dictionary_encode()
+    group = group.chunk(0) if isinstance(group, pa.ChunkedArray) else group
+    return np.flatnonzero(np.r_[True, np.diff(group.indices.to_numpy()) != 0])
+
+
+#: Outliers and topics of a piece at most, words of a piece (about), numbers in a table of words and topics (about).
+LOST, TOPICS, WORDS, CELLS = 1024, 256, 1 << 18, 1 << 22
+
+
+def _closest(lost: DataFrame, weight: DataFrame) -> DataFrame:
+    """(_k, cosine, t) of lost (_k, _at, _y) and weight (_t, _at, _x): for each _k the topic of the greatest cosine (but for the length of _k's words), in parts."""
+    lengths = weight.groupBy("_t").agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_norm"))
+    unit = weight.join(lengths, "_t").select("_t", "_at", (F.col("_x") / F.col("_norm")).alias("_x"))
+
+    def packed(most: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _pieces(batches, most, WORDS):
+                yield pa.RecordBatch.from_arrays([pa.array([N._bytes(part)], pa.binary())], names=["piece"])
+
+        return run
+
+    table = lambda rows, by, most: restarted(rows.repartition(by).sortWithinPartitions(by).mapInArrow(packed(most), "piece binary"))
+    left = restarted(table(lost, "_k", LOST).select(F.monotonically_increasing_id().alias("number"), F.col("piece").alias("lost")))
+    right = table(unit, "_t", TOPICS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[int, tuple] = {}  # two numbers and the key for each outlier of the task
+        now, y = None, None
+        for b in batches:
+            for i, number in enumerate(b.column(0).to_pylist()):
+                if number != now:
+                    rows, now = N._table(b.column(1)[i]), number
+                    starts = _starts(pa.Table.from_batches([rows]))
+                    known, at = np.unique(rows.column(1).to_numpy(), return_inverse=True)
+                    y = rows.column(2).to_numpy()
+                    if number not in state:
+                        state[number] = rows.column(0).take(pa.array(starts)), np.zeros(len(starts)), np.full(len(starts), -1, np.int64)
+                _, best, topic = state[number]
+                topics = N._table(b.column(2)[i])
+                names, of = np.unique(topics.column(0).to_numpy(), return_inverse=True)
+                place = np.searchsorted(known, topics.column(1).to_numpy())
+                ok = np.flatnonzero(known[np.minimum(place, len(known) - 1)] == topics.column(1).to_numpy())
+                place, of, x = place[ok], of[ok], topics.column(2).to_numpy()[ok]
+                step = max(1, CELLS // max(len(known), len(y)))
+                for t in range(0, len(names), step):
+                    some = (of >= t) & (of < t + step)
+                    dense = np.zeros((len(known), min(step, len(names) - t)))
+                    dense[place[some], of[some] - t] = x[some]
+                    dots = np.add.reduceat(dense[at] * y[:, None], starts)
+                    rounded = np.round(dots, 12)
+                    first = rounded.argmax(1)  # of equal cosines the smallest topic comes first
+                    value, name = rounded[np.arange(len(first)), first], names[t + first]
+                    new = (dots[np.arange(len(first)), first] > 0) & ((value > best) | (value == best) & ((topic < 0) | (name < topic)))
+                    best[new], topic[new] = value[new], name[new]
+        for keys, best, topic in state.values():
+            found = np.flatnonzero(topic >= 0)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(found)), pa.array(best[found]), pa.array(topic[found])], names=["_k", "cosine", "t"])
+
+    pairs = left.crossJoin(right.hint("shuffle_replicate_nl")).select("number", "lost", "piece")
+    tasks = max(1, left._jdf.rdd().getNumPartitions())
+    return pairs.coalesce(tasks).mapInArrow(run, f"_k {lost.schema['_k'].dataType.simpleString()}, cosine double, t long")
+
+
 def reassigned(rows: DataFrame, key: str, text: str, topic: str = "topic", token: str = r"[\p{L}]{2,}") -> DataFrame:
     """rows with `topic` of outliers (-1) replaced by the topic of the most similar words, and `moved`, whether it was.
 
     A topic's words weigh their share in it times ln(1 + words of a topic on average / occurrences in all topics); an outlier
     goes to the topic of the greatest cosine with its own words, weighed alike, ties to the smaller topic. Without a common word it stays -1.
-    Only words of outliers that a topic has are joined; each gives a row for each topic that has it. key is unique.
+    Only words of outliers that a topic has are joined. Outliers meet all topics in numpy, pieces of both read from the checkpoint folder (`_closest`):
+    no row for an outlier and a topic is shuffled, of which there are as many as their product. A task holds one topic's words at least. key is unique.
     """
     words = rows.select(F.col(key).alias("_k"), F.col(topic).alias("_t"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(token), F.lit(0))).alias("_w"))
-    mine = words.where("_t >= 0").groupBy("_t", "_w").agg(F.count("*").alias("_n"))
+    mine = restarted(words.where("_t >= 0").groupBy("_t", "_w").agg(F.count("*").alias("_n")))
     total = mine.groupBy("_t").agg(F.sum("_n").alias("_all"))
     every = mine.groupBy("_w").agg(F.sum("_n").alias("_f")).crossJoin(F.broadcast(total.agg(F.avg("_all").alias("_avg"))))  # one row
-    idf = every.select("_w", F.log(1 + F.col("_avg") / F.col("_f")).alias("_idf"))
-    weight = mine.join(total, "_t").join(idf, "_w").select("_t", "_w", (F.col("_n") / F.col("_all") * F.col("_idf")).alias("_x"))
-    norm = weight.groupBy("_t").agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_norm"))
-    lost = words.where("_t < 0").groupBy("_k", "_w").agg(F.count("*").alias("_m")).join(idf, "_w")
-    near = lost.join(weight, "_w").groupBy("_k", "_t").agg(F.sum(F.col("_m") * F.col("_idf") * F.col("_x")).alias("_dot")).join(norm, "_t")
-    best = near.groupBy("_k").agg(F.min(F.struct((-F.round(F.col("_dot") / F.col("_norm"), 12)).alias("far"), F.col("_t").alias("t"))).alias("_best"))
+    idf = restarted(every.select("_w", F.log(1 + F.col("_avg") / F.col("_f")).alias("_idf"), F.monotonically_increasing_id().alias("_at")))
+    weight = mine.join(total, "_t").join(idf, "_w").select(F.col("_t").cast("long").alias("_t"), "_at", (F.col("_n") / F.col("_all") * F.col("_idf")).alias("_x"))
+    lost = words.where("_t < 0").groupBy("_k", "_w").agg(F.count("*").alias("_m")).join(idf, "_w").select("_k", "_at", (F.col("_m") * F.col("_idf")).alias("_y"))
+    one = F.struct((-F.round("cosine", 12)).alias("far"), "t")
+    best = _closest(lost, weight).groupBy("_k").agg(F.min(one).alias("_best"))
     out = rows.join(best, F.col(key) == F.col("_k"), "left")
-    return out.select(*(F.coalesce("_best.t", topic).alias(c) if c == topic else c for c in rows.columns), F.col("_best").isNotNull().alias("moved"))
+    return out.select(*(F.coalesce(F.col("_best.t").cast(rows.schema[topic].dataType), topic).alias(c) if c == topic else c for c in rows.columns), F.col("_best").isNotNull().alias("moved"))

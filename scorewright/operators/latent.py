@@ -2,8 +2,9 @@
 
 The matrix stays in Spark, a row for each text with its term numbers and weights. One iteration multiplies it with a dense matrix of (terms x
 width) numbers, and with its own transpose: a task adds up (terms x width) numbers over its rows, and only these sums leave it, in
-blocks of terms. The driver orthogonalises that tall matrix (QR), and in the end solves the small problem in the span of all iterates. So what
-is broadcast and what comes back is bounded by the terms and the width, whatever the number of texts.
+blocks of terms. The driver orthogonalises that tall matrix (QR), and in the end solves the small problem in the span of all iterates, for which tasks add up its (width x width)
+numbers only. What is broadcast and what comes back is bounded by the terms and the width, and what is shuffled also by the tasks that run at a time,
+whatever the number of texts.
 """
 
 from __future__ import annotations
@@ -94,6 +95,22 @@ def _gram(shared):
     return run
 
 
+def _square(shared):
+    """(sums): (A m)^T (A m) of a task's rows, width x width numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        total = np.zeros((m.shape[1], m.shape[1]))
+        for b in batches:
+            for s in range(0, b.num_rows, 512):
+                part = b.slice(s, 512)
+                y = _times(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.columns], names=part.schema.names), 0, m)
+                total += y.T @ y
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    return run
+
+
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of blocks of equal number within a task."""
     total: dict[int, np.ndarray] = {}
@@ -113,10 +130,11 @@ def decomposed(texts: DataFrame, key: str, text: str, k: int, rounds: int = 4, t
     if not width:
         return Space(rows, table, np.zeros((0, 0)), np.zeros(0))
     context = rows.sparkSession.sparkContext
+    few = rows.select("at", "w").coalesce(context.defaultParallelism)  # each task gives a whole matrix of sums: as many as run at a time
 
     def gram(m: np.ndarray) -> np.ndarray:
         shared = context.broadcast(m)  # terms x width numbers
-        sums = rows.select("at", "w").mapInArrow(_gram(shared), "block int, sums binary").repartition("block").mapInArrow(_added, "block int, sums binary").collect()  # as many
+        sums = few.mapInArrow(_gram(shared), "block int, sums binary").repartition("block").mapInArrow(_added, "block int, sums binary").collect()  # as many
         shared.destroy()
         return np.concatenate([np.frombuffer(bytes(r["sums"]), np.float64).reshape(-1, m.shape[1]) for r in sorted(sums, key=lambda r: r["block"])])
 
@@ -124,8 +142,10 @@ def decomposed(texts: DataFrame, key: str, text: str, k: int, rounds: int = 4, t
     for _ in range(rounds):
         iterates.append(np.linalg.qr(gram(iterates[-1]))[0])
     m = np.linalg.qr(np.concatenate(iterates, axis=1))[0]
-    z = gram(m)
-    square, turn = np.linalg.eigh((m.T @ z + z.T @ m) / 2)
+    shared = context.broadcast(m)
+    parts = few.mapInArrow(_square(shared), "sums binary").collect()  # width x width numbers of each task
+    shared.destroy()
+    square, turn = np.linalg.eigh(sum((np.frombuffer(bytes(r["sums"]), np.float64).reshape(m.shape[1], -1) for r in parts), np.zeros((m.shape[1],) * 2)))
     order = np.argsort(-square)[:k]
     directions = m @ turn[:, order]
     flip = np.sign(directions[np.abs(directions).argmax(0), np.arange(directions.shape[1])])

@@ -2,9 +2,9 @@
 
 Every vector lies in the cell of its nearest pivot. A block holds several cells that lie near each other, or part of a large one; its size is bounded. A search has owners, each with a bound on the distance
 of what it looks for. A vector meets a cell only if it may lie within the bound of an owner there: if its distance from the
-cell's pivot is no more than the largest sum, over the cell's owners, of an owner's distance from the pivot and its bound. It is sent to the
-blocks that have such a cell. A task holds the owners of one block by their cells and reads what was sent to it in batches; a table of distances has `AREA` numbers
-at most. So no pair of vectors is shuffled, and a vector is sent to a block once at most: where bounds rule nothing out, as many times as there are blocks, not cells.
+cell's pivot is no more than the largest sum, over the cell's owners, of an owner's distance from the pivot and its bound. Pieces of
+vectors are written once, and each task, which holds the owners of one block by their cells, reads those that may meet it from there; a table of distances has `AREA`
+numbers at most. So neither pairs nor copies of vectors are shuffled, and disk grows with the vectors, also where bounds rule nothing out.
 Only the pivots (`PIVOTS` at most) and one number for each cell come to the driver.
 """
 
@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.folders import checkpointed
+from ..sources.folders import checkpointed, restarted
 
-#: Pivots at most, owners of a block at most and at least (about), vectors compared with a cell at a time, numbers in a table at most (about).
-PIVOTS, BLOCK, SMALL, STEP, AREA = 1024, 16_384, 512, 1024, 1 << 20
+#: Pivots at most, owners of a block at most and at least (about), vectors compared with a cell at a time, numbers in a table at most (about), bytes of others that a task holds (about).
+PIVOTS, BLOCK, SMALL, STEP, AREA, HELD = 1024, 16_384, 512, 1024, 1 << 20, 64 << 20
 #: Distances that differ by less than this share may be equal: they are computed again from differences.
 NEAR = 1e-9
 POINT = "id long, x binary, cell int, block long, reach double, core double, comp long, bound double"
@@ -112,48 +112,118 @@ def space(rows: DataFrame, key: str, vector: str, per_cell: int, pivots: int = P
     return Space(placed.withColumn("block", number), p, ids, first, blocks)
 
 
+def _bytes(part: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, part.schema) as writer:
+        writer.write_table(part)
+    return sink.getvalue().to_pybytes()
+
+
+def _table(value: pa.BinaryScalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(value.as_buffer()).read_all().combine_chunks().to_batches()[0]
+
+
+def met(owners: DataFrame, others: DataFrame, blocks: int, width: int, meets: Callable, work: Callable, out: str) -> DataFrame:
+    """work(pairs) over pairs (block, owners' rows, others' rows) of a block and a piece of others that may meet it, as rows of the schema out.
+
+    owners and others have a column block, 0 to blocks - 1, and binary vectors of `width` numbers; meets(rows) gives the blocks that a piece of others
+    may meet, in rows (piece's row, block). Pieces lie in the checkpoint folder once and tasks read them there: no copy for each block is shuffled. The
+    pairs of a block follow each other in one task; where the folder has places that Spark prefers, they may be in several, so results are partial.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held).sort_by("block")
+            block = rows.column("block").to_numpy()
+            at = np.flatnonzero(np.r_[True, np.diff(block) > 0, True])
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(block[i : i + 1]), pa.array([_bytes(rows.slice(i, j - i))], pa.binary())], names=["block", "owners"])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held).sort_by([("block", "ascending"), ("cell", "ascending")])
+            for i in range(0, rows.num_rows, STEP):
+                part = rows.slice(i, STEP)
+                to = np.unique(meets(part.combine_chunks().to_batches()[0])[1])
+                if len(to):
+                    yield pa.RecordBatch.from_arrays([pa.array([to.tolist()], pa.list_(pa.int64())), pa.array([_bytes(part)], pa.binary())], names=["meets", "others"])
+
+    def useful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, STEP):
+                part = b.slice(k, STEP)
+                yield part.take(pa.array(np.unique(meets(part)[0])))
+
+    fields = lambda df: ", ".join(f"{n} {t}" for n, t in df.dtypes)
+    group = int(max(1, HELD // (BLOCK * (8 * width + 64))))  # blocks in a partition of pieces, which a task holds
+    number = (F.col("block") / group).cast("int")
+    left = restarted(owners.repartitionById(blocks, F.col("block").cast("int")).mapInArrow(whole, "block long, owners binary"))
+    right = restarted(others.mapInArrow(useful, fields(others)).repartitionById(-(-blocks // group), number).mapInArrow(pieces, "meets array<long>, others binary"))
+    pairs = left.crossJoin(right.hint("shuffle_replicate_nl")).where(F.array_contains("meets", F.col("block"))).select("block", "owners", "others")
+    return pairs.coalesce(blocks).mapInArrow(work, out)
+
+
 def search(s: Space, owners: DataFrame, others: DataFrame, work: Callable, out: str, own_block: bool = False) -> DataFrame:
     """work(owners), fed with others by add(ids, x, core, comp), for each cell of each block, as rows of the schema out.
 
     owners and others have the columns of POINT (others' reach and bound are not read); owners' reach is the distance
     that their cell's pivot may have from what they look for. own_block: others are sent to their own block only and meet all of its cells.
+    Without it the results of a cell may come in parts.
     """
-    reach = np.full(len(s.blocks), -1.0)
-    if not own_block:
-        for r in owners.groupBy("cell").agg(F.max("reach").alias("r")).collect():  # at most PIVOTS rows
-            reach[r["cell"]] = r["r"]
     p, names = s.pivots, [f.split()[0] for f in POINT.split(", ")]
-    order = np.argsort(s.first, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(s.first[order]) > 0])  # cells that share a block, or a cell with several
-    first, count = s.first[order][starts], s.blocks[order][starts]
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, STEP):
-                part = b.slice(k, STEP)
-                may = distances(matrix(part.column(1)), p) <= reach * (1 + NEAR) + NEAR
-                row, group = np.nonzero(np.logical_or.reduceat(may[:, order], starts, axis=1))
-                times = count[group]
-                row, to = np.repeat(row, times), np.repeat(first[group], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                for j in range(0, len(row), 4 * STEP):
-                    got = part.take(pa.array(row[j : j + 4 * STEP]))
-                    n = got.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(to[j : j + n]) if c == "block" else got.column(i) for i, c in enumerate(names)] + [pa.array(np.ones(n, np.int32))], names=[*names, "role"])
-
-    sent = others.select(*names)
-    sent = sent.withColumn("role", F.lit(1)) if own_block else sent.mapInArrow(send, POINT + ", role int")
-    every = owners.select(*names, F.lit(0).alias("role")).unionByName(sent)
-    dealt = every.repartition(int((s.first + s.blocks).max()), "block").sortWithinPartitions("block", "role")
 
-    def begun(held: list[pa.RecordBatch]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    def begun(rows: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
         """Work of each cell, how many owners it has, its pivot and reach."""
-        all_ = pa.Table.from_batches(held).sort_by("cell").combine_chunks().to_batches()[0]
+        all_ = rows.sort_by("cell").combine_chunks().to_batches()[0]
         cell = all_.column(2).to_numpy()
         at = np.flatnonzero(np.r_[True, np.diff(cell) > 0, True])
         parts = [all_.slice(i, j - i) for i, j in zip(at[:-1], at[1:], strict=True)]
         far = [np.inf if own_block else part.column(4).to_numpy().max() for part in parts]
         return [work(part) for part in parts], np.diff(at), p[cell[at[:-1]]], np.array(far)
 
+    def fed(state: tuple, part: pa.RecordBatch) -> None:
+        """At most STEP others for the cells that they may meet."""
+        ids, x, core, comp = part.column(0).to_numpy(), matrix(part.column(1)), part.column(5).to_numpy(), part.column(6).to_numpy()
+        may = distances(x, state[2]) <= state[3] * (1 + NEAR) + NEAR
+        for c, w in enumerate(state[0]):
+            rows, step = np.flatnonzero(may[:, c]), max(16, AREA // int(state[1][c]))
+            for j in range(0, len(rows), step):
+                some = rows[j : j + step]
+                w.add(ids[some], x[some], core[some], comp[some])
+
+    if not own_block:
+        reach = np.full(len(s.blocks), -1.0)
+        for r in owners.groupBy("cell").agg(F.max("reach").alias("r")).collect():  # at most PIVOTS rows
+            reach[r["cell"]] = r["r"]
+        order = np.argsort(s.first, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(s.first[order]) > 0])  # cells that share a block, or a cell with several
+        first, count = s.first[order][starts], s.blocks[order][starts]
+
+        def meets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            may = distances(matrix(part.column(1)), p) <= reach * (1 + NEAR) + NEAR
+            row, group = np.nonzero(np.logical_or.reduceat(may[:, order], starts, axis=1))
+            times = count[group]
+            return np.repeat(row, times), np.repeat(first[group], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+
+        def run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state, now = None, None
+            for b in batches:
+                for k, block in enumerate(b.column(0).to_pylist()):
+                    if block != now:
+                        for w in state[0] if state is not None else ():
+                            yield from w.result()
+                        state, now = begun(pa.Table.from_batches([_table(b.column(1)[k])])), block
+                    fed(state, _table(b.column(2)[k]))
+            for w in state[0] if state is not None else ():
+                yield from w.result()
+
+        return met(owners.select(*names), others.select(*names), int((s.first + s.blocks).max()), p.shape[1], meets, run_pairs, out)
+
+    every = owners.select(*names, F.lit(0).alias("role")).unionByName(others.select(*names).withColumn("role", F.lit(1)))
+    dealt = every.repartition(int((s.first + s.blocks).max()), "block").sortWithinPartitions("block", "role")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         state, now = None, None
@@ -171,16 +241,9 @@ def search(s: Space, owners: DataFrame, others: DataFrame, work: Callable, out:
                     held.append(b.slice(a, e - a))
                     continue
                 if state is None and held:
-                    state, held = begun(held), []
+                    state, held = begun(pa.Table.from_batches(held)), []
                 for k in range(a, e if state is not None else a, STEP):
-                    part = b.slice(k, min(STEP, e - k))
-                    ids, x, core, comp = part.column(0).to_numpy(), matrix(part.column(1)), part.column(5).to_numpy(), part.column(6).to_numpy()
-                    may = distances(x, state[2]) <= state[3] * (1 + NEAR) + NEAR
-                    for c, w in enumerate(state[0]):
-                        rows, step = np.flatnonzero(may[:, c]), max(16, AREA // int(state[1][c]))
-                        for j in range(0, len(rows), step):
-                            some = rows[j : j + step]
-                            w.add(ids[some], x[some], core[some], comp[some])
+                    fed(state, b.slice(k, min(STEP, e - k)))
         for w in state[0] if state is not None else ():
             yield from w.result()
 
@@ -233,4 +296,8 @@ def nearest(s: Space, k: int) -> DataFrame:
     rough = search(s, blank, blank, lambda b: Knn(b, k), out, own_block=True)
     kth = F.when(F.size("d") == k, F.element_at("d", -1)).otherwise(F.lit(float("inf")))
     bounded = checkpointed(blank.drop("reach").join(rough.select("id", kth.alias("_u")), "id").withColumn("reach", F.col("far") + F.col("_u")))
-    return search(s, bounded, bounded, lambda b: Knn(b, k), out)
+    found = restarted(search(s, bounded, bounded, lambda b: Knn(b, k), out))
+    if found.count() == bounded.count():
+        return found
+    one = F.flatten(F.collect_list(F.arrays_zip("d", "q")))  # a vector's lists in parts
+    return restarted(found.groupBy("id").agg(F.slice(F.array_sort(one), 1, k).alias("x")).select("id", "x.d", "x.q"))

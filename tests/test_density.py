@@ -176,3 +176,38 @@ def test_merging_a_range():
     assert len(set(new.values())) == 1 and sizes[new[1]] == 13
     assert absorbed == {1: 8, 2: 8, 3: 8}
     assert events == [(8, None, 3, 2.0), (8, None, 3, 2.0), (8, None, 1, 1.0), (9, 8, 7, 0.5), (9, 7, 6, 0.5)]
+
+
+def test_shuffles_grow_with_the_vectors_not_with_pairs(spark):
+    x = np.random.default_rng(2).normal(size=(1200, 12))  # bounds rule nothing out: each of 20 blocks meets all vectors
+    s = N.space(frame(spark, x), "k", "v", 5, block=60)
+    every = s.points.selectExpr("id", "x", "cell", "block", "double('inf') as reach", "0d as core", "id as comp", "0d as bound")
+    plan = N.search(s, every, every, lambda b: N.Knn(b, 5), "id long, d array<double>, q array<long>")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_outliers_meet_topics_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join("w" + chr(97 + int(i)) for i in rng.integers(0, 26, 8)), int(rng.integers(-1, 9))) for k in range(300)]
+    df = spark.createDataFrame(rows, "k int, text string, topic int")
+    whole = {r.k: (r.topic, r.moved) for r in D.reassigned(df, "k", "text").collect()}
+    for name, v in (("LOST", 3), ("TOPICS", 2), ("WORDS", 20), ("CELLS", 64)):
+        monkeypatch.setattr(D, name, v)
+    plan = D.reassigned(df, "k", "text")
+    assert whole == {r.k: (r.topic, r.moved) for r in plan.collect()} and "_dot" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    share, size = {}, {}
+    for _, text, t in rows:
+        for w in text.split() if t >= 0 else ():
+            share.setdefault(t, {}).setdefault(w, 0)
+            share[t][w] += 1
+    size = {t: sum(c.values()) for t, c in share.items()}
+    mean, f = sum(size.values()) / len(size), {}
+    for c in share.values():
+        for w, n in c.items():
+            f[w] = f.get(w, 0) + n
+    idf = {w: np.log(1 + mean / n) for w, n in f.items()}
+    x = {t: {w: n / size[t] * idf[w] for w, n in c.items()} for t, c in share.items()}
+    for k, text, t in rows:
+        if t < 0:
+            score = {u: sum(idf[w] * x[u].get(w, 0) for w in text.split()) / np.sqrt(sum(v * v for v in x[u].values())) for u in x}
+            assert whole[k] == (min(score, key=lambda u: (-round(score[u], 12), u)), True)
