@@ -2,10 +2,10 @@
 
 Labels and vectors are taken at length 1, where the cosine falls as the distance grows. Labels lie in cells around pivots, a sample of
 them, and a cell in blocks of bounded size; a row for each cell (pivot and radius) is all that tasks carry. First a vector goes to the cell of its
-nearest pivot, which gives it its two best labels so far. Then it goes to every other cell that may hold a nearer one than the second: those
-whose pivot is no farther than that distance and the cell's radius together. A task holds one block of labels and reads the vectors
-sent to it in batches, whose tables of similarities have a bounded size; it gives two labels for each, and an aggregate keeps the best two. So no vector meets a label
-that the bounds rule out, and none is left out that they don't.
+nearest pivot, which gives it its two best labels so far. Then it meets every other cell that may hold a nearer one than the second: those
+whose pivot is no farther than that distance and the cell's radius together. A task holds one block of vectors with their two best labels, and reads the pieces of labels
+that may be near from the checkpoint folder, where they lie once; tables of similarities have a bounded size. So no vector meets a label
+that the bounds rule out, none is left out that they don't, and nothing is written for a vector and a block of labels.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.folders import checkpointed
-from .neighbours import AREA, NEAR, distances, matrix, usable
+from .neighbours import AREA, NEAR, SMALL, _table, distances, matrix, met, packed, usable
 
 #: Cells of labels at most, labels of a block at most (about), vectors compared at a time.
 CELLS, BLOCK, STEP = 1024, 16_384, 1024
@@ -82,6 +82,74 @@ def _best_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "label", "similarity", "compared"])
 
 
+def _meets(p: np.ndarray, reach: np.ndarray, first: np.ndarray, blocks: np.ndarray):
+    """For `met`: the blocks of vectors that have a cell within whose reach a label lies."""
+
+    def run(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        row, cell = np.nonzero(distances(matrix(part.column(1)), p) <= reach * (1 + NEAR) + NEAR)
+        times = blocks[cell]
+        return np.repeat(row, times), np.repeat(first[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+
+    return run
+
+
+class Two:
+    """The two best labels so far of each vector of a block, by similarity, then label."""
+
+    def __init__(self, owners: pa.RecordBatch):
+        self.ids, self.v, self.cell, self.bound = owners.column(0), matrix(owners.column(1)), owners.column(2).to_numpy(), owners.column(3).to_numpy()
+        n = len(self.cell)
+        self.sim, self.label, self.compared = np.full((2, n), -np.inf), np.full((2, n), -1, np.int64), np.zeros(n, np.int64)
+
+    def add(self, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> None:
+        """labels, sorted by ids, for the vectors of some rows."""
+        for k in range(0, len(rows), step := max(16, AREA // len(ids))):
+            some = rows[k : k + step]
+            sim = self.v[some] @ labels.T
+            np.round(sim, 12, out=sim)
+            self.compared[some] += len(ids)
+            for _ in range(min(2, len(ids))):
+                at = sim.argmax(1)
+                s, name = sim[np.arange(len(some)), at], ids[at]
+                sim[np.arange(len(some)), at] = -np.inf
+                for place in range(2):  # what is better than the first pushes it to the second place
+                    old, other = self.sim[place, some], self.label[place, some]
+                    new = (s > old) | (s == old) & (name < other)
+                    self.sim[place, some], self.label[place, some] = np.where(new, s, old), np.where(new, name, other)
+                    s, name = np.where(new, old, s), np.where(new, other, name)
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        for place in range(2):
+            found = np.flatnonzero(self.label[place] >= 0) if place else np.flatnonzero(self.compared)
+            compared = np.zeros(len(found), np.int64) if place else self.compared[found]
+            yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(found)), *(pa.array(c) for c in (self.label[place, found], self.sim[place, found], compared))], names=["id", "label", "similarity", "compared"])
+
+
+def _two_of_pieces(p: np.ndarray, radius: np.ndarray):
+    """For `met`: two rows FOUND for each vector of a block, of the labels in other cells that its bound doesn't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, now = None, None
+        for b in batches:
+            for i, block in enumerate(b.column(0).to_pylist()):
+                if block != now:
+                    if state is not None:
+                        yield from state.result()
+                    state, now = Two(_table(b.column(1)[i])), block
+                part = _table(b.column(2)[i])
+                ids, v, cell = part.column(0).to_numpy(), matrix(part.column(1)), part.column(2).to_numpy()
+                order = np.lexsort((ids, cell))
+                cells, starts = np.unique(cell[order], return_index=True)
+                may = (distances(state.v, p[cells]) <= (state.bound[:, None] + radius[cells]) * (1 + NEAR) + NEAR) & (state.cell[:, None] != cells)
+                for c, some in enumerate(np.split(order, starts[1:])):
+                    if may[:, c].any():
+                        state.add(ids[some], v[some], np.flatnonzero(may[:, c]))
+        if state is not None:
+            yield from state.result()
+
+    return run
+
+
 FOUND = "id long, label long, similarity double, compared long"
 
 
@@ -130,32 +198,34 @@ def nearest_labels(rows: DataFrame, key: str, vector: str, own: str, labels: Dat
     def meet(sent: DataFrame) -> DataFrame:
         return label_side.unionByName(sent).repartition("block").sortWithinPartitions("block", "role").mapInArrow(_best_two, FOUND)
 
-    def send(bounded: bool):
-        """Each vector to all blocks of its own cell, or of the cells that its bound doesn't rule out."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for s in range(0, b.num_rows, STEP // 4):
-                    part = b.slice(s, STEP // 4)
-                    cell = part.column(2).to_numpy()
-                    if bounded:
-                        reach = part.column(3).to_numpy()[:, None] + radius
-                        may = distances(matrix(part.column(1)), p) <= reach * (1 + NEAR) + NEAR
-                        may[np.arange(len(cell)), cell] = False
-                        row, to = np.nonzero(may)
-                    else:
-                        row, to = np.arange(len(cell)), cell
-                    times = blocks[to]
-                    where = np.repeat(first[to], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    yield from _copies(part, np.repeat(row, times), where)
-
-        return run
-
-    near = checkpointed(meet(vectors.mapInArrow(send(False), SENT)))
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector to all blocks of its own cell."""
+        for b in batches:
+            for s in range(0, b.num_rows, STEP // 4):
+                part = b.slice(s, STEP // 4)
+                to = part.column(2).to_numpy()
+                times = blocks[to]
+                where = np.repeat(first[to], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                yield from _copies(part, np.repeat(np.arange(len(to)), times), where)
+
+    near = checkpointed(meet(vectors.mapInArrow(send, SENT)))
     second = F.sqrt(F.greatest(F.lit(0.0), 2 + 2 * F.col("b.far"))) + 1e-6  # the distance of a similarity, rounded up
     bound = F.coalesce(second, F.lit(3.0))
-    todo = vectors.join(_top(near).select("id", bound.alias("bound")), "id", "left").select("id", "v", "cell", F.coalesce("bound", F.lit(3.0)).alias("bound"))
-    found = checkpointed(near.unionByName(meet(todo.mapInArrow(send(True), SENT))))
+    # blocks of vectors, to which labels of other cells come
+    held = {r["cell"]: r["count"] for r in vectors.groupBy("cell").count().collect()}  # at most CELLS rows
+    most = min(block, max(SMALL, sum(held.values()) // (4 * rows.sparkSession.sparkContext.defaultParallelism)))
+    own_first, own_blocks = packed(p, [held.get(c, 0) for c in range(len(p))], most)
+    own_number = lit(own_first).cast("long") + F.pmod(F.xxhash64("id"), lit(own_blocks))
+    todo = vectors.join(_top(near).select("id", bound.alias("bound")), "id", "left").select("id", "v", "cell", "far", F.coalesce("bound", F.lit(3.0)).alias("bound"), own_number.alias("block"))
+    todo = checkpointed(todo)
+    reach = np.full(len(p), -1.0)
+    for r in todo.groupBy("cell").agg(F.max(F.col("far") + F.col("bound")).alias("r")).collect():  # at most CELLS rows
+        reach[r["cell"]] = r["r"]
+    label_first, label_blocks = packed(p, [stats[c][0] if c in stats else 0 for c in range(len(p))], block)
+    every = own_cells.select("id", "v", "cell", (lit(label_first).cast("long") + F.pmod(F.xxhash64("id"), lit(label_blocks))).alias("block"))
+    n_blocks, n_kept = int((own_first + own_blocks).max()), int((label_first + label_blocks).max())
+    far = met(todo.select("id", "v", "cell", "bound", "block"), every, n_blocks, n_kept, p.shape[1], _meets(p, reach, own_first, own_blocks), _two_of_pieces(p, radius), FOUND)
+    found = checkpointed(near.unionByName(far))
     top = _top(found).select(F.col("id").alias("_id"), F.col("a.label").alias("predicted"), (-F.col("a.far")).alias("similarity"), F.col("b.label").alias("_next"), (-F.col("b.far")).alias("_second"), "compared")
     mine = vectors.select("id", "v").join(rows.select(F.col(key).cast("long").alias("id"), F.col(own).cast("long").alias("_own")), "id").join(named.select(F.col("id").alias("_own"), F.col("v").alias("_c")), "_own")
 

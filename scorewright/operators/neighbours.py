@@ -123,10 +123,10 @@ def _table(value: pa.BinaryScalar) -> pa.RecordBatch:
     return pa.ipc.open_stream(value.as_buffer()).read_all().combine_chunks().to_batches()[0]
 
 
-def met(owners: DataFrame, others: DataFrame, blocks: int, width: int, meets: Callable, work: Callable, out: str) -> DataFrame:
+def met(owners: DataFrame, others: DataFrame, blocks: int, kept: int, width: int, meets: Callable, work: Callable, out: str) -> DataFrame:
     """work(pairs) over pairs (block, owners' rows, others' rows) of a block and a piece of others that may meet it, as rows of the schema out.
 
-    owners and others have a column block, 0 to blocks - 1, and binary vectors of `width` numbers; meets(rows) gives the blocks that a piece of others
+    owners have a column block, 0 to blocks - 1, others one, 0 to kept - 1, of `BLOCK` rows at most (about), and binary vectors of `width` numbers; meets(rows) gives the blocks that a piece of others
     may meet, in rows (piece's row, block). Pieces lie in the checkpoint folder once and tasks read them there: no copy for each block is shuffled. The
     pairs of a block follow each other in one task; where the folder has places that Spark prefers, they may be in several, so results are partial.
     """
@@ -160,7 +160,7 @@ def met(owners: DataFrame, others: DataFrame, blocks: int, width: int, meets: Ca
     group = int(max(1, HELD // (BLOCK * (8 * width + 64))))  # blocks in a partition of pieces, which a task holds
     number = (F.col("block") / group).cast("int")
     left = restarted(owners.repartitionById(blocks, F.col("block").cast("int")).mapInArrow(whole, "block long, owners binary"))
-    right = restarted(others.mapInArrow(useful, fields(others)).repartitionById(-(-blocks // group), number).mapInArrow(pieces, "meets array<long>, others binary"))
+    right = restarted(others.mapInArrow(useful, fields(others)).repartitionById(-(-kept // group), number).mapInArrow(pieces, "meets array<long>, others binary"))
     pairs = left.crossJoin(right.hint("shuffle_replicate_nl")).where(F.array_contains("meets", F.col("block"))).select("block", "owners", "others")
     return pairs.coalesce(blocks).mapInArrow(work, out)
 
@@ -219,7 +219,8 @@ def search(s: Space, owners: DataFrame, others: DataFrame, work: Callable, out:
             for w in state[0] if state is not None else ():
                 yield from w.result()
 
-        return met(owners.select(*names), others.select(*names), int((s.first + s.blocks).max()), p.shape[1], meets, run_pairs, out)
+        n = int((s.first + s.blocks).max())
+        return met(owners.select(*names), others.select(*names), n, n, p.shape[1], meets, run_pairs, out)
 
     every = owners.select(*names, F.lit(0).alias("role")).unionByName(others.select(*names).withColumn("role", F.lit(1)))
     dealt = every.repartition(int((s.first + s.blocks).max()), "block").sortWithinPartitions("block", "role")

@@ -89,3 +89,16 @@ def test_tables_and_batches_have_a_bounded_size():
     assert len(best) == 1024 and all(best[i][1] == sim[i].argmax() for i in range(1024)) and got["compared"].to_numpy().sum() == 1024 * 16_384
     copies = list(N._copies(sent(1, x).select(["id", "v"]), np.repeat(np.arange(1024), 50), np.tile(np.arange(50), 1024)))
     assert sum(b.num_rows for b in copies) == 1024 * 50 and max(b.num_rows for b in copies) <= 4 * N.STEP
+
+
+def test_two_labels_are_written_for_a_vector_not_for_each_block(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(600, 16))  # bounds rule nothing out
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k long, v array<double>")
+    written = []
+    monkeypatch.setattr(N, "_top", lambda found, own=N._top: (written.append(found.count()), own(found))[1])
+    got = {r.k: (r.predicted, r.best_other, r.compared) for r in nearest_labels(rows, "k", "v", "k", rows.selectExpr("k as label", "v as centroid"), "label").collect()}
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    sim = unit @ unit.T
+    np.fill_diagonal(sim, -1)
+    assert all(got[k][0] == k and abs(got[k][1] - sim[k].max()) < 1e-9 for k in range(600))
+    assert max(written) <= 4 * 600 < sum(c for *_, c in got.values()) / 100
