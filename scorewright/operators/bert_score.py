@@ -1,8 +1,8 @@
 """BERTScore of token sequences with given token vectors, and token vectors from co-occurrence counts.
 
 Each token of the candidate is matched with the most similar token of the reference and the other way round; precision and recall are the
-means of the similarities, weighed by inverse document frequency. Tokens meet their vectors in a join, each different token of a pair once; a pair's
-vectors then lie in one row, and the similarities are blocked matrix products in numpy.
+means of the similarities, weighed by inverse document frequency. Pairs lie in groups of bounded number; the different tokens of a group meet
+their vectors in a join, so a vector is sent once for a group and not for each pair, and the similarities are blocked matrix products in numpy.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from .neighbours import matrix
 
 #: Tokens of one side whose similarities are computed at a time.
 STEP = 2048
+#: Pairs of a group, in which a token's vector is sent once (about).
+PAIRS = 1024
 
 
 def matched(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,17 +49,56 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(number, precision, recall) of rows (number, in candidate, in reference, weight, vectors as bytes)."""
-    for b in batches:
+    """(number, precision, recall) of rows (group, role, number, token, c, r, w, v), sorted: a group's tokens with weight and vector (role 0), then its pairs' tokens."""
+    now, rest, words = None, None, []
+    tokens, weight, vectors = None, None, None
+
+    def scored(rows: pa.Table) -> pa.RecordBatch:
+        """Of whole pairs of the group."""
+        rows = rows.combine_chunks().to_batches()[0]
+        at = pc.index_in(rows.column(3), value_set=tokens)
+        number = rows.column(2).filter(at.is_valid())
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        row = at.drop_null().to_numpy()
+        n_c, n_r = (rows.column(c).to_numpy().astype(np.float64)[known] for c in (4, 5))
+        code = number.dictionary_encode().indices.to_numpy()
+        starts = np.flatnonzero(np.r_[True, np.diff(code) != 0]) if len(code) else np.zeros(0, np.int64)
         out = []
-        for k in range(b.num_rows):
-            n_c, n_r, w = (b.column(c).slice(k, 1).flatten().to_numpy(zero_copy_only=False).astype(np.float64) for c in (1, 2, 3))
-            v = matrix(b.column(4).slice(k, 1).flatten())
-            x, y = n_c > 0, n_r > 0
+        for i, j in zip(starts, [*starts[1:], len(code)], strict=True):
+            c, r, w, v = n_c[i:j], n_r[i:j], weight[row[i:j]], vectors[row[i:j]]
+            x, y = c > 0, r > 0
             best_x, best_y = matched(v[x], v[y]) if x.any() and y.any() else (np.zeros(x.sum()), np.zeros(y.sum()))
             mean = lambda best, weight: float(best @ weight / weight.sum()) if weight.sum() > 0 else 0.0
-            out.append((mean(best_x, (n_c * w)[x]), mean(best_y, (n_r * w)[y])))
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[j] for r in out], pa.float64()) for j in (0, 1))], names=["number", "precision", "recall"])
+            out.append((mean(best_x, (c * w)[x]), mean(best_y, (r * w)[y])))
+        return pa.RecordBatch.from_arrays([number.take(pa.array(starts)), *(pa.array([r[j] for r in out], pa.float64()) for j in (0, 1))], names=["number", "precision", "recall"])
+
+    for b in batches:
+        group, role = b.column(0).to_numpy(), b.column(1).to_numpy()
+        cuts = np.flatnonzero((group[1:] != group[:-1]) | (role[1:] != role[:-1])) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+            if i == j:
+                continue
+            part = pa.Table.from_batches([b.slice(i, j - i)])
+            if group[i] != now:
+                if rest is not None and tokens is not None:
+                    yield scored(rest)
+                now, rest, words, tokens = group[i], None, [], None
+            if role[i] == 0:
+                words.append(part)
+                continue
+            if words:
+                held = pa.concat_tables(words).combine_chunks().to_batches()[0]
+                tokens, weight, vectors, words = held.column(3), held.column(6).to_numpy(), matrix(held.column(7)), []
+            if tokens is None:
+                continue
+            rest = part if rest is None else pa.concat_tables([rest, part])
+            number = rest.column(2).combine_chunks()
+            last = pc.index(number, number[len(number) - 1]).as_py()  # the last pair may go on in the next batch
+            if last:
+                yield scored(rest.slice(0, last))
+                rest = rest.slice(last)
+    if rest is not None and tokens is not None:
+        yield scored(rest)
 
 
 def bert_scores(pairs: DataFrame, key: str, candidate: str, reference: str, vectors: DataFrame, idf: bool = True) -> DataFrame:
@@ -71,13 +113,22 @@ def bert_scores(pairs: DataFrame, key: str, candidate: str, reference: str, vect
     counts = pairs.select(F.col(key).alias("number"), F.explode(both).alias("x")).groupBy("number", "x.token").agg(F.sum("x.c").alias("c"), F.sum("x.r").alias("r"))
     # lengths in numpy: as a column the length would be added up anew for each number of the vector
     words = vectors.select("token", F.col("vector").cast("array<double>")).mapInArrow(_unit, f"token {vectors.schema['token'].dataType.simpleString()}, v binary")
+    n = pairs.count()
+    groups = max(pairs.sparkSession.sparkContext.defaultParallelism, -(-n // PAIRS))
+    counts = counts.withColumn("group", F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int"))
+    # c is read too, so that this is the same exchange as that of the counts below
+    own = counts.where("c + r > 0").groupBy("group", "token").agg(F.count_if(F.col("r") > 0).alias("df"))
     if idf:
-        seen = counts.where("r > 0").groupBy("token").agg(F.count("*").alias("df"))
-        words = words.join(seen, "token", "left").select("token", "v", F.log(F.lit(pairs.count() + 1.0) / (F.coalesce("df", F.lit(0)) + 1)).alias("w"))
+        seen = own.groupBy("token").agg(F.sum("df").alias("df"))
+        words = words.join(seen, "token", "left").select("token", "v", F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + 1)).alias("w"))
     else:
         words = words.withColumn("w", F.lit(1.0))
-    lists = counts.join(words, "token").groupBy("number").agg(F.array_sort(F.collect_list(F.struct("token", "c", "r", "w", "v"))).alias("x"))  # a pair's different tokens
-    scores = lists.select("number", "x.c", "x.r", "x.w", "x.v").mapInArrow(_scores, f"number {pairs.schema[key].dataType.simpleString()}, precision double, recall double")
+    null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    number = pairs.schema[key].dataType
+    met = own.join(words, "token").select("group", F.lit(0).alias("role"), null("number", number), "token", null("c", "long"), null("r", "long"), "w", "v")
+    rows = met.unionByName(counts.select("group", F.lit(1).alias("role"), "number", "token", "c", "r", null("w", "double"), null("v", "binary")))
+    sorted_ = rows.repartition("group").sortWithinPartitions("group", "role", "number", "token")
+    scores = sorted_.mapInArrow(_scores, f"number {number.simpleString()}, precision double, recall double")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     p, r = F.col("precision"), F.col("recall")
     f1 = F.when(p + r > 0, 2 * p * r / (p + r))

@@ -189,3 +189,23 @@ def test_few_texts_and_terms(spark):
     assert top.terms.collect()[0].term == "word" and abs(top.values[0] - math.sqrt(2)) < 1e-9
     none = latent.decomposed(df.limit(0), "id", "text", 2)
     assert len(none.values) == 0 and latent.vectors(none, "id").count() == 0
+
+
+def test_a_group_of_pairs_gets_a_vector_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    given = {f"w{k}": rng.normal(size=6) for k in range(30)}
+    rows = [(k, [f"w{i}" for i in rng.integers(0, 33, 9)], [f"w{i}" for i in rng.integers(0, 33, 7)]) for k in range(90)]  # w30 to w32 have no vector
+    pairs = spark.createDataFrame(rows, "k long, a array<string>, b array<string>")
+    vectors = spark.createDataFrame([(t, v.tolist()) for t, v in given.items()], "token string, vector array<double>")
+    want = {}
+    for k, a, b in rows:
+        x, y = ([given[t] / np.sqrt((given[t] ** 2).sum()) for t in side if t in given] for side in (a, b))
+        sim = np.array(x) @ np.array(y).T
+        want[k] = (sim.max(1).mean(), sim.max(0).mean())
+    found = B.bert_scores(pairs, "k", "a", "b", vectors, idf=False)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for size in ("10000", "7"):  # pairs go over batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = {r.k: (r.precision, r.recall) for r in found.collect()}
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
