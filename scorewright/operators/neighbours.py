@@ -252,18 +252,18 @@ def search(s: Space, owners: DataFrame, others: DataFrame, work: Callable, out:
 
 
 class Knn:
-    """The k nearest others of each owner, by distance, then id."""
+    """The k nearest others of each owner, by distance, then id; those farther than its bound are not looked at."""
 
     def __init__(self, owners: pa.RecordBatch, k: int):
         self.ids, self.x, self.k = owners.column(0).to_numpy(), matrix(owners.column(1)), k
-        n = len(self.ids)
+        n, self.bound = len(self.ids), owners.column(7).to_numpy()
         self.d, self.q = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
 
     def add(self, ids: np.ndarray, y: np.ndarray, core: np.ndarray, comp: np.ndarray) -> None:
         d = distances(self.x, y)
         d[self.ids[:, None] == ids] = np.inf
         # those that may be among the nearest, with exact distances
-        near = d <= self.d[:, -1:] * (1 + NEAR) + NEAR
+        near = d <= np.minimum(self.d[:, -1], self.bound)[:, None] * (1 + NEAR) + NEAR
         if self.k < d.shape[1] and np.count_nonzero(near) > len(d):
             near &= d <= np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k] * (1 + NEAR) + NEAR
         row, col = np.nonzero(near)
@@ -291,12 +291,12 @@ class Knn:
 
 def nearest(s: Space, k: int) -> DataFrame:
     """(id, d, q): distances and ids of each vector's k nearest others, by distance, then id; all others where there are fewer."""
-    blank = s.points.select("id", "x", "cell", "block", F.lit(float("inf")).alias("reach"), F.lit(0.0).alias("core"), F.col("id").alias("comp"), F.lit(0.0).alias("bound"), "far")
+    blank = s.points.select("id", "x", "cell", "block", F.lit(float("inf")).alias("reach"), F.lit(0.0).alias("core"), F.col("id").alias("comp"), F.lit(float("inf")).alias("bound"), "far")
     out = "id long, d array<double>, q array<long>"
     # within the own block: a bound on the k-th distance
     rough = search(s, blank, blank, lambda b: Knn(b, k), out, own_block=True)
     kth = F.when(F.size("d") == k, F.element_at("d", -1)).otherwise(F.lit(float("inf")))
-    bounded = checkpointed(blank.drop("reach").join(rough.select("id", kth.alias("_u")), "id").withColumn("reach", F.col("far") + F.col("_u")))
+    bounded = checkpointed(blank.drop("reach", "bound").join(rough.select("id", kth.alias("bound")), "id").withColumn("reach", F.col("far") + F.col("bound")))
     found = restarted(search(s, bounded, bounded, lambda b: Knn(b, k), out))
     if found.count() == bounded.count():
         return found

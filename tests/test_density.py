@@ -211,3 +211,19 @@ def test_outliers_meet_topics_in_pieces(spark, monkeypatch):
         if t < 0:
             score = {u: sum(idf[w] * x[u].get(w, 0) for w in text.split()) / np.sqrt(sum(v * v for v in x[u].values())) for u in x}
             assert whole[k] == (min(score, key=lambda u: (-round(score[u], 12), u)), True)
+
+
+def test_others_beyond_the_bound_are_not_looked_at(monkeypatch):
+    import pyarrow as pa
+
+    x, looked = np.random.default_rng(8).normal(size=(400, 6)), []
+    monkeypatch.setattr(N, "exact_pairs", lambda x, row, y, col, own=N.exact_pairs: (looked.append(len(row)), own(x, row, y, col))[1])
+    found = []
+    for bound in (np.full(400, np.inf), None):
+        bound = found[0][0][:, -1] if bound is None else bound
+        columns = [np.arange(400), [v.tobytes() for v in x], np.zeros(400, np.int32), np.zeros(400, np.int64), bound, bound, np.zeros(400, np.int64), bound]
+        knn, before = N.Knn(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list("abcdefgh")), 7), sum(looked)
+        for k in range(0, 400, 50):
+            knn.add(np.arange(k, k + 50), x[k : k + 50], None, None)
+        found.append((knn.d, knn.q, sum(looked) - before))
+    assert (found[0][0] == found[1][0]).all() and (found[0][1] == found[1][1]).all() and found[1][2] == 400 * 7 < found[0][2] / 2
